@@ -55,13 +55,17 @@ def any_keyword(tags, keywords) -> Column:
     """Any keyword is a substring of any tag (tags: array<string>)."""
     if not keywords:
         return F.lit(False)
-    conds = [F.exists(col(tags), lambda t, k=k: t.contains(k)) for k in keywords]
+    conds = [F.exists(col(tags), _contains(k)) for k in keywords]
     out = conds[0]
     for c in conds[1:]:
         out = out | c
     return out
 
 
+def _contains(k):
+    return lambda t: t.contains(k)
+
+
 def keyword_in_string(s, keywords) -> Column:
     """P9 on a joined tag string: any keyword occurs as a substring."""
     if not keywords:

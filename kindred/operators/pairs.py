@@ -57,19 +57,36 @@ def candidate_pairs(indexed: DataFrame, key: str = "idx") -> DataFrame:
 
 
 def cosine_within(weights: DataFrame, t: float, df: DataFrame | None = None,
-                  key: str = "idx", value: str = "w") -> DataFrame:
+                  key: str = "idx", value: str = "w", strategy: str = "auto",
+                  dim: int | None = None, forest: bool = False,
+                  block_rows: int = 1024) -> DataFrame:
     """N3 (cosine, thresholded): all ``i < j`` with ``1 - cos < t``.
 
     ``weights`` holds L2-normalised non-negative vectors (``tfidf``), one row
-    per (unit, term). Returns ``i, j, dist``.
+    per (unit, term). Returns ``i, j, dist``. Strategies, both exact:
+    ``prefix`` (candidate join on indexed terms, then exact scoring) and
+    ``blocks`` (BLAS per block pair over a bounded ``dim``, the vocabulary
+    size). ``auto`` estimates the prefix join's size from the posting lists and
+    takes blocks when the candidates would be a large share of all pairs.
+    ``forest`` (blocks only) returns a spanning forest of the pairs instead.
     """
     theta = 1.0 - t
-    w = weights.select("unit_id", F.col(key), F.col(value).alias("w"))
+    w = weights.select("unit_id", F.col(key).alias("idx"), F.col(value).alias("w"))
     if df is None:
-        df = document_frequency(w, key)
-    cand = candidate_pairs(_prefix_terms(w, df, theta, key), key)
+        df = document_frequency(w, "idx")
+    indexed = _prefix_terms(w, df, theta, "idx")
+    if strategy == "auto":
+        strategy = _choose(indexed, w, dim)
+    if strategy == "blocks":
+        if dim is None:
+            dim = w.agg(F.max("idx")).first()[0] + 1
+        vec = w.groupBy("unit_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("vec"))
+        return dense_pairs(vec, "cosine", t, "unit_id", "vec", block_rows=block_rows,
+                           kind="sparse", dim=dim, forest=forest)
+    cand = candidate_pairs(indexed, "idx")
     vec = w.groupBy("unit_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col("w")))).alias("vec"))
+        F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("vec"))
     vi = vec.select(F.col("unit_id").alias("i"), F.col("vec").alias("vi"))
     vj = vec.select(F.col("unit_id").alias("j"), F.col("vec").alias("vj"))
     scored = cand.join(vi, "i").join(vj, "j").select(
@@ -82,6 +99,26 @@ def cosine_within(weights: DataFrame, t: float, df: DataFrame | None = None,
         .where(F.col("dist") < t)
 
 
+# Blocks cost about n^2 * dim multiply-adds in BLAS; the prefix join about
+# (posting pairs) row operations in the JVM. A row operation costs roughly as
+# much as this many BLAS multiply-adds:
+ROW_OP_FLOPS = 2000.0
+MAX_BLOCK_DIM = 8192
+
+
+def _choose(indexed: DataFrame, w: DataFrame, dim: int | None) -> str:
+    stats = indexed.groupBy("idx").agg(F.count(F.lit(1)).alias("c")).agg(
+        F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"),
+        F.max("idx").alias("maxidx")).first()
+    n = w.select("unit_id").distinct().count()
+    d = dim if dim is not None else (stats["maxidx"] or 0) + 1
+    if d > MAX_BLOCK_DIM:
+        return "prefix"
+    blocks_cost = n * n / 2.0 * d
+    prefix_cost = float(stats["pairs"] or 0) * ROW_OP_FLOPS
+    return "blocks" if blocks_cost < prefix_cost else "prefix"
+
+
 def jaccard_within(sets: DataFrame, t: float, key: str = "idx",
                    df: DataFrame | None = None) -> DataFrame:
     """N3 (set Jaccard, thresholded): all ``i < j`` with ``1 - |x&y|/|x|y| < t``.
@@ -183,38 +220,80 @@ def n_blocks_for(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
 
 
-def _block_input(vectors: DataFrame, id_col: str, vec_col: str, n_blocks: int) -> DataFrame:
+def _block_input(vectors: DataFrame, id_col: str, vec_col: str, n_blocks: int,
+                 kind: str = "dense") -> DataFrame:
     own = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")
-    x = vectors.select(F.col(id_col).cast("long").alias("id"),
-                       F.col(vec_col).cast("array<double>").alias("v"), own.alias("own"))
+    if kind == "dense":
+        cols = [F.col(vec_col).cast("array<double>").alias("v")]
+    else:  # sparse map<idx, w>: ship keys and values as two aligned arrays
+        cols = [F.map_keys(F.col(vec_col)).cast("array<int>").alias("k"),
+                F.map_values(F.col(vec_col)).cast("array<double>").alias("v")]
+    x = vectors.select(F.col(id_col).cast("long").alias("id"), *cols, own.alias("own"))
     x = x.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     return x.select(F.least("own", "partner").alias("ba"),
-                    F.greatest("own", "partner").alias("bb"), "own", "id", "v")
+                    F.greatest("own", "partner").alias("bb"), "own", "id",
+                    *(["k"] if kind != "dense" else []), "v")
 
 
-def _split(pdf: pd.DataFrame):
+def _matrix(part: pd.DataFrame, dim: int | None) -> np.ndarray:
+    if "k" not in part.columns:
+        return np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), -1)
+    X = np.zeros((len(part), dim), dtype=np.float64)
+    lens = part["k"].map(len).to_numpy()
+    if lens.sum():
+        rows = np.repeat(np.arange(len(part)), lens)
+        X[rows, np.concatenate(part["k"].to_numpy())] = np.concatenate(part["v"].to_numpy())
+    return X
+
+
+def _split(pdf: pd.DataFrame, dim: int | None = None):
     ba, bb = int(pdf["ba"].iloc[0]), int(pdf["bb"].iloc[0])
     left = pdf[pdf["own"] == ba]
     right = left if ba == bb else pdf[pdf["own"] == bb]
-    X = np.array(left["v"].tolist(), dtype=np.float64).reshape(len(left), -1)
-    Y = X if ba == bb else np.array(right["v"].tolist(), dtype=np.float64).reshape(len(right), -1)
+    X = _matrix(left, dim)
+    Y = X if ba == bb else _matrix(right, dim)
     return ba == bb, left["id"].to_numpy(), X, right["id"].to_numpy(), Y
 
 
+def _forest(i: np.ndarray, j: np.ndarray):
+    """Keep a spanning forest of the edges (same connectivity, fewer rows)."""
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while parent.get(root, root) != root:
+            root = parent[root]
+        while parent.get(x, x) != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    keep = np.zeros(len(i), dtype=bool)
+    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            keep[n] = True
+    return keep
+
+
 def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = None,
                 id_col: str = "vec_id", vec_col: str = "embedding",
-                block_rows: int = 2048, n_rows: int | None = None,
-                inclusive: bool = False) -> DataFrame:
-    """N3 (dense, blocked): ``i < j, dist`` for all pairs, or those under ``t``.
-
-    ``inclusive`` keeps ``dist <= t`` instead of ``dist < t``.
+                block_rows: int = 1024, n_rows: int | None = None,
+                inclusive: bool = False, kind: str = "dense", dim: int | None = None,
+                forest: bool = False) -> DataFrame:
+    """N3 (blocked): ``i < j, dist`` for all pairs, or those under ``t``.
+
+    ``kind='sparse'`` takes ``map<idx, w>`` vectors with ``0 <= idx < dim``
+    (a cut vocabulary) and densifies them per block. ``inclusive`` keeps
+    ``dist <= t``. ``forest`` keeps only a spanning forest of each block pair's
+    edges: the same connected components from O(n * blocks) edges.
     """
     if n_rows is None:
         n_rows = vectors.count()
     nb = n_blocks_for(n_rows, block_rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        same, ia, X, ib, Y = _split(pdf)
+        same, ia, X, ib, Y = _split(pdf, dim)
         D = _dist_matrix(X, Y, metric)
         if t is None:
             keep = np.ones(D.shape, dtype=bool)
@@ -226,12 +305,15 @@ def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = No
         d = _exact_rows(X[r], Y[c], metric)
         i, j = ia[r], ib[c]
         lo, hi = np.minimum(i, j), np.maximum(i, j)
-        out = pd.DataFrame({"i": lo, "j": hi, "dist": d})
         if t is not None:
-            out = out[(out["dist"] <= t) if inclusive else (out["dist"] < t)]
-        return out
-
-    return _block_input(vectors, id_col, vec_col, nb).groupBy("ba", "bb").applyInPandas(
+            ok = (d <= t) if inclusive else (d < t)
+            lo, hi, d = lo[ok], hi[ok], d[ok]
+        if forest and len(lo):
+            f = _forest(lo, hi)
+            lo, hi, d = lo[f], hi[f], d[f]
+        return pd.DataFrame({"i": lo, "j": hi, "dist": d})
+
+    return _block_input(vectors, id_col, vec_col, nb, kind).groupBy("ba", "bb").applyInPandas(
         run, "i long, j long, dist double")
 
 

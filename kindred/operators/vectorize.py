@@ -147,5 +147,5 @@ def min_size(units: DataFrame, min_lines: int, text_col: str = "text",
     if mode == "tokens":
         size = F.size(T.words(text_col))
     else:
-        size = F.greatest(F.size(F.split(F.col(text_col), r"\r\n|\r|\n")), F.lit(1))
+        size = F.greatest(F.size(F.split(F.col(text_col), "\n")), F.lit(1))
     return units.where(size >= min_lines)

@@ -17,6 +17,7 @@ from kindred.operators import components as C
 from kindred.operators import pairs as N
 from kindred.operators import vectorize as V
 from kindred.operators import vocab as VO
+from kindred.session import cut_lineage
 from kindred.sources.tables import load, units_from_documents
 
 
@@ -39,7 +40,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VO.token_stream(units_from_documents(spark, sf_dir))
+    return VO.token_stream(units(spark, sf_dir))
 
 
 def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,21 +52,28 @@ def vocabulary(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataF
     return VO.cut_vocabulary(clean, s.vocab_take, s.vocab_skip, s.vocab_min)
 
 
-def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool = False) -> DataFrame:
-    return V.term_counts(units(spark, sf_dir), vocabulary(spark, sf_dir, s), binary=binary)
+def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool = False,
+           stage: bool = True) -> DataFrame:
+    """Term counts over the cut vocabulary. As a stage table (checkpointed to
+    the shared folder, partitioning kept) it is computed once and read by the
+    unit count, the document frequency and the weights."""
+    c = V.term_counts(units(spark, sf_dir), vocabulary(spark, sf_dir, s), binary=binary)
+    return cut_lineage(c) if stage else c
 
 
 def weights(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
     return V.tfidf(counts(spark, sf_dir, s))
 
 
-def cosine_pairs(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
-    return N.cosine_within(weights(spark, sf_dir, s), s.t_cosine)
+def cosine_pairs(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
+                 forest: bool = False) -> DataFrame:
+    w = weights(spark, sf_dir, s)
+    return N.cosine_within(w, s.t_cosine, dim=s.vocab_take + 1, forest=forest)
 
 
 def components(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
     w = weights(spark, sf_dir, s)
-    pairs = N.cosine_within(w, s.t_cosine)
+    pairs = N.cosine_within(w, s.t_cosine, dim=s.vocab_take + 1, forest=True)
     nodes = w.select("unit_id").distinct()
     return C.connected_components(pairs, nodes, node_col="unit_id")
 

@@ -60,6 +60,68 @@ reach(node, root) AS (
   SELECT e.b, r.root FROM reach r JOIN edges e ON r.node = e.a),
 comp AS (SELECT node AS unit_id, min(root) AS component FROM reach GROUP BY node)"""
 
+NA_LIST = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
+           "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+
+CONV = f"""WITH conv AS (
+  SELECT conv_id AS file, turn AS pos, text AS token, turn AS line, role FROM conversations
+  WHERE text IS NOT NULL AND text NOT IN ({NA_LIST}))"""
+
+REASON = """CASE WHEN count(*) = 0 THEN 'no functions found!'
+  WHEN count_if(role = 'user') <> count_if(role = 'assistant') THEN 'has different number of start and end in parsed!!!'
+  WHEN count_if(role = 'user') = 0 THEN 'no functions found!'
+  WHEN count(line) = 0 THEN 'no tokenized found!' END"""
+
+CONV_UNITS = """ok AS (SELECT file FROM conv GROUP BY file
+  HAVING count_if(role = 'user') = count_if(role = 'assistant') AND count_if(role = 'user') > 0 AND count(line) > 0),
+bs AS (SELECT file, pos AS begin_pos, row_number() OVER (PARTITION BY file ORDER BY pos) AS k FROM conv WHERE role = 'user'),
+es AS (SELECT file, pos AS end_pos, row_number() OVER (PARTITION BY file ORDER BY pos) AS k FROM conv WHERE role = 'assistant'),
+units AS (SELECT bs.file, bs.k::INTEGER AS k, begin_pos, end_pos FROM bs JOIN es USING (file, k) WHERE file IN (SELECT file FROM ok))
+"""
+
+CONV_LINES = """lastl AS (SELECT file, arg_max(line, pos) FILTER (WHERE line IS NOT NULL) AS last_line FROM conv GROUP BY file),
+ulines AS (SELECT u.file, u.k, s.line AS start_line, coalesce(e.line, l.last_line) AS end_line,
+  CASE WHEN s.line IS NULL THEN 'no start line' END AS reason
+  FROM units u LEFT JOIN conv s ON s.file = u.file AND s.pos = u.begin_pos + 1
+  LEFT JOIN conv e ON e.file = u.file AND e.pos = u.end_pos + 2
+  LEFT JOIN lastl l ON l.file = u.file)
+"""
+
+PAGES = r"""WITH pieces AS (
+  SELECT page_id AS file, unnest(regexp_extract_all(html, '<[^>]*>|[^<]+')) AS token,
+         unnest(range(len(regexp_extract_all(html, '<[^>]*>|[^<]+'))))::BIGINT AS pos FROM pages),
+ptok AS (SELECT file, pos, token,
+  coalesce(sum(length(token) - length(replace(token, chr(10), ''))) OVER (PARTITION BY file ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line,
+  regexp_matches(token, '^<p[\s>]') AS is_b, token = '</p>' AS is_e FROM pieces)"""
+
+REASON_P = """CASE WHEN count(*) = 0 THEN 'no functions found!'
+  WHEN count_if(is_b) <> count_if(is_e) THEN 'has different number of start and end in parsed!!!'
+  WHEN count_if(is_b) = 0 THEN 'no functions found!'
+  WHEN count(line) = 0 THEN 'no tokenized found!' END"""
+
+PAGE_UNITS = """ok AS (SELECT file FROM ptok GROUP BY file
+  HAVING count_if(is_b) = count_if(is_e) AND count_if(is_b) > 0 AND count(line) > 0),
+bs AS (SELECT file, pos AS begin_pos, row_number() OVER (PARTITION BY file ORDER BY pos) AS k FROM ptok WHERE is_b),
+es AS (SELECT file, pos AS end_pos, row_number() OVER (PARTITION BY file ORDER BY pos) AS k FROM ptok WHERE is_e),
+units AS (SELECT bs.file, bs.k::INTEGER AS k, begin_pos, end_pos FROM bs JOIN es USING (file, k) WHERE file IN (SELECT file FROM ok))
+"""
+
+EVENTS = r"""WITH etok AS (
+  SELECT user_id AS file, event_id AS pos,
+    CASE event_type WHEN 'signup' THEN 'BEGIN_METHOD' WHEN 'purchase' THEN 'END_METHOD'
+      WHEN 'view' THEN 'BEGIN_BLOCK' WHEN 'click' THEN 'END_BLOCK' ELSE event_type END AS token,
+    CASE WHEN event_type IN ('signup', 'purchase', 'view', 'click') THEN NULL ELSE value END AS line,
+    CAST(nullif(regexp_extract(props, '(\d+)', 1), '') AS INTEGER) AS kind,
+    minute(ts)::INTEGER AS col FROM events)"""
+
+TAGS = """WITH rep AS (
+  SELECT doc_id AS unit_id, 'Toxic' AS name FROM labels WHERE toxic = 1
+  UNION ALL SELECT doc_id, 'Low_Quality' FROM labels WHERE quality = 0
+  UNION ALL SELECT doc_id, 'Reviewed' FROM labels),
+tags AS (SELECT unit_id, string_agg(DISTINCT lower(name), ',' ORDER BY lower(name)) AS tags FROM rep GROUP BY unit_id)
+"""
+
 
 def w(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
@@ -95,7 +157,7 @@ WHERE n_lines >= 5""",
 grams AS (
   SELECT unit_id, unnest(w) AS gram FROM ws
   UNION ALL
-  SELECT unit_id, unnest(list_transform(range(1, len(w)), k -> w[k] || ' ' || w[k + 1])) FROM ws)
+  SELECT unit_id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM ws)
 SELECT unit_id, gram, count(*)::BIGINT AS cnt FROM grams GROUP BY 1, 2""",
     "tfidf_weights": w(*DOC, WEIGHTS) + "SELECT unit_id, idx, round(w, 6) AS w FROM weights",
     "row_norms": w(*DOC, WEIGHTS) + """SELECT unit_id, round(sum(w), 6) AS l1,
@@ -118,4 +180,53 @@ SELECT c.component AS cluster_id, count(*)::BIGINT AS size, count(l.toxic)::BIGI
   round(avg(l.quality), 6) AS quality_rate
 FROM comp c JOIN sizes s USING (component) LEFT JOIN labels l ON l.doc_id = c.unit_id
 GROUP BY c.component""",
+    "marker_check": CONV + """SELECT file, count(*)::BIGINT AS n_rows,
+  count_if(role = 'user')::BIGINT AS n_begin, count_if(role = 'assistant')::BIGINT AS n_end,
+  count(line)::BIGINT AS n_line, """ + REASON + """ AS reason FROM conv GROUP BY file""",
+    "marker_errors": PAGES + """SELECT file, reason FROM (SELECT file, """ + REASON_P + """ AS reason
+  FROM ptok GROUP BY file) t WHERE reason IS NOT NULL""",
+    "pair_units": CONV + ",\n" + CONV_UNITS + "SELECT file, k, begin_pos, end_pos FROM units",
+    "page_units": PAGES + ",\n" + PAGE_UNITS + "SELECT file, k, begin_pos, end_pos FROM units",
+    "unit_text": CONV + ",\n" + CONV_UNITS + r"""SELECT u.file, u.k, u.begin_pos, u.end_pos,
+  coalesce(trim(regexp_replace(regexp_replace(lower(string_agg(c.token, ' ' ORDER BY c.pos)),
+    '[^\p{L}\p{N} _\-]', '', 'g'), ' +', ' ', 'g')), '') AS text
+FROM units u LEFT JOIN conv c ON c.file = u.file AND c.pos BETWEEN u.begin_pos AND u.end_pos
+GROUP BY u.file, u.k, u.begin_pos, u.end_pos""",
+    "unit_lines": CONV + ",\n" + CONV_UNITS + ",\n" + CONV_LINES
+    + "SELECT file, k, start_line, end_line, reason FROM ulines",
+    "unit_raw": CONV + ",\n" + CONV_UNITS + ",\n" + CONV_LINES + """
+SELECT u.file, u.k, coalesce((SELECT string_agg(c.token, chr(10) ORDER BY c.pos) FROM (
+    SELECT token, pos, row_number() OVER (ORDER BY pos) - 1 AS ln FROM conv c2 WHERE c2.file = u.file) c
+  WHERE c.ln >= u.start_line AND c.ln < u.end_line), '') AS raw
+FROM ulines u""",
+    "last_line": PAGES + """SELECT file, arg_max(line, pos) FILTER (WHERE line IS NOT NULL) AS last_line
+FROM ptok GROUP BY file""",
+    "fill_marker_lines": EVENTS + """,
+f1 AS (SELECT *, CASE WHEN token IN ('END_METHOD', 'END_BLOCK') AND line IS NULL
+    THEN last_value(line IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+    ELSE line END AS line1 FROM etok),
+f2 AS (SELECT *, CASE WHEN token IN ('BEGIN_METHOD', 'BEGIN_BLOCK') AND line1 IS NULL
+    THEN first_value(line1 IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)
+    ELSE line1 END AS line2 FROM f1)
+SELECT pos AS event_id, file AS user_id, token, line2 AS line,
+  CASE token WHEN 'BEGIN_METHOD' THEN 8001 WHEN 'END_METHOD' THEN 8002 WHEN 'BEGIN_BLOCK' THEN 8003
+    WHEN 'END_BLOCK' THEN 8004 ELSE kind END::INTEGER AS kind,
+  CASE WHEN token IN ('BEGIN_METHOD', 'END_METHOD', 'BEGIN_BLOCK', 'END_BLOCK') THEN 0 ELSE col END::INTEGER AS col
+FROM f2""",
+    "islands": """WITH x AS (SELECT user_id, event_id, event_type,
+  CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM event_type
+    THEN 0 ELSE 1 END AS chg FROM events),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM x)
+SELECT user_id, run::BIGINT AS run, first(event_type ORDER BY event_id) AS value, min(event_id) AS start,
+  max(event_id) AS "end", count(*)::BIGINT AS length
+FROM r GROUP BY user_id, run HAVING count(*) > 1""",
+    "tag_units": TAGS + """SELECT d.doc_id AS unit_id, coalesce(t.tags, '') AS tags,
+  CASE WHEN t.tags LIKE '%toxic%' THEN 1 ELSE 0 END::INTEGER AS gt
+FROM documents d LEFT JOIN tags t ON t.unit_id = d.doc_id""",
+    "tag_units_any": TAGS + """SELECT d.doc_id AS unit_id, coalesce(t.tags, '') AS tags,
+  CASE WHEN t.tags IS NOT NULL THEN 1 ELSE 0 END::INTEGER AS gt
+FROM documents d LEFT JOIN tags t ON t.unit_id = d.doc_id""",
+    "findings_by_type": """SELECT event_type AS name, count(*)::BIGINT AS n FROM events GROUP BY 1
+UNION ALL SELECT '__total__', count(*)::BIGINT FROM events
+UNION ALL SELECT '__keyword__', count_if(event_type LIKE '%XSS%' OR event_type LIKE '%SQL%')::BIGINT FROM events""",
 }

@@ -19,7 +19,6 @@ from kindred.operators import pairs as N
 from kindred.operators import vectorize as V
 from kindred.operators import vocab as VO
 from kindred.plans import docs as D
-from kindred.sources.tables import units_from_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,14 +65,12 @@ def topn_vocab(spark, sf):
 
 @query("normalize_text")
 def normalize_text(spark, sf):
-    u = units_from_documents(spark, sf)
-    return u.select("unit_id", T.normalize("text").alias("norm"))
+    return D.units(spark, sf).select("unit_id", T.normalize("text").alias("norm"))
 
 
 @query("short_units")
 def short_units(spark, sf):
-    u = units_from_documents(spark, sf)
-    kept = V.min_size(u, 5)
+    kept = V.min_size(D.units(spark, sf), 5)
     return kept.select("unit_id", F.greatest(F.size(F.split("text", "\n")), F.lit(1))
                        .cast("long").alias("n_lines"))
 
@@ -113,7 +110,7 @@ def unit_count(spark, sf):
 
 @query("ngram_counts")
 def ngram_counts(spark, sf):
-    return V.ngram_counts(units_from_documents(spark, sf), 2)
+    return V.ngram_counts(D.units(spark, sf), 2)
 
 
 @query("tfidf_weights")
@@ -172,3 +169,94 @@ def cluster_sizes(spark, sf):
 @query("cluster_report")
 def cluster_report(spark, sf):
     return D.cluster_report(spark, sf)
+
+
+# ------------------------------------------------------------ segmentation
+
+from kindred.operators import segment as S  # noqa: E402
+from kindred.operators import label as L  # noqa: E402
+from kindred.plans import streams as ST  # noqa: E402
+
+
+@query("marker_check")
+def marker_check(spark, sf):
+    t = ST.conversation_tokens(spark, sf)
+    return S.marker_check(t, ST.CONV_BEGIN(), ST.CONV_END())
+
+
+@query("marker_errors")
+def marker_errors(spark, sf):
+    return S.parse_errors(ST.page_tokens(spark, sf), ST.PAGE_BEGIN(), ST.PAGE_END())
+
+
+@query("pair_units")
+def pair_units(spark, sf):
+    return S.pair_markers(ST.conversation_tokens(spark, sf), ST.CONV_BEGIN(), ST.CONV_END())
+
+
+@query("page_units")
+def page_units(spark, sf):
+    return S.pair_markers(ST.page_tokens(spark, sf), ST.PAGE_BEGIN(), ST.PAGE_END())
+
+
+@query("unit_text")
+def unit_text(spark, sf):
+    t = ST.conversation_tokens(spark, sf)
+    return S.unit_text(t, ST.CONV_BEGIN(), ST.CONV_END()).select(
+        "file", "k", "begin_pos", "end_pos", "text")
+
+
+@query("unit_lines")
+def unit_lines(spark, sf):
+    t = ST.conversation_tokens(spark, sf)
+    return S.unit_lines(t, ST.CONV_BEGIN(), ST.CONV_END()).select(
+        "file", "k", "start_line", "end_line", "reason")
+
+
+@query("unit_raw")
+def unit_raw(spark, sf):
+    """W10 + S3: source lines [start, end) of each unit (a turn is a line)."""
+    t = ST.conversation_tokens(spark, sf)
+    lines = t.groupBy("file").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("lines"))
+    u = S.unit_lines(t, ST.CONV_BEGIN(), ST.CONV_END())
+    return u.join(lines, "file").select(
+        "file", "k", T.line_slice("lines", "start_line", "end_line").alias("raw"))
+
+
+@query("last_line")
+def last_line(spark, sf):
+    return S.last_line(ST.page_tokens(spark, sf))
+
+
+@query("fill_marker_lines")
+def fill_marker_lines(spark, sf):
+    f = S.fill_marker_lines(ST.event_tokens(spark, sf))
+    return f.select(F.col("pos").alias("event_id"), F.col("file").alias("user_id"),
+                    "token", "line", "kind", "col")
+
+
+@query("islands")
+def islands(spark, sf):
+    e = ST.load(spark, sf, "events", "event_id", "user_id", "event_type")
+    return S.islands(e, "user_id", "event_id", "event_type", min_length=1)
+
+
+# ------------------------------------------------------------ labels
+
+@query("tag_units")
+def tag_units(spark, sf):
+    units = ST.load(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "unit_id")
+    return L.tag_units(units, L.report_from_labels(D.labels(spark, sf)), keywords=["toxic"])
+
+
+@query("tag_units_any")
+def tag_units_any(spark, sf):
+    units = ST.load(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "unit_id")
+    return L.tag_units(units, L.report_from_labels(D.labels(spark, sf)), keywords=None)
+
+
+@query("findings_by_type")
+def findings_by_type(spark, sf):
+    e = ST.load(spark, sf, "events", "event_type")
+    return L.findings_by_type(e, "event_type", ["XSS", "SQL"])
