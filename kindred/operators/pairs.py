@@ -402,3 +402,48 @@ def user_metric_pairs(pairs: DataFrame, vectors: DataFrame, fn, id_col: str = "v
     vj = v.select(F.col(id_col).alias("j"), F.col("__v").alias("vj"))
     return pairs.select("i", "j").join(vi, "i").join(vj, "j").select(
         "i", "j", score("vi", "vj").alias("dist"))
+
+
+def cross_nearest(queries: DataFrame, refs: DataFrame, k: int = 5, metric: str = "euclidean",
+                  id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 1024,
+                  n_queries: int | None = None, n_refs: int | None = None) -> DataFrame:
+    """M4's search: for each query vector its ``k`` nearest reference vectors.
+
+    Query blocks x reference blocks, one task per block pair; each task keeps
+    the per-query best ``k`` (+ margin), the final top-k per query merges them
+    (ties to the smaller reference id). ``i, j, dist, rank``.
+    """
+    nq = n_blocks_for(n_queries if n_queries is not None else queries.count(), block_rows)
+    nr = n_blocks_for(n_refs if n_refs is not None else refs.count(), block_rows)
+
+    def side(df, name, own_n, other_n, own_first):
+        own = F.pmod(F.xxhash64(F.col(id_col)), F.lit(own_n)).cast("int")
+        x = df.select(F.col(id_col).cast("long").alias("id"),
+                      F.col(vec_col).cast("array<double>").alias("v"), own.alias("own"))
+        x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+        bq, br = (F.col("own"), F.col("other")) if own_first else (F.col("other"), F.col("own"))
+        return x.select(bq.alias("bq"), br.alias("br"), F.lit(name).alias("side"), "id", "v")
+
+    both = side(queries, "q", nq, nr, True).unionByName(side(refs, "r", nr, nq, False))
+    kk = k + 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = pdf[pdf["side"] == "q"]
+        r = pdf[pdf["side"] == "r"]
+        if len(q) == 0 or len(r) == 0:
+            return pd.DataFrame({"i": [], "j": [], "dist": []})
+        Q = np.array(q["v"].tolist(), dtype=np.float64).reshape(len(q), -1)
+        R = np.array(r["v"].tolist(), dtype=np.float64).reshape(len(r), -1)
+        qi, rj = q["id"].to_numpy(), r["id"].to_numpy()
+        D = _dist_matrix(Q, R, metric)
+        m = min(kk, D.shape[1])
+        part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else \
+            np.tile(np.arange(D.shape[1]), (D.shape[0], 1))
+        rows = np.repeat(np.arange(D.shape[0]), part.shape[1])
+        cols = part.reshape(-1)
+        d = _exact_rows(Q[rows], R[cols], metric)
+        return pd.DataFrame({"i": qi[rows], "j": rj[cols], "dist": d})
+
+    cand = both.groupBy("bq", "br").applyInPandas(run, "i long, j long, dist double")
+    w = Window.partitionBy("i").orderBy("dist", "j")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -122,6 +122,46 @@ TAGS = """WITH rep AS (
 tags AS (SELECT unit_id, string_agg(DISTINCT lower(name), ',' ORDER BY lower(name)) AS tags FROM rep GROUP BY unit_id)
 """
 
+EMB = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)
+"""
+
+KNN = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label,
+    substr(md5(vec_id::VARCHAR || ':7'), 1, 8) < '40000000' AS is_test FROM embeddings),
+te AS (SELECT * FROM e WHERE is_test), tr AS (SELECT * FROM e WHERE NOT is_test),
+d AS (SELECT te.vec_id AS i, tr.vec_id AS j, tr.label AS lj, list_distance(te.v, tr.v) AS dist FROM te, tr),
+top AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY dist, j) <= 5),
+votes AS (SELECT i, lj, count(*) AS c FROM top GROUP BY 1, 2),
+win AS (SELECT i, lj AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY i ORDER BY c DESC, lj ASC) = 1),
+pred AS (SELECT te.vec_id, te.label, win.prediction FROM te JOIN win ON win.i = te.vec_id)
+"""
+
+CONF = "conf AS (SELECT label, prediction, count(*)::BIGINT AS n FROM pred GROUP BY 1, 2)\n"
+
+REPORT = """tp AS (SELECT label AS class, n AS tp FROM conf WHERE label = prediction),
+sup AS (SELECT label AS class, sum(n) AS support FROM conf GROUP BY 1),
+pc AS (SELECT prediction AS class, sum(n) AS predicted FROM conf GROUP BY 1),
+pr AS (SELECT s.class, s.support::BIGINT AS support,
+  CASE WHEN coalesce(p.predicted, 0) > 0 THEN coalesce(t.tp, 0) / p.predicted ELSE 0 END AS precision,
+  CASE WHEN s.support > 0 THEN coalesce(t.tp, 0) / s.support ELSE 0 END AS recall
+  FROM sup s LEFT JOIN tp t USING (class) LEFT JOIN pc p USING (class)),
+rep AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr)
+"""
+
+CLASSES = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, list_sum(embedding::DOUBLE[]) AS rsum FROM embeddings),
+q AS (SELECT label, quantile_cont(rsum, 0.5) AS q FROM e GROUP BY label),
+cls AS (SELECT e.*, CASE WHEN rsum > q.q THEN 0 ELSE 1 END::INTEGER AS class FROM e JOIN q USING (label))
+"""
+
+EUC_CD = """cd AS (SELECT a.label, b.class, avg(list_distance(a.v, b.v)) AS dist
+  FROM cls a JOIN cls b ON a.label = b.label GROUP BY a.label, b.class)
+"""
+
+SEP = """sep AS (SELECT label, max(CASE WHEN class = 1 THEN dist END) / max(CASE WHEN class = 0 THEN dist END) AS ratio,
+  max(CASE WHEN class = 1 THEN dist END) - max(CASE WHEN class = 0 THEN dist END) AS diff,
+  (max(CASE WHEN class = 0 THEN dist END) < max(CASE WHEN class = 1 THEN dist END))::INTEGER AS no_lt_yes
+  FROM cd GROUP BY label)
+"""
+
 
 def w(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
@@ -229,4 +269,53 @@ FROM documents d LEFT JOIN tags t ON t.unit_id = d.doc_id""",
     "findings_by_type": """SELECT event_type AS name, count(*)::BIGINT AS n FROM events GROUP BY 1
 UNION ALL SELECT '__total__', count(*)::BIGINT FROM events
 UNION ALL SELECT '__keyword__', count_if(event_type LIKE '%XSS%' OR event_type LIKE '%SQL%')::BIGINT FROM events""",
+    "pair_distance_dense": EMB + """SELECT a.vec_id AS i, b.vec_id AS j,
+  round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS dist
+FROM e a JOIN e b ON a.vec_id < b.vec_id
+WHERE 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) < 0.75""",
+    "pair_distance_euclidean": EMB + """SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS dist
+FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_distance(a.v, b.v) < 1.2""",
+    "user_metric": EMB + """SELECT a.vec_id AS i, b.vec_id AS j,
+  round(list_sum(list_transform(range(1, len(a.v) + 1), lambda k: abs(a.v[k] - b.v[k]))), 6) AS dist
+FROM e a JOIN e b ON a.vec_id < b.vec_id
+WHERE 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) < 0.75""",
+    "nearest_unit": EMB + """SELECT i, j, round(dist, 6) AS dist FROM (
+  SELECT a.vec_id AS i, b.vec_id AS j,
+    1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS dist
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id) t
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY dist, j) = 1""",
+    "knn_vote": KNN + "SELECT vec_id, label, prediction FROM pred",
+    "confusion": KNN + ",\n" + CONF + "SELECT label, prediction, n FROM conf",
+    "accuracy": KNN + ",\n" + CONF + """SELECT round(sum(CASE WHEN label = prediction THEN n ELSE 0 END) / sum(n), 6) AS accuracy FROM conf""",
+    "class_report": KNN + ",\n" + CONF + ",\n" + REPORT + """SELECT class, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rep""",
+    "most_confused": KNN + ",\n" + CONF + """,
+off AS (SELECT * FROM conf WHERE label <> prediction),
+rt AS (SELECT label, sum(n) AS t FROM conf GROUP BY label),
+ct AS (SELECT prediction, sum(n) AS t FROM conf GROUP BY prediction),
+r AS (SELECT o.label AS class, printf('%s_%.4f', o.prediction::VARCHAR, o.n / rt.t) AS by_recall
+  FROM off o JOIN rt USING (label) QUALIFY row_number() OVER (PARTITION BY o.label ORDER BY o.n DESC, o.prediction) = 1),
+p AS (SELECT o.prediction AS class, printf('%s_%.4f', o.label::VARCHAR, o.n / ct.t) AS by_precision
+  FROM off o JOIN ct USING (prediction) QUALIFY row_number() OVER (PARTITION BY o.prediction ORDER BY o.n DESC, o.label) = 1)
+SELECT c.class, r.by_recall, p.by_precision FROM (SELECT DISTINCT label AS class FROM conf) c
+LEFT JOIN r USING (class) LEFT JOIN p USING (class)""",
+    "log_confusion": KNN + ",\n" + CONF + "SELECT label, prediction, n, round(log10(n + 1), 6) AS log_n FROM conf",
+    "misclassified": KNN + "SELECT vec_id, label, prediction FROM pred WHERE label <> prediction",
+    "row_mean_std": EMB + """SELECT vec_id, round(list_avg(v), 6) AS mean,
+  round(sqrt(greatest(list_sum(list_transform(v, lambda x: x * x)) / len(v) - list_avg(v) * list_avg(v), 0)), 6) AS std FROM e""",
+    "centroids": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x,
+  unnest(range(len(embedding)))::INTEGER AS dim FROM embeddings)
+SELECT label, dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM x GROUP BY label, dim""",
+    "percentile_label": """SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_extendedprice > (SELECT quantile_cont(l_extendedprice, 0.8) FROM lineitem) THEN 0 ELSE 1 END::INTEGER AS class
+FROM lineitem""",
+    "group_classes": CLASSES + "SELECT vec_id, label, class FROM cls",
+    "class_distance": CLASSES + """SELECT a.label, b.class,
+  round(avg(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))), 6) AS dist
+FROM cls a JOIN cls b ON a.label = b.label GROUP BY a.label, b.class""",
+    "class_distance_euclidean": CLASSES + ",\n" + EUC_CD + "SELECT label, class, round(dist, 6) AS dist FROM cd",
+    "class_separation": CLASSES + ",\n" + EUC_CD + ",\n" + SEP + """SELECT label, round(ratio, 6) AS ratio,
+  round(diff, 6) AS diff, no_lt_yes FROM sep""",
+    "separation_summary": CLASSES + ",\n" + EUC_CD + ",\n" + SEP + """SELECT round(avg(ratio), 6) AS avg_ratio,
+  round(avg(diff), 6) AS avg_diff, round(avg(no_lt_yes), 6) AS share_no_lt_yes FROM sep""",
 }

@@ -260,3 +260,131 @@ def tag_units_any(spark, sf):
 def findings_by_type(spark, sf):
     e = ST.load(spark, sf, "events", "event_type")
     return L.findings_by_type(e, "event_type", ["XSS", "SQL"])
+
+
+# ------------------------------------------------------------ dense vectors
+
+from kindred.operators import evaluate as EV  # noqa: E402
+from kindred.operators import stats as SS  # noqa: E402
+from kindred.plans import vectors as VE  # noqa: E402
+
+
+@query("pair_distance_dense")
+def pair_distance_dense(spark, sf):
+    p = N.dense_pairs(VE.vectors(spark, sf), "cosine", VE.T_COS)
+    return p.select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
+@query("pair_distance_euclidean")
+def pair_distance_euclidean(spark, sf):
+    p = N.dense_pairs(VE.vectors(spark, sf), "euclidean", VE.T_EUC)
+    return p.select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
+def _manhattan(X, Y):
+    import numpy as np
+    return np.abs(X - Y).sum(axis=1)
+
+
+@query("user_metric")
+def user_metric(spark, sf):
+    v = VE.vectors(spark, sf)
+    pairs = N.dense_pairs(v, "cosine", VE.T_COS)
+    return N.user_metric_pairs(pairs, v, _manhattan).select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
+@query("nearest_unit")
+def nearest_unit(spark, sf):
+    nn = N.nearest(VE.vectors(spark, sf), "cosine")
+    return nn.select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
+@query("knn_vote")
+def knn_vote(spark, sf):
+    return VE.knn_predictions(spark, sf)
+
+
+@query("confusion")
+def confusion(spark, sf):
+    return EV.confusion(VE.knn_predictions(spark, sf))
+
+
+@query("accuracy")
+def accuracy(spark, sf):
+    return EV.accuracy(EV.confusion(VE.knn_predictions(spark, sf))).select(
+        r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query("class_report")
+def class_report(spark, sf):
+    r = EV.class_report(EV.confusion(VE.knn_predictions(spark, sf)))
+    return r.select("class", r6(F.col("precision")).alias("precision"),
+                    r6(F.col("recall")).alias("recall"), r6(F.col("f1")).alias("f1"), "support")
+
+
+@query("most_confused")
+def most_confused(spark, sf):
+    return EV.most_confused(EV.confusion(VE.knn_predictions(spark, sf)))
+
+
+@query("log_confusion")
+def log_confusion(spark, sf):
+    c = EV.log_confusion(EV.confusion(VE.knn_predictions(spark, sf)))
+    return c.select("label", "prediction", "n", r6(F.col("log_n")).alias("log_n"))
+
+
+@query("misclassified")
+def misclassified(spark, sf):
+    return EV.misclassified(VE.knn_predictions(spark, sf))
+
+
+@query("row_mean_std")
+def row_mean_std(spark, sf):
+    s = SS.row_mean_std(VE.vectors(spark, sf))
+    return s.select("vec_id", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
+
+
+@query("centroids")
+def centroids(spark, sf):
+    c = SS.centroids(VE.vectors(spark, sf), "label")
+    return c.select("label", F.col("dim").cast("int"), r6(F.col("mean")).alias("mean"),
+                    r6(F.col("std")).alias("std"))
+
+
+@query("percentile_label")
+def percentile_label(spark, sf):
+    li = ST.load(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return SS.percentile_classes(li, "l_extendedprice", 0.8).select(
+        "l_orderkey", "l_linenumber", "class")
+
+
+@query("group_classes")
+def group_classes(spark, sf):
+    return VE.with_classes(spark, sf).select("vec_id", "label", "class")
+
+
+@query("class_distance")
+def class_distance(spark, sf):
+    d = SS.class_distance_cosine(VE.with_classes(spark, sf), "label", "class")
+    return d.select("label", "class", r6(F.col("dist")).alias("dist"))
+
+
+@query("class_distance_euclidean")
+def class_distance_euclidean(spark, sf):
+    d = SS.class_distance_blocked(VE.with_classes(spark, sf), "label", "class")
+    return d.select("label", "class", r6(F.col("dist")).alias("dist"))
+
+
+@query("class_separation")
+def class_separation(spark, sf):
+    d = SS.class_distance_blocked(VE.with_classes(spark, sf), "label", "class")
+    s = SS.class_separation(d, "label", "class")
+    return s.select("label", r6(F.col("ratio")).alias("ratio"), r6(F.col("diff")).alias("diff"),
+                    "no_lt_yes")
+
+
+@query("separation_summary")
+def separation_summary(spark, sf):
+    d = SS.class_distance_blocked(VE.with_classes(spark, sf), "label", "class")
+    s = SS.separation_summary(SS.class_separation(d, "label", "class"))
+    return s.select(*[r6(F.col(c)).alias(c) for c in s.columns])
