@@ -181,6 +181,14 @@ def islands(df: DataFrame, part_col: str, order_cols, value_col: str,
 
 def position_in_cluster(df: DataFrame, cluster_col: str = "cluster_id",
                         order_col: str = "leaf_rank") -> DataFrame:
-    """0-based place of each unit in its cluster's order."""
-    w = Window.partitionBy(cluster_col).orderBy(order_col)
-    return df.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    """0-based place of each unit in its cluster's order.
+
+    A global rank over (cluster, order) from a range-partitioned sort, minus
+    the rank of the cluster's first member: a cluster holding a third of all
+    rows is still spread over many tasks.
+    """
+    from kindred.functions.rank import global_row_number
+    ranked = global_row_number(df, F.asc(cluster_col), F.asc(order_col), name="__r")
+    first = ranked.groupBy(cluster_col).agg(F.min("__r").alias("__f"))
+    return ranked.join(first, cluster_col).withColumn(
+        "position", (F.col("__r") - F.col("__f")).cast("long")).drop("__r", "__f")

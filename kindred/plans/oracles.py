@@ -318,4 +318,9 @@ FROM cls a JOIN cls b ON a.label = b.label GROUP BY a.label, b.class""",
   round(diff, 6) AS diff, no_lt_yes FROM sep""",
     "separation_summary": CLASSES + ",\n" + EUC_CD + ",\n" + SEP + """SELECT round(avg(ratio), 6) AS avg_ratio,
   round(avg(diff), 6) AS avg_diff, round(avg(no_lt_yes), 6) AS share_no_lt_yes FROM sep""",
+    "kept_clusters": w(*DOC, WEIGHTS, COS_PAIRS, COMPONENTS, recursive=True) + """,
+sz AS (SELECT component, count(*)::BIGINT AS cluster_size FROM comp GROUP BY component HAVING count(*) > 15)
+SELECT c.unit_id, c.component AS cluster_id, sz.cluster_size,
+  (row_number() OVER (PARTITION BY c.component ORDER BY c.unit_id) - 1)::BIGINT AS position
+FROM comp c JOIN sz USING (component)""",
 }

@@ -388,3 +388,78 @@ def separation_summary(spark, sf):
     d = SS.class_distance_blocked(VE.with_classes(spark, sf), "label", "class")
     s = SS.separation_summary(SS.class_separation(d, "label", "class"))
     return s.select(*[r6(F.col(c)).alias(c) for c in s.columns])
+
+
+# ------------------------------------------------------------ linkage
+
+from kindred.operators import linkage as LK  # noqa: E402
+
+
+def _link(spark, sf, method, metric="cosine", t=None):
+    v = VE.vectors(spark, sf).select(F.col("vec_id").alias("unit_id"),
+                                     F.col("embedding").cast("array<double>").alias("v"))
+    t = t if t is not None else (VE.T_WARD if method == "ward" else VE.T_LINK)
+    pairs = N.dense_pairs(v, metric, t, id_col="unit_id", vec_col="v", forest=True)
+    return LK.linkage_clusters(v, pairs, t, method, metric, "dense", "unit_id", "v")
+
+
+@query("clusters_average")
+def clusters_average(spark, sf):
+    return _link(spark, sf, "average")
+
+
+@query("clusters_complete")
+def clusters_complete(spark, sf):
+    return _link(spark, sf, "complete")
+
+
+@query("clusters_weighted")
+def clusters_weighted(spark, sf):
+    return _link(spark, sf, "weighted")
+
+
+@query("clusters_ward")
+def clusters_ward(spark, sf):
+    return _link(spark, sf, "ward", "euclidean")
+
+
+@query("clusters_single_dense")
+def clusters_single_dense(spark, sf):
+    return _link(spark, sf, "single")
+
+
+@query("kept_clusters")
+def kept_clusters(spark, sf):
+    """C3 + W11: single-link document clusters above 15 members, each unit's place."""
+    comp = D.components(spark, sf).withColumnRenamed("component", "cluster_id")
+    sizes = comp.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    kept = LK.keep_clusters(comp.join(sizes, "cluster_id"), min_size=D.DEFAULT.min_cluster)
+    return S.position_in_cluster(kept, "cluster_id", "unit_id").select(
+        "unit_id", "cluster_id", "cluster_size", "position")
+
+
+@query("recluster")
+def recluster(spark, sf):
+    """C4: each kept document cluster clustered again (average linkage, cut 0.10)."""
+    w = D.weights(spark, sf)
+    comp = D.components(spark, sf).withColumnRenamed("component", "cluster_id")
+    sizes = comp.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    kept = LK.keep_clusters(comp.join(sizes, "cluster_id"), min_size=D.DEFAULT.min_cluster)
+    vec = V.sparse_vectors(w).withColumnRenamed("vec", "v")
+    members = kept.select("unit_id", F.col("cluster_id").alias("parent_cluster")).join(vec, "unit_id")
+    LK.check_group_sizes(members, "parent_cluster", 5000)
+    return LK.cluster_groups(members, "parent_cluster", 0.10, "average", "cosine", "sparse",
+                             "unit_id", "v")
+
+
+@query("cluster_merges")
+def cluster_merges(spark, sf):
+    """C1 merge table inside each component (average linkage)."""
+    v = VE.vectors(spark, sf).select(F.col("vec_id").alias("unit_id"),
+                                     F.col("embedding").cast("array<double>").alias("v"))
+    pairs = N.dense_pairs(v, "cosine", VE.T_LINK, id_col="unit_id", vec_col="v", forest=True)
+    comp = C.connected_components(pairs, v.select("unit_id"), node_col="unit_id")
+    LK.check_group_sizes(comp, "component", 5000)
+    m = LK.group_merges(v.join(comp, "unit_id"), "component", "average", "cosine", "dense", "unit_id", "v")
+    return m.where(F.col("height") < VE.T_LINK).select(
+        "component", "step", "left", "right", r6(F.col("height")).alias("height"), "size")
