@@ -323,4 +323,27 @@ sz AS (SELECT component, count(*)::BIGINT AS cluster_size FROM comp GROUP BY com
 SELECT c.unit_id, c.component AS cluster_id, sz.cluster_size,
   (row_number() OVER (PARTITION BY c.component ORDER BY c.unit_id) - 1)::BIGINT AS position
 FROM comp c JOIN sz USING (component)""",
+    "minmax": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v,
+    substr(md5(vec_id::VARCHAR || ':7'), 1, 8) < '40000000' AS is_test FROM embeddings),
+x AS (SELECT vec_id, is_test, unnest(v) AS x, unnest(range(len(v)))::INTEGER AS dim FROM e),
+mm AS (SELECT dim, min(x) AS mn, max(x) AS mx FROM x WHERE NOT is_test GROUP BY dim)
+SELECT vec_id, dim, round(CASE WHEN mx = mn THEN 0.5 ELSE (x - mn) / (mx - mn) END, 6) AS x
+FROM x JOIN mm USING (dim) WHERE is_test""",
+    "label_index": """SELECT p_partkey, p_type, (dense_rank() OVER (ORDER BY p_type) - 1)::INTEGER AS type_idx FROM part""",
+    "split": """SELECT vec_id, CASE WHEN substr(md5(vec_id::VARCHAR || ':7'), 1, 8) < '40000000' THEN 1 ELSE 0 END::INTEGER AS is_test
+FROM embeddings""",
+    "sample_k": """SELECT doc_id AS unit_id FROM documents ORDER BY md5(doc_id::VARCHAR || ':0'), doc_id LIMIT 100""",
+    "sample_replace": """WITH f AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS file_idx FROM documents),
+n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT unnest(range(CAST(floor(n * 0.02) AS BIGINT))) AS draw, n FROM n),
+d AS (SELECT draw, floor(('0x' || substr(md5(draw::VARCHAR || ':3'), 1, 13))::BIGINT::DOUBLE
+    / 4503599627370496.0 * n)::BIGINT AS file_idx FROM r)
+SELECT d.draw::BIGINT AS draw, d.file_idx, f.doc_id FROM d JOIN f USING (file_idx)""",
+    "word_difference": r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents)
+SELECT word FROM w WHERE lang = 'en' EXCEPT SELECT word FROM w WHERE lang = 'fr'""",
+    "distinct_words": w(WORDS) + "SELECT DISTINCT token AS word FROM words",
+    "union_sources": r"""WITH w AS (
+  SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents
+  UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) FROM benchmark)
+SELECT word, count(*)::BIGINT AS n FROM w GROUP BY word""",
 }

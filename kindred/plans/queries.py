@@ -463,3 +463,192 @@ def cluster_merges(spark, sf):
     m = LK.group_merges(v.join(comp, "unit_id"), "component", "average", "cosine", "dense", "unit_id", "v")
     return m.where(F.col("height") < VE.T_LINK).select(
         "component", "step", "left", "right", r6(F.col("height")).alias("height"), "size")
+
+
+# ------------------------------------------------------------ classifiers
+
+from kindred.operators import classify as CL  # noqa: E402
+from kindred.operators import embed as EM  # noqa: E402
+from kindred.operators import sampling as SA  # noqa: E402
+
+
+def _emb_split(spark, sf):
+    train, test = VE.train_test(spark, sf)
+    return CL.features(train), CL.features(test)
+
+
+def _clf(name):
+    def run(spark, sf):
+        train, test = _emb_split(spark, sf)
+        return CL.fit_predict(name, train, test)
+    return run
+
+
+for _n in ["logistic", "tree", "gaussian_nb", "svm", "forest", "mlp", "lda", "adaboost"]:
+    QUERIES[f"clf_{_n}"] = _clf(_n)
+
+
+def _doc_label_split(spark, sf):
+    """Labelled documents as count vectors with ``toxic`` as the label."""
+    c = D.counts(spark, sf)
+    dim = D.vocabulary(spark, sf).count()
+    f = CL.dense_from_sparse(c, dim, value="cnt").join(
+        D.labels(spark, sf).select("unit_id", F.col("toxic").alias("label")), "unit_id")
+    return SA.split(f, "unit_id", 0.25, VE.SEED)
+
+
+@query("clf_naive_bayes")
+def clf_naive_bayes(spark, sf):
+    train, test = _doc_label_split(spark, sf)
+    return CL.fit_predict("naive_bayes", train, test, id_col="unit_id")
+
+
+@query("clf_all")
+def clf_all(spark, sf):
+    train, test = _emb_split(spark, sf)
+    return CL.run_all(train, test, ["logistic", "tree", "gaussian_nb", "forest", "lda"])
+
+
+@query("minmax")
+def minmax(spark, sf):
+    train, test = _emb_split(spark, sf)
+    s = CL.minmax(train, test)
+    from pyspark.ml.functions import vector_to_array
+    return s.select("vec_id", F.posexplode(vector_to_array("scaled")).alias("dim", "x")).select(
+        "vec_id", F.col("dim").cast("int"), r6(F.col("x")).alias("x"))
+
+
+@query("pca")
+def pca(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    p = CL.pca(CL.features(VE.vectors(spark, sf)), 50)
+    return p.select("vec_id", vector_to_array("pca").alias("pca"))
+
+
+@query("label_index")
+def label_index(spark, sf):
+    p = ST.load(spark, sf, "part", "p_partkey", "p_type")
+    return CL.label_index(p, "p_type", "type_idx")
+
+
+@query("split")
+def split(spark, sf):
+    train, test = VE.train_test(spark, sf)
+    return train.select("vec_id", F.lit(0).alias("is_test")).unionByName(
+        test.select("vec_id", F.lit(1).alias("is_test")))
+
+
+@query("sample_k")
+def sample_k(spark, sf):
+    u = ST.load(spark, sf, "documents", "doc_id")
+    return SA.sample_k(u, "doc_id", 100, seed=0).withColumnRenamed("doc_id", "unit_id")
+
+
+@query("sample_replace")
+def sample_replace(spark, sf):
+    """2 % of the documents drawn with replacement (index = rank by id)."""
+    u = ST.load(spark, sf, "documents", "doc_id")
+    files = global_row_number(u, F.asc("doc_id"), name="file_idx", start=0)
+    return VO.sample_files_with_replacement(files, 0.02, seed=3).select("draw", "file_idx", "doc_id")
+
+
+@query("nb_per_cluster")
+def nb_per_cluster(spark, sf):
+    """One multinomial naive Bayes per kept cluster vs one pooled model."""
+    from kindred.operators import nbgroups as NB
+    comp = D.components(spark, sf).withColumnRenamed("component", "cluster_id")
+    sizes = comp.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    kept = LK.keep_clusters(comp.join(sizes, "cluster_id"), min_size=D.DEFAULT.min_cluster)
+    lab = D.labels(spark, sf).select("unit_id", F.col("toxic").alias("label"))
+    units = kept.select("unit_id", "cluster_id").join(lab, "unit_id")
+    return NB.per_group_vs_pooled(D.counts(spark, sf), units, D.vocabulary(spark, sf).count(),
+                                  test_fraction=0.25, seed=VE.SEED)
+
+
+# ------------------------------------------------------------ embeddings and topics
+
+def _w2v(spark, sf):
+    lists = EM.word_lists(D.units(spark, sf))
+    return lists, EM.train_word_vectors(lists, size=50, min_count=20, window=10, seed=1)
+
+
+@query("word_vectors")
+def word_vectors(spark, sf):
+    _, m = _w2v(spark, sf)
+    return EM.word_vectors(m)
+
+
+@query("unit_embedding")
+def unit_embedding(spark, sf):
+    lists, m = _w2v(spark, sf)
+    return EM.unit_embedding(lists, EM.word_vectors(m))
+
+
+def _top_words(spark, sf, n):
+    return [r["name"] for r in D.vocabulary(spark, sf).orderBy("idx").limit(n).collect()]
+
+
+@query("similar_words")
+def similar_words(spark, sf):
+    _, m = _w2v(spark, sf)
+    w = _top_words(spark, sf, 2)
+    return EM.most_similar(m, positive=w[:1], negative=w[1:2], n=10)
+
+
+@query("word_similarity")
+def word_similarity(spark, sf):
+    _, m = _w2v(spark, sf)
+    w = _top_words(spark, sf, 4)
+    pairs = spark.createDataFrame([(a, b) for a in w for b in w if a < b], "w1 string, w2 string")
+    return EM.similarity(EM.word_vectors(m), pairs)
+
+
+@query("odd_one_out")
+def odd_one_out(spark, sf):
+    _, m = _w2v(spark, sf)
+    return EM.odd_one_out(EM.word_vectors(m), _top_words(spark, sf, 4))
+
+
+@query("embedding_classifier")
+def embedding_classifier(spark, sf):
+    """E5: unit embeddings as features of a random forest on ``toxic``."""
+    lists, m = _w2v(spark, sf)
+    emb = EM.unit_embedding(lists, EM.word_vectors(m))
+    f = CL.features(emb).join(D.labels(spark, sf).select("unit_id", F.col("toxic").alias("label")),
+                              "unit_id")
+    train, test = SA.split(f, "unit_id", 0.25, VE.SEED)
+    return CL.fit_predict("forest", train, test, id_col="unit_id")
+
+
+@query("topics")
+def topics(spark, sf):
+    return EM.topics(D.units(spark, sf), k=5, max_iter=5, top=10)
+
+
+# ------------------------------------------------------------ sets
+
+def _lang_words(spark, sf, lang):
+    d = ST.load(spark, sf, "documents", "doc_id", "text", "lang").where(F.col("lang") == lang)
+    return VO.token_stream(V.by_unit(d.withColumnRenamed("doc_id", "unit_id"))).select(
+        F.col("token").alias("word"))
+
+
+@query("word_difference")
+def word_difference(spark, sf):
+    """Words of English documents that no French document has."""
+    return _lang_words(spark, sf, "en").distinct().join(
+        _lang_words(spark, sf, "fr").distinct(), "word", "left_anti")
+
+
+@query("distinct_words")
+def distinct_words(spark, sf):
+    """U3."""
+    return D.tokens(spark, sf).select(F.col("token").alias("word")).distinct()
+
+
+@query("union_sources")
+def union_sources(spark, sf):
+    """One word stream from documents and benchmark items; count per word."""
+    b = ST.load(spark, sf, "benchmark", "item_id", "text").withColumnRenamed("item_id", "unit_id")
+    allw = D.tokens(spark, sf).unionByName(VO.token_stream(V.by_unit(b)))
+    return allw.groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
