@@ -346,4 +346,5 @@ SELECT word FROM w WHERE lang = 'en' EXCEPT SELECT word FROM w WHERE lang = 'fr'
   SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents
   UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) FROM benchmark)
 SELECT word, count(*)::BIGINT AS n FROM w GROUP BY word""",
+    "stream_term_counts": w(*DOC) + "SELECT unit_id, idx, cnt FROM counts",
 }

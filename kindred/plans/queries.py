@@ -652,3 +652,21 @@ def union_sources(spark, sf):
     b = ST.load(spark, sf, "benchmark", "item_id", "text").withColumnRenamed("item_id", "unit_id")
     allw = D.tokens(spark, sf).unionByName(VO.token_stream(V.by_unit(b)))
     return allw.groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ streaming (S10, J8 incremental)
+
+@query("stream_term_counts")
+def stream_term_counts(spark, sf):
+    """The documents table read as a file stream, vectorised batch by batch into
+    a stage table in the shared folder; the stored table equals ``term_counts``."""
+    import os
+    import uuid
+    from kindred.session import checkpoint_dir
+    from kindred.streaming.shards import vectorize_stream
+    base = os.path.join(checkpoint_dir(spark), "stream-" + uuid.uuid4().hex)
+    docs = ST.load(spark, sf, "documents")
+    vectorize_stream(spark, os.path.join(sf, "documents*.parquet"), docs.schema,
+                     D.vocabulary(spark, sf), os.path.join(base, "out"), name=os.path.basename(base),
+                     id_col="doc_id")
+    return spark.read.parquet(os.path.join(base, "out")).select("unit_id", "idx", "cnt")
