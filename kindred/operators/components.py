@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from kindred.session import cut_lineage
 
 
+rounds_used = [0]  # rounds of the last run (for inspection)
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
                          src: str = "i", dst: str = "j", node_col: str = "unit_id",
                          max_rounds: int = 60) -> DataFrame:
@@ -32,7 +35,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
     labels = e.groupBy("u").agg(F.min("v").alias("m")).select(
         F.col("u").alias("node"), F.least("u", "m").alias("label"))
     labels = cut_lineage(labels)
-    for _ in range(max_rounds):
+    for rnd in range(max_rounds):
         nb = e.join(labels.select(F.col("node").alias("v"), F.col("label").alias("nl")), "v") \
             .groupBy("u").agg(F.min("nl").alias("nl"))
         step = labels.join(nb.withColumnRenamed("u", "node"), "node", "left") \
@@ -44,6 +47,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
         changed = jumped.join(labels.withColumnRenamed("label", "old"), "node") \
             .where(F.col("label") != F.col("old")).count()
         labels = jumped
+        rounds_used[0] = rnd + 1
         if changed == 0:
             break
     else:

@@ -216,6 +216,21 @@ def _exact_rows(X: np.ndarray, Y: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
+def _pair_values(D: np.ndarray, X: np.ndarray, Y: np.ndarray, r: np.ndarray, c: np.ndarray,
+                 metric: str, chunk_elems: int = 1 << 22) -> np.ndarray:
+    """Distances of the kept cells. Cosine and Jaccard matrix values are
+    already exact to rounding; the Euclidean forms come from an expansion that
+    cancels for near points, so those cells are recomputed directly, in
+    chunks that bound the memory of the gathered rows."""
+    if metric not in ("euclidean", "sqeuclidean"):
+        return D[r, c]
+    out = np.empty(len(r))
+    step = max(1, chunk_elems // max(1, X.shape[1]))
+    for s in range(0, len(r), step):
+        out[s:s + step] = _exact_rows(X[r[s:s + step]], Y[c[s:s + step]], metric)
+    return out
+
+
 def n_blocks_for(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
 
@@ -255,8 +270,9 @@ def _split(pdf: pd.DataFrame, dim: int | None = None):
     return ba == bb, left["id"].to_numpy(), X, right["id"].to_numpy(), Y
 
 
-def _forest(i: np.ndarray, j: np.ndarray):
-    """Keep a spanning forest of the edges (same connectivity, fewer rows)."""
+def _stars(i: np.ndarray, j: np.ndarray):
+    """Connectivity of the edges as stars: each node -> smallest node of its
+    local component (same components, diameter 2, at most one edge per node)."""
     parent: dict = {}
 
     def find(x):
@@ -267,13 +283,15 @@ def _forest(i: np.ndarray, j: np.ndarray):
             parent[x], x = root, parent[x]
         return root
 
-    keep = np.zeros(len(i), dtype=bool)
-    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+    for a, b in zip(i.tolist(), j.tolist()):
         ra, rb = find(a), find(b)
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
-            keep[n] = True
-    return keep
+    nodes = list(parent)
+    roots = [find(x) for x in nodes]
+    keep = [(r, x) for x, r in zip(nodes, roots) if r != x]
+    return (np.array([r for r, _ in keep], dtype=np.int64),
+            np.array([x for _, x in keep], dtype=np.int64))
 
 
 def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = None,
@@ -286,7 +304,8 @@ def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = No
     ``kind='sparse'`` takes ``map<idx, w>`` vectors with ``0 <= idx < dim``
     (a cut vocabulary) and densifies them per block. ``inclusive`` keeps
     ``dist <= t``. ``forest`` keeps only a spanning forest of each block pair's
-    edges: the same connected components from O(n * blocks) edges.
+    edges as stars (dist null): the same connected components from
+    O(n * blocks) edges.
     """
     if n_rows is None:
         n_rows = vectors.count()
@@ -302,15 +321,15 @@ def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = No
         if same:
             keep &= ia[:, None] < ib[None, :]
         r, c = np.nonzero(keep)
-        d = _exact_rows(X[r], Y[c], metric)
+        d = _pair_values(D, X, Y, r, c, metric)
         i, j = ia[r], ib[c]
         lo, hi = np.minimum(i, j), np.maximum(i, j)
         if t is not None:
             ok = (d <= t) if inclusive else (d < t)
             lo, hi, d = lo[ok], hi[ok], d[ok]
-        if forest and len(lo):
-            f = _forest(lo, hi)
-            lo, hi, d = lo[f], hi[f], d[f]
+        if forest:
+            lo, hi = _stars(lo, hi)
+            d = np.full(len(lo), np.nan)
         return pd.DataFrame({"i": lo, "j": hi, "dist": d})
 
     return _block_input(vectors, id_col, vec_col, nb, kind).groupBy("ba", "bb").applyInPandas(
@@ -441,7 +460,7 @@ def cross_nearest(queries: DataFrame, refs: DataFrame, k: int = 5, metric: str =
             np.tile(np.arange(D.shape[1]), (D.shape[0], 1))
         rows = np.repeat(np.arange(D.shape[0]), part.shape[1])
         cols = part.reshape(-1)
-        d = _exact_rows(Q[rows], R[cols], metric)
+        d = _pair_values(D, Q, R, rows, cols, metric)
         return pd.DataFrame({"i": qi[rows], "j": rj[cols], "dist": d})
 
     cand = both.groupBy("bq", "br").applyInPandas(run, "i long, j long, dist double")

@@ -33,6 +33,15 @@ def token_frequency(tokens: DataFrame, token_col: str = "token",
             .agg(F.count(F.lit(1)).alias("frequency")))
 
 
+def frequency_from_counts(word_counts: DataFrame, token_col: str = "token",
+                          min_length: int = 3) -> DataFrame:
+    """A1 + P2 from per-unit word counts (``unit_id, token, cnt``)."""
+    t = F.col(token_col)
+    return (word_counts.where(t.isNotNull() & (F.char_length(t) >= min_length))
+            .groupBy(F.lower(t).alias("name"))
+            .agg(F.sum("cnt").cast("long").alias("frequency")))
+
+
 def vocabulary_order():
     """T3 order as sort expressions."""
     return [F.desc("frequency"), F.desc("name")]

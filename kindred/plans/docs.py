@@ -43,21 +43,36 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VO.token_stream(units(spark, sf_dir))
 
 
-def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VO.token_frequency(tokens(spark, sf_dir))
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage table ``unit_id, token, cnt`` over every word: the texts are
+    split once, and both the vocabulary and the vocabulary counts read it
+    (checkpointed to the shared folder; its unit_id partitioning is kept)."""
+    return cut_lineage(V.term_counts(units(spark, sf_dir)))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
-    clean = VO.clean_vocabulary(frequency(spark, sf_dir))
+def frequency(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
+    if wc is None:
+        return VO.token_frequency(tokens(spark, sf_dir))
+    return VO.frequency_from_counts(wc)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
+               wc: DataFrame | None = None) -> DataFrame:
+    clean = VO.clean_vocabulary(frequency(spark, sf_dir, wc))
     return VO.cut_vocabulary(clean, s.vocab_take, s.vocab_skip, s.vocab_min)
 
 
 def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool = False,
            stage: bool = True) -> DataFrame:
-    """Term counts over the cut vocabulary. As a stage table (checkpointed to
-    the shared folder, partitioning kept) it is computed once and read by the
-    unit count, the document frequency and the weights."""
-    c = V.term_counts(units(spark, sf_dir), vocabulary(spark, sf_dir, s), binary=binary)
+    """Term counts over the cut vocabulary, derived from the word-count stage
+    (broadcast join with the cut, at most ``vocab_take`` rows). As a stage
+    table it is computed once and read by the unit count, the document
+    frequency and the weights."""
+    wc = word_counts(spark, sf_dir)
+    voc = F.broadcast(vocabulary(spark, sf_dir, s, wc).select(F.col("name").alias("token"), "idx"))
+    c = wc.join(voc, "token").select("unit_id", "idx", "cnt")
+    if binary:
+        c = c.withColumn("cnt", F.lit(1).cast("long"))
     return cut_lineage(c) if stage else c
 
 

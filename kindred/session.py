@@ -63,9 +63,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives executor loss)."""
+    """Reliable checkpoint (written to the shared folder, survives executor loss).
+
+    A reliable checkpoint writes its files in a second job that recomputes the
+    plan unless it is persisted, so the rows are persisted (memory, spilling
+    to disk) for the two jobs and released once the files are written.
+    """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
