@@ -102,7 +102,7 @@ def cosine_within(weights: DataFrame, t: float, df: DataFrame | None = None,
 # Blocks cost about n^2 * dim multiply-adds in BLAS; the prefix join about
 # (posting pairs) row operations in the JVM. A row operation costs roughly as
 # much as this many BLAS multiply-adds:
-ROW_OP_FLOPS = 2000.0
+ROW_OP_FLOPS = 20000.0
 MAX_BLOCK_DIM = 8192
 
 
@@ -120,24 +120,39 @@ def _choose(indexed: DataFrame, w: DataFrame, dim: int | None) -> str:
 
 
 def jaccard_within(sets: DataFrame, t: float, key: str = "idx",
-                   df: DataFrame | None = None) -> DataFrame:
+                   df: DataFrame | None = None, strategy: str = "auto",
+                   dim: int | None = None, block_rows: int = 1024) -> DataFrame:
     """N3 (set Jaccard, thresholded): all ``i < j`` with ``1 - |x&y|/|x|y| < t``.
 
-    ``sets`` holds one row per (unit, term). Prefix length for Jaccard >= theta
-    is ``|x| - ceil(theta*|x|) + 1`` terms in the global rare-first order.
+    ``sets`` holds one row per (unit, term). ``prefix``: for Jaccard >= theta a
+    unit indexes its first ``|x| - ceil(theta*|x|) + 1`` terms in the global
+    rare-first order, candidates share an indexed term and are scored with
+    ``array_intersect``. ``blocks``: 0/1 block matrices over a bounded ``dim``,
+    intersections by one matrix product per block pair (exact integers).
+    ``auto`` picks by the size of the prefix join, as for cosine.
     """
     theta = 1.0 - t
-    s = sets.select("unit_id", F.col(key)).distinct()
+    s = sets.select("unit_id", F.col(key).alias("idx")).distinct()
     if df is None:
-        df = s.groupBy(key).agg(F.count(F.lit(1)).alias("df"))
+        df = s.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
     per_unit = Window.partitionBy("unit_id")
-    ordered = Window.partitionBy("unit_id").orderBy(F.asc("df"), F.asc(key))
-    x = s.join(F.broadcast(df.select(key, "df")), key) \
+    ordered = Window.partitionBy("unit_id").orderBy(F.asc("df"), F.asc("idx"))
+    x = s.join(F.broadcast(df.select("idx", "df")), "idx") \
         .withColumn("n", F.count(F.lit(1)).over(per_unit)) \
         .withColumn("r", F.row_number().over(ordered))
     plen = F.col("n") - F.ceil(F.col("n") * F.lit(theta - _EPS)) + 1
-    cand = candidate_pairs(x.where(F.col("r") <= plen).select("unit_id", key), key)
-    arr = s.groupBy("unit_id").agg(F.collect_list(key).alias("a"))
+    indexed = x.where(F.col("r") <= plen).select("unit_id", "idx")
+    if strategy == "auto":
+        strategy = _choose(indexed, s.withColumn("w", F.lit(1.0)), dim)
+    if strategy == "blocks":
+        if dim is None:
+            dim = s.agg(F.max("idx")).first()[0] + 1
+        vec = s.groupBy("unit_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("idx", F.lit(1.0)))).alias("vec"))
+        return dense_pairs(vec, "jaccard_set", t, "unit_id", "vec", block_rows=block_rows,
+                           kind="sparse", dim=dim)
+    cand = candidate_pairs(indexed, "idx")
+    arr = s.groupBy("unit_id").agg(F.collect_list("idx").alias("a"))
     ai = arr.select(F.col("unit_id").alias("i"), F.col("a").alias("ai"))
     aj = arr.select(F.col("unit_id").alias("j"), F.col("a").alias("aj"))
     inter = F.size(F.array_intersect("ai", "aj"))
@@ -180,6 +195,12 @@ def _dist_matrix(X: np.ndarray, Y: np.ndarray, metric: str) -> np.ndarray:
     if metric == "sqeuclidean":
         sq = (X * X).sum(1)[:, None] + (Y * Y).sum(1)[None, :] - 2.0 * (X @ Y.T)
         return np.maximum(sq, 0.0)
+    if metric == "jaccard_set":
+        A, B = (X != 0).astype(np.float64), (Y != 0).astype(np.float64)
+        inter = A @ B.T  # integer counts, exact in float64
+        union = A.sum(1)[:, None] + B.sum(1)[None, :] - inter
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(union > 0, 1.0 - inter / union, 0.0)
     if metric in ("jaccard", "jaccard_binary"):
         if metric == "jaccard_binary":
             X, Y = X != 0, Y != 0

@@ -19,13 +19,19 @@ from kindred.operators import pairs as N
 from kindred.operators import vectorize as V
 from kindred.operators import vocab as VO
 from kindred.plans import docs as D
+from kindred.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf):
+            ship_package(spark)
+            return fn(spark, sf)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
@@ -132,7 +138,7 @@ def pair_distance_cosine(spark, sf):
 
 
 def _jaccard_pairs(spark, sf):
-    return N.jaccard_within(D.counts(spark, sf), D.DEFAULT.t_jaccard)
+    return N.jaccard_within(D.counts(spark, sf), D.DEFAULT.t_jaccard, dim=D.DEFAULT.vocab_take + 1)
 
 
 @query("pair_distance_jaccard")
@@ -485,7 +491,7 @@ def _clf(name):
 
 
 for _n in ["logistic", "tree", "gaussian_nb", "svm", "forest", "mlp", "lda", "adaboost"]:
-    QUERIES[f"clf_{_n}"] = _clf(_n)
+    query(f"clf_{_n}")(_clf(_n))
 
 
 def _doc_label_split(spark, sf):

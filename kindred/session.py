@@ -37,9 +37,36 @@ def get_spark(master: str | None = None, app: str = "kindred",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kindred`` importable in executor Python workers (once per context).
+
+    The package is zipped on the driver and handed to ``addPyFile``, which
+    ships it to every executor; pandas functions defined here then import on
+    any worker, whatever the driver's working directory is.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_kindred_shipped", False):
+        return
+    import kindred
+    root = os.path.dirname(os.path.dirname(os.path.abspath(kindred.__file__)))
+    fd, path = tempfile.mkstemp(prefix="kindred-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "kindred")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._kindred_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

@@ -42,7 +42,8 @@ def test_cosine_within_matches_brute_force(spark, strategy):
         assert abs(r.dist - (1 - S[r.i, r.j])) < 1e-9
 
 
-def test_jaccard_within_matches_brute_force(spark):
+@pytest.mark.parametrize("strategy", ["prefix", "blocks"])
+def test_jaccard_within_matches_brute_force(spark, strategy):
     counts = _random_counts(spark, seed=1)
     sets = {}
     for r in counts.collect():
@@ -53,7 +54,8 @@ def test_jaccard_within_matches_brute_force(spark):
         for j in sets:
             if i < j and 1 - len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < t:
                 want.add((i, j))
-    got = {(r.i, r.j) for r in N.jaccard_within(counts, t).collect()}
+    got = {(r.i, r.j) for r in N.jaccard_within(counts, t, strategy=strategy, dim=40,
+                                                 block_rows=37).collect()}
     assert got == want
 
 
