@@ -39,14 +39,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
         nb = e.join(labels.select(F.col("node").alias("v"), F.col("label").alias("nl")), "v") \
             .groupBy("u").agg(F.min("nl").alias("nl"))
         step = labels.join(nb.withColumnRenamed("u", "node"), "node", "left") \
-            .select("node", F.least("label", F.coalesce("nl", "label")).alias("label"))
+            .select("node", F.col("label").alias("old"),
+                    F.least("label", F.coalesce("nl", "label")).alias("label"))
         parent = step.select(F.col("node").alias("label"), F.col("label").alias("pl"))
         jumped = step.join(parent, "label", "left").select(
-            "node", F.least("label", F.coalesce("pl", "label")).alias("label"))
+            "node", "old", F.least("label", F.coalesce("pl", "label")).alias("label"))
         jumped = cut_lineage(jumped)
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "node") \
-            .where(F.col("label") != F.col("old")).count()
-        labels = jumped
+        changed = jumped.where(F.col("label") != F.col("old")).count()  # reads the checkpoint
+        labels = jumped.select("node", "label")
         rounds_used[0] = rnd + 1
         if changed == 0:
             break

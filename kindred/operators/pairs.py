@@ -75,15 +75,16 @@ def cosine_within(weights: DataFrame, t: float, df: DataFrame | None = None,
     if df is None:
         df = document_frequency(w, "idx")
     indexed = _prefix_terms(w, df, theta, "idx")
+    n_units = None
     if strategy == "auto":
-        strategy = _choose(indexed, w, dim)
+        strategy, n_units = _choose(indexed, w, dim)
     if strategy == "blocks":
         if dim is None:
             dim = w.agg(F.max("idx")).first()[0] + 1
         vec = w.groupBy("unit_id").agg(
             F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("vec"))
         return dense_pairs(vec, "cosine", t, "unit_id", "vec", block_rows=block_rows,
-                           kind="sparse", dim=dim, forest=forest)
+                           kind="sparse", dim=dim, forest=forest, n_rows=n_units)
     cand = candidate_pairs(indexed, "idx")
     vec = w.groupBy("unit_id").agg(
         F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("vec"))
@@ -106,17 +107,19 @@ ROW_OP_FLOPS = 20000.0
 MAX_BLOCK_DIM = 8192
 
 
-def _choose(indexed: DataFrame, w: DataFrame, dim: int | None) -> str:
+def _choose(indexed: DataFrame, w: DataFrame, dim: int | None):
+    """``(strategy, n_units)``: every unit indexes at least its rarest term, so
+    the units of ``indexed`` are all units."""
     stats = indexed.groupBy("idx").agg(F.count(F.lit(1)).alias("c")).agg(
         F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"),
         F.max("idx").alias("maxidx")).first()
-    n = w.select("unit_id").distinct().count()
+    n = indexed.select("unit_id").distinct().count()
     d = dim if dim is not None else (stats["maxidx"] or 0) + 1
     if d > MAX_BLOCK_DIM:
-        return "prefix"
+        return "prefix", n
     blocks_cost = n * n / 2.0 * d
     prefix_cost = float(stats["pairs"] or 0) * ROW_OP_FLOPS
-    return "blocks" if blocks_cost < prefix_cost else "prefix"
+    return ("blocks" if blocks_cost < prefix_cost else "prefix"), n
 
 
 def jaccard_within(sets: DataFrame, t: float, key: str = "idx",
@@ -142,15 +145,16 @@ def jaccard_within(sets: DataFrame, t: float, key: str = "idx",
         .withColumn("r", F.row_number().over(ordered))
     plen = F.col("n") - F.ceil(F.col("n") * F.lit(theta - _EPS)) + 1
     indexed = x.where(F.col("r") <= plen).select("unit_id", "idx")
+    n_units = None
     if strategy == "auto":
-        strategy = _choose(indexed, s.withColumn("w", F.lit(1.0)), dim)
+        strategy, n_units = _choose(indexed, s, dim)
     if strategy == "blocks":
         if dim is None:
             dim = s.agg(F.max("idx")).first()[0] + 1
         vec = s.groupBy("unit_id").agg(
             F.map_from_entries(F.collect_list(F.struct("idx", F.lit(1.0)))).alias("vec"))
         return dense_pairs(vec, "jaccard_set", t, "unit_id", "vec", block_rows=block_rows,
-                           kind="sparse", dim=dim)
+                           kind="sparse", dim=dim, n_rows=n_units)
     cand = candidate_pairs(indexed, "idx")
     arr = s.groupBy("unit_id").agg(F.collect_list("idx").alias("a"))
     ai = arr.select(F.col("unit_id").alias("i"), F.col("a").alias("ai"))
