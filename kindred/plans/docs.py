@@ -47,7 +47,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage table ``unit_id, token, cnt`` over every word: the texts are
     split once, and both the vocabulary and the vocabulary counts read it
     (checkpointed to the shared folder; its unit_id partitioning is kept)."""
-    return cut_lineage(V.term_counts(units(spark, sf_dir)))
+    return cut_lineage(V.term_counts(units(spark, sf_dir)), keep_partitioning=True)
 
 
 def frequency(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool
     c = wc.join(voc, "token").select("unit_id", "idx", "cnt")
     if binary:
         c = c.withColumn("cnt", F.lit(1).cast("long"))
-    return cut_lineage(c) if stage else c
+    return cut_lineage(c, keep_partitioning=True) if stage else c
 
 
 def weights(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
