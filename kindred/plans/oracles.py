@@ -347,4 +347,43 @@ SELECT word FROM w WHERE lang = 'en' EXCEPT SELECT word FROM w WHERE lang = 'fr'
   UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) FROM benchmark)
 SELECT word, count(*)::BIGINT AS n FROM w GROUP BY word""",
     "stream_term_counts": w(*DOC) + "SELECT unit_id, idx, cnt FROM counts",
+    "long_units": """SELECT conv_id, turn FROM conversations WHERE length(replace(text, chr(10), '')) > 2""",
+    "top_words_per_lang": r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents),
+f AS (SELECT lang, word, count(*)::BIGINT AS n FROM w GROUP BY 1, 2)
+SELECT lang, word, n FROM f QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word ASC) <= 5""",
+    "first_clusters": w(*DOC, WEIGHTS, COS_PAIRS, COMPONENTS, recursive=True) + """,
+sz AS (SELECT component, count(*)::BIGINT AS cluster_size FROM comp GROUP BY component HAVING count(*) > 15),
+firsts AS (SELECT component FROM sz ORDER BY component LIMIT 2)
+SELECT c.unit_id, c.component AS cluster_id, sz.cluster_size FROM comp c JOIN sz USING (component)
+WHERE c.component IN (SELECT component FROM firsts)""",
+    "class_means": KNN + ",\n" + CONF + ",\n" + REPORT + """SELECT round(avg(precision), 6) AS macro_precision,
+  round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
+  round(sum(precision * support) / sum(support), 6) AS weighted_precision,
+  round(sum(recall * support) / sum(support), 6) AS weighted_recall,
+  round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM rep""",
+    "nb_per_cluster": w(*DOC, WEIGHTS, COS_PAIRS, COMPONENTS, recursive=True) + """,
+szc AS (SELECT component FROM comp GROUP BY component HAVING count(*) > 15),
+units AS (SELECT c.unit_id, c.component AS cluster_id, l.toxic AS label
+  FROM comp c JOIN szc USING (component) JOIN labels l ON l.doc_id = c.unit_id),
+sp AS (SELECT *, substr(md5(unit_id::VARCHAR || ':7'), 1, 8) < '40000000' AS is_test FROM units),
+sc AS (SELECT unit_id, cluster_id AS scope, label, is_test FROM sp
+  UNION ALL SELECT unit_id, -1, label, is_test FROM sp),
+tr AS (SELECT * FROM sc WHERE NOT is_test), te AS (SELECT * FROM sc WHERE is_test),
+vsize AS (SELECT count(*) AS v FROM vocab),
+pt AS (SELECT tr.scope, tr.label, c.idx, sum(c.cnt) AS c FROM counts c JOIN tr USING (unit_id) GROUP BY 1, 2, 3),
+pc AS (SELECT tr.scope, tr.label, sum(c.cnt) AS tot FROM counts c JOIN tr USING (unit_id) GROUP BY 1, 2),
+lp AS (SELECT pt.scope, pt.label, pt.idx, ln(pt.c + 1.0) - ln(pc.tot + vsize.v) AS lp
+  FROM pt JOIN pc USING (scope, label), vsize),
+ns AS (SELECT scope, count(*) AS n FROM tr GROUP BY 1),
+pr AS (SELECT tr.scope, tr.label, ln(count(*)) - ln(max(ns.n)) AS prior FROM tr JOIN ns USING (scope) GROUP BY 1, 2),
+prd AS (SELECT pr.*, ln(pc.tot + vsize.v) AS den FROM pr JOIN pc USING (scope, label), vsize),
+tu AS (SELECT te.scope, te.unit_id, c.idx, c.cnt FROM counts c JOIN te USING (unit_id)),
+cand AS (SELECT tu.*, prd.label, prd.prior, prd.den FROM tu JOIN prd USING (scope)),
+seen AS (SELECT cand.*, lp.lp FROM cand LEFT JOIN lp USING (scope, label, idx)),
+scores AS (SELECT scope, unit_id, label, coalesce(sum(cnt * lp), 0)
+    + sum(CASE WHEN lp IS NULL THEN cnt ELSE 0 END) * (ln(1.0) - max(den)) + max(prior) AS score
+  FROM seen GROUP BY 1, 2, 3),
+best AS (SELECT scope, unit_id, label AS prediction FROM scores
+  QUALIFY row_number() OVER (PARTITION BY scope, unit_id ORDER BY score DESC, label ASC) = 1)
+SELECT te.scope, te.unit_id, te.label, best.prediction FROM te JOIN best USING (scope, unit_id)""",
 }

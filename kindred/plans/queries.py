@@ -676,3 +676,37 @@ def stream_term_counts(spark, sf):
                      D.vocabulary(spark, sf), os.path.join(base, "out"), name=os.path.basename(base),
                      id_col="doc_id")
     return spark.read.parquet(os.path.join(base, "out")).select("unit_id", "idx", "cnt")
+
+
+# ------------------------------------------------------------ small operators (P7, T4, T5, R2 means)
+
+@query("long_units")
+def long_units(spark, sf):
+    """Units with more than 2 characters once newlines are removed."""
+    u = ST.load(spark, sf, "conversations", "conv_id", "turn", "text")
+    return u.where(T.long_enough("text", 2)).select("conv_id", "turn")
+
+
+@query("top_words_per_lang")
+def top_words_per_lang(spark, sf):
+    """T5: the 5 most frequent words of each language (ties: word ascending)."""
+    d = ST.load(spark, sf, "documents", "doc_id", "text", "lang").withColumnRenamed("doc_id", "unit_id")
+    w = V.by_unit(d).select("lang", F.explode(T.words("text")).alias("word"))
+    f = w.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return SA.top_n_per_group(f, "lang", [F.desc("n"), F.asc("word")], 5)
+
+
+@query("first_clusters")
+def first_clusters(spark, sf):
+    """T4 + C3: members of the first 2 kept clusters (by smallest id)."""
+    comp = D.components(spark, sf).withColumnRenamed("component", "cluster_id")
+    sizes = comp.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return LK.keep_clusters(comp.join(sizes, "cluster_id"), min_size=D.DEFAULT.min_cluster,
+                            first_n=2).select("unit_id", "cluster_id", "cluster_size")
+
+
+@query("class_means")
+def class_means(spark, sf):
+    """R2 averages: macro and support-weighted precision, recall and F1."""
+    m = EV.class_means(EV.class_report(EV.confusion(VE.knn_predictions(spark, sf))))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
