@@ -34,6 +34,23 @@ class Settings:
 
 DEFAULT = Settings()
 
+# Stage tables already written in this Spark application, by (stage, folder,
+# settings): a query that needs the counts or the components twice builds
+# them once (the S11 reuse). Checkpointed frames live on the shared folder.
+_STAGES: dict = {}
+
+
+def _stage(spark: SparkSession, key: tuple, build):
+    k = (spark.sparkContext.applicationId,) + key
+    if k not in _STAGES:
+        _STAGES[k] = build()
+    return _STAGES[k]
+
+
+def reset_stages() -> None:
+    """Forget stored stages (each later query builds its own again)."""
+    _STAGES.clear()
+
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.by_unit(units_from_documents(spark, sf_dir))
@@ -47,7 +64,8 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage table ``unit_id, token, cnt`` over every word: the texts are
     split once, and both the vocabulary and the vocabulary counts read it
     (checkpointed to the shared folder; its unit_id partitioning is kept)."""
-    return cut_lineage(V.term_counts(units(spark, sf_dir)), keep_partitioning=True)
+    return _stage(spark, ("word_counts", sf_dir), lambda: cut_lineage(
+        V.term_counts(units(spark, sf_dir)), keep_partitioning=True))
 
 
 def frequency(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
@@ -58,8 +76,11 @@ def frequency(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) ->
 
 def vocabulary(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
                wc: DataFrame | None = None) -> DataFrame:
-    clean = VO.clean_vocabulary(frequency(spark, sf_dir, wc))
-    return VO.cut_vocabulary(clean, s.vocab_take, s.vocab_skip, s.vocab_min)
+    """The cut vocabulary (at most ``vocab_take`` rows), from the word-count stage."""
+    def build():
+        clean = VO.clean_vocabulary(frequency(spark, sf_dir, word_counts(spark, sf_dir)))
+        return cut_lineage(VO.cut_vocabulary(clean, s.vocab_take, s.vocab_skip, s.vocab_min))
+    return _stage(spark, ("vocabulary", sf_dir, s), build)
 
 
 def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool = False,
@@ -68,16 +89,20 @@ def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool
     (broadcast join with the cut, at most ``vocab_take`` rows). As a stage
     table it is computed once and read by the unit count, the document
     frequency and the weights."""
-    wc = word_counts(spark, sf_dir)
-    voc = F.broadcast(vocabulary(spark, sf_dir, s, wc).select(F.col("name").alias("token"), "idx"))
-    c = wc.join(voc, "token").select("unit_id", "idx", "cnt")
+    def build():
+        wc = word_counts(spark, sf_dir)
+        voc = F.broadcast(vocabulary(spark, sf_dir, s).select(F.col("name").alias("token"), "idx"))
+        c = wc.join(voc, "token").select("unit_id", "idx", "cnt")
+        return cut_lineage(c, keep_partitioning=True)
+    c = _stage(spark, ("counts", sf_dir, s), build)
     if binary:
         c = c.withColumn("cnt", F.lit(1).cast("long"))
-    return cut_lineage(c, keep_partitioning=True) if stage else c
+    return c
 
 
 def weights(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
-    return V.tfidf(counts(spark, sf_dir, s))
+    return _stage(spark, ("weights", sf_dir, s), lambda: cut_lineage(
+        V.tfidf(counts(spark, sf_dir, s)), keep_partitioning=True))
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
@@ -87,10 +112,12 @@ def cosine_pairs(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
 
 
 def components(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
-    w = weights(spark, sf_dir, s)
-    pairs = N.cosine_within(w, s.t_cosine, dim=s.vocab_take + 1, forest=True)
-    nodes = w.select("unit_id").distinct()
-    return C.connected_components(pairs, nodes, node_col="unit_id")
+    def build():
+        w = weights(spark, sf_dir, s)
+        pairs = N.cosine_within(w, s.t_cosine, dim=s.vocab_take + 1, forest=True)
+        nodes = w.select("unit_id").distinct()
+        return cut_lineage(C.connected_components(pairs, nodes, node_col="unit_id"))
+    return _stage(spark, ("components", sf_dir, s), build)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
