@@ -2,16 +2,17 @@
 
 Min-label propagation with pointer jumping: each round every node takes the
 smallest label among itself and its neighbours, then jumps to its label's
-label. Rounds are bounded by about log of the diameter in practice. Each
-round's labels are written with a reliable ``checkpoint()`` to the shared
-checkpoint folder, so lineage stays short and a lost executor only recomputes
-one round. The stop test is one ``count()`` per round (a driver scalar).
+label. Rounds are bounded by about log of the diameter in practice. Rounds
+are persisted, and every ``checkpoint_every``-th round's labels are written
+with a reliable ``checkpoint()`` to the shared checkpoint folder, so lineage
+stays short and a lost executor recomputes at most a few rounds. The stop test is one ``count()`` per round (a driver scalar).
 A hub node (one label shared by a third of all nodes) makes the jump join
 skewed on that label; AQE's skew join splits it.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ rounds_used = [0]  # rounds of the last run (for inspection)
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
                          src: str = "i", dst: str = "j", node_col: str = "unit_id",
-                         max_rounds: int = 60) -> DataFrame:
+                         max_rounds: int = 60, checkpoint_every: int = 3) -> DataFrame:
     """``node_col, component`` where component is the smallest node id in it.
 
     ``nodes`` (optional, column ``node_col``) adds isolated nodes as their own
@@ -34,7 +35,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
     e = cut_lineage(e)
     labels = e.groupBy("u").agg(F.min("v").alias("m")).select(
         F.col("u").alias("node"), F.least("u", "m").alias("label"))
-    labels = cut_lineage(labels)
+    held = None
     for rnd in range(max_rounds):
         nb = e.join(labels.select(F.col("node").alias("v"), F.col("label").alias("nl")), "v") \
             .groupBy("u").agg(F.min("nl").alias("nl"))
@@ -44,8 +45,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
         parent = step.select(F.col("node").alias("label"), F.col("label").alias("pl"))
         jumped = step.join(parent, "label", "left").select(
             "node", "old", F.least("label", F.coalesce("pl", "label")).alias("label"))
-        jumped = cut_lineage(jumped)
-        changed = jumped.where(F.col("label") != F.col("old")).count()  # reads the checkpoint
+        if (rnd + 1) % checkpoint_every == 0:
+            jumped = cut_lineage(jumped)      # lineage cut: a lost executor redoes few rounds
+        else:
+            jumped = jumped.persist(StorageLevel.MEMORY_AND_DISK)
+        changed = jumped.where(F.col("label") != F.col("old")).count()  # materialises this round
+        if held is not None:
+            held.unpersist()
+        held = jumped if jumped.storageLevel.useMemory or jumped.storageLevel.useDisk else None
         labels = jumped.select("node", "label")
         rounds_used[0] = rnd + 1
         if changed == 0:

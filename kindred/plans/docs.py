@@ -76,9 +76,15 @@ def frequency(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) ->
 
 def vocabulary(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
                wc: DataFrame | None = None) -> DataFrame:
-    """The cut vocabulary (at most ``vocab_take`` rows), from the word-count stage."""
+    """The cut vocabulary (at most ``vocab_take`` rows). Read from the
+    word-count stage when that is already written (or asked for), else from
+    one pass over the words; both give the same rows."""
+    have = (spark.sparkContext.applicationId, "word_counts", sf_dir) in _STAGES
+    if wc is None and have:
+        wc = word_counts(spark, sf_dir)
+
     def build():
-        clean = VO.clean_vocabulary(frequency(spark, sf_dir, word_counts(spark, sf_dir)))
+        clean = VO.clean_vocabulary(frequency(spark, sf_dir, wc))
         return cut_lineage(VO.cut_vocabulary(clean, s.vocab_take, s.vocab_skip, s.vocab_min))
     return _stage(spark, ("vocabulary", sf_dir, s), build)
 
@@ -91,7 +97,7 @@ def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool
     frequency and the weights."""
     def build():
         wc = word_counts(spark, sf_dir)
-        voc = F.broadcast(vocabulary(spark, sf_dir, s).select(F.col("name").alias("token"), "idx"))
+        voc = F.broadcast(vocabulary(spark, sf_dir, s, wc).select(F.col("name").alias("token"), "idx"))
         c = wc.join(voc, "token").select("unit_id", "idx", "cnt")
         return cut_lineage(c, keep_partitioning=True)
     c = _stage(spark, ("counts", sf_dir, s), build)
@@ -101,8 +107,7 @@ def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool
 
 
 def weights(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
-    return _stage(spark, ("weights", sf_dir, s), lambda: cut_lineage(
-        V.tfidf(counts(spark, sf_dir, s)), keep_partitioning=True))
+    return _stage(spark, ("weights", sf_dir, s), lambda: V.tfidf(counts(spark, sf_dir, s)))
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
