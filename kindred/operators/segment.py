@@ -81,15 +81,27 @@ def pair_markers(tokens: DataFrame, begin=None, end=None, file_col: str = "file"
     return bs.join(es, [file_col, "k"]).join(ok, file_col, "left_semi")
 
 
-def unit_rows(tokens: DataFrame, begin=None, end=None, file_col: str = "file") -> DataFrame:
+def unit_rows(tokens: DataFrame, begin=None, end=None, file_col: str = "file",
+              scan: str = "distributed") -> DataFrame:
     """Every token row of every unit (``file, k, pos, token, line``), in
-    linear time from running marker counts (see module note)."""
+    linear time from running marker counts (see module note).
+
+    ``scan='distributed'`` computes the running counts with a range sort and
+    per-partition offsets (one huge file is spread over many tasks);
+    ``scan='window'`` uses one window per file (fewer jobs for small files).
+    """
+    from kindred.functions.rank import running_sums
     b, e = _pred(begin, BEGIN), _pred(end, END)
     ok = marker_check(tokens, begin, end, file_col).where(F.col("reason").isNull()).select(file_col)
-    w = Window.partitionBy(file_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = tokens.join(ok, file_col, "left_semi") \
-        .withColumn("__b", F.sum(b.cast("int")).over(w)) \
-        .withColumn("__e", F.sum(e.cast("int")).over(w) - e.cast("int"))
+    x = tokens.join(ok, file_col, "left_semi")
+    if scan == "distributed":
+        x = running_sums(x.withColumn("__isb", b.cast("int")).withColumn("__ise", e.cast("int")),
+                         file_col, "pos", {"__b": F.col("__isb"), "__ecum": F.col("__ise")})
+        x = x.withColumn("__e", F.col("__ecum") - F.col("__ise")).drop("__isb", "__ise", "__ecum")
+    else:
+        w = Window.partitionBy(file_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("__b", F.sum(b.cast("int")).over(w)) \
+            .withColumn("__e", F.sum(e.cast("int")).over(w) - e.cast("int"))
     x = x.where(F.col("__b") >= F.col("__e") + 1)
     x = x.withColumn("k", F.explode(F.sequence(F.col("__e") + 1, F.col("__b"))))
     return x.drop("__b", "__e")
