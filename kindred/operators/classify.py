@@ -4,8 +4,8 @@ Estimators are ``pyspark.ml``; two have no Spark class and are built from
 distributed pieces:
 
 * AdaBoost (M9): the SAMME loop over ``DecisionTreeClassifier(maxDepth=1,
-  weightCol=...)``; each round is one fit and one weighted error aggregate,
-  the weights table is checkpointed each round.
+  weightCol=...)``; each round is one fit and one weighted error aggregate;
+  weight tables are persisted, every fifth is a reliable checkpoint.
 * Linear discriminant (M5): class means and the pooled within-class
   covariance are distributed aggregates (``RowMatrix.computeCovariance`` on
   centred rows); only the d x d solve runs on the driver, and scoring is a
@@ -51,7 +51,7 @@ def estimator(name: str, n_features: int | None = None, n_classes: int | None =
     if name == "gaussian_nb":          # M6
         return NaiveBayes(modelType="gaussian")
     if name == "svm":                  # M7 (linear; one-vs-rest for many classes)
-        return OneVsRest(classifier=LinearSVC(maxIter=100))
+        return OneVsRest(classifier=LinearSVC(maxIter=100), parallelism=8)
     if name == "forest":               # M8
         return RandomForestClassifier(numTrees=100, seed=seed)
     if name == "mlp":                  # M10
@@ -78,11 +78,19 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str = "labe
                                         F.col("prediction").cast("int").alias("prediction"))
 
 
-def adaboost_predict(train: DataFrame, test: DataFrame, rounds: int = 50, id_col: str = "vec_id") -> DataFrame:
-    """M9: SAMME with depth-1 trees; returns test predictions."""
+def adaboost_predict(train: DataFrame, test: DataFrame, rounds: int = 50, id_col: str = "vec_id",
+                     checkpoint_every: int = 5) -> DataFrame:
+    """M9: SAMME with depth-1 trees; returns test predictions.
+
+    Weights stay normalised, so a round's new total is
+    ``(1 - err) + err * exp(alpha)`` (no extra job). Rounds are persisted and
+    every ``checkpoint_every``-th weight table is a reliable checkpoint.
+    """
+    from pyspark import StorageLevel
     k = int(train.agg(F.countDistinct("label")).first()[0])
     n = train.count()
     w = cut_lineage(train.select(id_col, "features", "label", F.lit(1.0 / n).alias("weight")))
+    held = None
     learners = []
     for r in range(rounds):
         model = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=r).fit(w)
@@ -95,9 +103,17 @@ def adaboost_predict(train: DataFrame, test: DataFrame, rounds: int = 50, id_col
         learners.append((model, alpha))
         if err <= 1e-10:
             break
-        nw = p.withColumn("weight", F.col("weight") * F.exp(F.lit(alpha) * F.col("miss")))
-        tot = nw.agg(F.sum("weight")).first()[0]
-        w = cut_lineage(nw.select(id_col, "features", "label", (F.col("weight") / tot).alias("weight")))
+        tot = (1.0 - err) + err * float(np.exp(alpha))
+        nw = p.select(id_col, "features", "label",
+                      (F.col("weight") * F.exp(F.lit(alpha) * F.col("miss")) / F.lit(tot)).alias("weight"))
+        if (r + 1) % checkpoint_every == 0:
+            nw = cut_lineage(nw)
+        else:
+            nw = nw.persist(StorageLevel.MEMORY_AND_DISK)
+        if held is not None:
+            held.unpersist()
+        held = nw
+        w = nw
     scores = None
     for i, (model, alpha) in enumerate(learners):
         s = model.transform(test).select(id_col, F.col("prediction").alias("c"),
