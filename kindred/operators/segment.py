@@ -69,15 +69,18 @@ def pair_markers(tokens: DataFrame, begin=None, end=None, file_col: str = "file"
     """W2 + J1: k-th begin with k-th end of each sound file.
 
     ``file, k, begin_pos, end_pos`` (``k`` from 1). Not a nesting match:
-    nested units overlap, as in the reference.
+    nested units overlap, as in the reference. ``k`` is a distributed running
+    count over the marker rows (no one-task window per file).
     """
+    from kindred.functions.rank import running_sums
     b, e = _pred(begin, BEGIN), _pred(end, END)
     ok = marker_check(tokens, begin, end, file_col).where(F.col("reason").isNull()).select(file_col)
-    marks = tokens.where(b | e).select(file_col, "pos", F.when(b, F.lit("b")).otherwise(F.lit("e")).alias("m"))
-    w = Window.partitionBy(file_col, "m").orderBy("pos")
-    marks = marks.withColumn("k", F.row_number().over(w))
-    bs = marks.where(F.col("m") == "b").select(file_col, "k", F.col("pos").alias("begin_pos"))
-    es = marks.where(F.col("m") == "e").select(file_col, "k", F.col("pos").alias("end_pos"))
+    marks = tokens.where(b | e).select(file_col, "pos", b.cast("int").alias("__isb"))
+    marks = running_sums(marks, file_col, "pos", {"__kb": F.col("__isb"), "__ke": 1 - F.col("__isb")})
+    bs = marks.where(F.col("__isb") == 1).select(file_col, F.col("__kb").cast("int").alias("k"),
+                                                 F.col("pos").alias("begin_pos"))
+    es = marks.where(F.col("__isb") == 0).select(file_col, F.col("__ke").cast("int").alias("k"),
+                                                 F.col("pos").alias("end_pos"))
     return bs.join(es, [file_col, "k"]).join(ok, file_col, "left_semi")
 
 
@@ -155,20 +158,34 @@ def fill_marker_lines(tokens: DataFrame, file_col: str = "file", reach: int = 7,
                       ends=("END_METHOD", "END_BLOCK")) -> DataFrame:
     """W6 + W7: end markers take the nearest earlier line within ``reach`` rows,
     then begin markers the nearest later line within ``reach`` rows (of the
-    updated column); markers get kind ids 8001-8004 and column 0."""
-    w = Window.partitionBy(file_col).orderBy("pos")
-    prev = F.last("line", ignorenulls=True).over(w.rowsBetween(-reach, -1))
-    x = tokens.withColumn("line", F.when(F.col("token").isin(list(ends)) & F.col("line").isNull(), prev)
-                          .otherwise(F.col("line")))
-    nxt = F.first("line", ignorenulls=True).over(w.rowsBetween(1, reach))
-    x = x.withColumn("line", F.when(F.col("token").isin(list(begins)) & F.col("line").isNull(), nxt)
-                     .otherwise(F.col("line")))
+    updated column); markers get kind ids 8001-8004 and column 0.
+
+    Rows get their place in the file from a distributed running count; each
+    marker with no line looks its ``reach`` neighbours up with an equi-join on
+    (file, place), so a huge file is never one task.
+    """
+    from kindred.functions.rank import running_sums
+    x = running_sums(tokens, file_col, "pos", {"__rk": F.lit(1)})
+
+    def fill(df: DataFrame, which, sign: int) -> DataFrame:
+        need = df.where(F.col("token").isin(list(which)) & F.col("line").isNull()) \
+            .select(file_col, "__rk", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("__d"))
+        src = df.where(F.col("line").isNotNull()).select(
+            file_col, F.col("__rk").alias("__src"), F.col("line").alias("__l"))
+        hit = need.join(src, (need[file_col] == src[file_col]) &
+                        (src["__src"] == need["__rk"] + sign * need["__d"])) \
+            .groupBy(need[file_col].alias(file_col), "__rk").agg(F.min_by("__l", "__d").alias("__fill"))
+        return df.join(hit, [file_col, "__rk"], "left").withColumn(
+            "line", F.coalesce("line", "__fill")).drop("__fill")
+
+    x = fill(x, ends, -1)
+    x = fill(x, begins, +1)
     kind = F.col("kind")
     for name, code in MARKER_KIND.items():
         kind = F.when(F.col("token") == name, F.lit(code)).otherwise(kind)
     is_marker = F.col("token").isin(list(MARKER_KIND))
     return x.withColumn("kind", kind).withColumn(
-        "col", F.when(is_marker, F.lit(0)).otherwise(F.col("col")))
+        "col", F.when(is_marker, F.lit(0)).otherwise(F.col("col"))).drop("__rk")
 
 
 def islands(df: DataFrame, part_col: str, order_cols, value_col: str,
