@@ -192,15 +192,19 @@ def islands(df: DataFrame, part_col: str, order_cols, value_col: str,
             min_length: int = 0) -> DataFrame:
     """Runs of equal consecutive values; keep runs longer than ``min_length``.
 
-    ``part, run, value, start, end, length`` (start/end = first/last order key).
+    ``part, run, value, start, end, length`` (start/end = first/last order
+    key). A row's place comes from a distributed running count, its
+    predecessor from an equi-join on (part, place - 1), the run id from a
+    running sum of change flags; runs are then grouped with a map-side combine.
     """
+    from kindred.functions.rank import running_sums
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    w = Window.partitionBy(part_col).orderBy(*order_cols)
-    v = F.col(value_col)
-    changed = F.when(F.lag(v).over(w).eqNullSafe(v), 0).otherwise(1)
-    x = df.withColumn("__chg", changed) \
-        .withColumn("run", F.sum("__chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = order_cols[0]
+    x = running_sums(df.select(part_col, *order_cols, value_col), part_col, first, {"__rk": F.lit(1)})
+    prev = x.select(F.col(part_col), (F.col("__rk") + 1).alias("__rk"), F.col(value_col).alias("__prev"))
+    x = x.join(prev, [part_col, "__rk"], "left").withColumn(
+        "__chg", F.when(F.col("__prev").eqNullSafe(F.col(value_col)) & (F.col("__rk") > 1), 0).otherwise(1))
+    x = running_sums(x, part_col, first, {"run": F.col("__chg")})
     out = x.groupBy(part_col, "run").agg(
         F.first(value_col).alias("value"),
         F.min(first).alias("start"), F.max(first).alias("end"),

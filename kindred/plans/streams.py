@@ -48,7 +48,7 @@ def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     t = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("pos"),
                  F.col("text").alias("token"), F.col("turn").alias("line"), "role")
-    return drop_missing(t).repartition("file")
+    return drop_missing(t)
 
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
