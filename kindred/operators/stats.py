@@ -47,14 +47,32 @@ def percentile_classes(df: DataFrame, value_col: str, p: float, group_col: str |
     ``p``-quantile of its group, else 1. Without a group the quantile is exact
     over all rows via a distributed rank (no one-task buffer)."""
     if group_col is not None:
-        q = df.groupBy(group_col).agg(F.percentile(value_col, p).alias("__q"))
-        x = df.join(q, group_col)
+        x = df.join(group_quantile(df, group_col, value_col, p), group_col)
     else:
         q = exact_quantile(df, value_col, p)
         x = df.withColumn("__q", F.lit(q))
     return x.withColumn("class", F.when(F.col(value_col) > F.col("__q"), 0).otherwise(1)).drop("__q")
 
 
+def group_quantile(df: DataFrame, group_col: str, value_col: str, p: float) -> DataFrame:
+    """``group, __q``: the linear-interpolation ``p``-quantile of each group,
+    from distributed ranks inside the group (no one-task value buffer)."""
+    from kindred.functions.rank import running_sums
+    v = df.select(F.col(group_col), F.col(value_col).cast("double").alias("__v")) \
+        .where(F.col("__v").isNotNull())
+    ranked = running_sums(v, group_col, "__v", {"__r": F.lit(1)})  # ties: any order, same values
+    n = v.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n"))
+    pos = F.lit(p) * (F.col("__n") - 1)
+    want = n.select(group_col, pos.alias("__pos"), (F.floor(pos) + 1).alias("__lo"),
+                    (F.ceil(pos) + 1).alias("__hi"))
+    at = ranked.join(want, group_col).where((F.col("__r") == F.col("__lo")) | (F.col("__r") == F.col("__hi")))
+    q = at.groupBy(group_col, "__pos", "__lo").agg(
+        F.max(F.when(F.col("__r") == F.col("__lo"), F.col("__v"))).alias("__a"),
+        F.max(F.when(F.col("__r") == F.col("__hi"), F.col("__v"))).alias("__b"))
+    return q.select(group_col, (F.col("__a") + (F.col("__b") - F.col("__a"))
+                                * (F.col("__pos") - (F.col("__lo") - 1))).alias("__q"))
+
+
 def exact_quantile(df: DataFrame, value_col: str, p: float) -> float:
     """Linear-interpolation quantile of a column from a global sort + rank."""
     v = df.select(F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull())

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kindred.functions.rank import running_sums
 from kindred.operators.segment import drop_missing
 from kindred.sources.tables import load  # noqa: F401  (re-exported for queries)
 from kindred.sources.tables import load
@@ -56,8 +57,8 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = p.select(F.col("page_id").alias("file"),
                  F.posexplode(F.regexp_extract_all("html", F.lit(TAG_PATTERN), 0)).alias("pos", "token"))
     nl = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return x.withColumn("line", F.coalesce(F.sum(nl).over(w), F.lit(0)).cast("long")) \
+    x = running_sums(x.withColumn("__nl", nl), "file", "pos", {"__cum": F.col("__nl")})
+    return x.withColumn("line", (F.col("__cum") - F.col("__nl")).cast("long")) \
         .select("file", F.col("pos").cast("long"), "token", "line")
 
 
