@@ -105,15 +105,19 @@ def cosine_within(weights: DataFrame, t: float, df: DataFrame | None = None,
 # much as this many BLAS multiply-adds:
 ROW_OP_FLOPS = 20000.0
 MAX_BLOCK_DIM = 8192
+# Block work this small (about 20 s of one core) is taken without estimating
+BLOCKS_CHEAP_FLOPS = 2e11
 
 
 def _choose(indexed: DataFrame, w: DataFrame, dim: int | None):
     """``(strategy, n_units)``: every unit indexes at least its rarest term, so
     the units of ``indexed`` are all units."""
+    n = indexed.select("unit_id").distinct().count()
+    if dim is not None and dim <= MAX_BLOCK_DIM and n * n / 2.0 * dim <= BLOCKS_CHEAP_FLOPS:
+        return "blocks", n
     stats = indexed.groupBy("idx").agg(F.count(F.lit(1)).alias("c")).agg(
         F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"),
         F.max("idx").alias("maxidx")).first()
-    n = indexed.select("unit_id").distinct().count()
     d = dim if dim is not None else (stats["maxidx"] or 0) + 1
     if d > MAX_BLOCK_DIM:
         return "prefix", n
