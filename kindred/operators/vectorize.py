@@ -21,8 +21,15 @@ from kindred.session import shuffle_partitions
 
 
 def by_unit(units: DataFrame, id_col: str = "unit_id", n: int | None = None) -> DataFrame:
-    """Hash-partition units by id so all per-unit steps run without a shuffle."""
-    n = n or shuffle_partitions(units.sparkSession)
+    """Hash-partition units by id so all per-unit steps run without a shuffle.
+
+    The count follows the input: the scan's own split count, at least the
+    cluster's default parallelism, at most ``spark.sql.shuffle.partitions``.
+    """
+    if n is None:
+        spark = units.sparkSession
+        n = min(shuffle_partitions(spark),
+                max(spark.sparkContext.defaultParallelism, units.rdd.getNumPartitions()))
     return units.repartition(n, id_col)
 
 
