@@ -221,13 +221,16 @@ def unit_lines(spark, sf):
 
 @query("unit_raw")
 def unit_raw(spark, sf):
-    """W10 + S3: source lines [start, end) of each unit (a turn is a line)."""
+    """W10 + S3: source lines [start, end) of each unit (a turn is a line; a
+    line's number is its place among the kept rows), by a bucketed range join
+    (no array of a whole conversation)."""
+    from kindred.functions.rank import running_sums
+    from kindred.sources.files import slice_lines
     t = ST.conversation_tokens(spark, sf)
-    lines = t.groupBy("file").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("lines"))
+    lines = running_sums(t, "file", "pos", {"__rk": F.lit(1)}).select(
+        "file", (F.col("__rk") - 1).alias("line_no"), F.col("token").alias("text"))
     u = S.unit_lines(t, ST.CONV_BEGIN(), ST.CONV_END())
-    return u.join(lines, "file").select(
-        "file", "k", T.line_slice("lines", "start_line", "end_line").alias("raw"))
+    return slice_lines(lines, u.select("file", "k", "start_line", "end_line"), bucket=64)
 
 
 @query("last_line")
