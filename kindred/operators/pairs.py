@@ -365,54 +365,45 @@ def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = No
         run, "i long, j long, dist double")
 
 
+def _row_best(D: np.ndarray, kk: int):
+    """Row and column indices of each row's ``kk`` smallest finite values."""
+    m = min(kk, D.shape[1])
+    if m == 0:
+        return np.array([], dtype=int), np.array([], dtype=int)
+    part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else \
+        np.tile(np.arange(D.shape[1]), (D.shape[0], 1))
+    rows = np.repeat(np.arange(D.shape[0]), part.shape[1])
+    cols = part.reshape(-1)
+    ok = np.isfinite(D[rows, cols])
+    return rows[ok], cols[ok]
+
+
 def nearest(vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id",
             vec_col: str = "embedding", block_rows: int = 2048,
             n_rows: int | None = None, k: int = 1) -> DataFrame:
     """For each vector its ``k`` nearest others (``i, j, dist, rank``).
 
     Ties go to the smaller ``j``. Each block pair keeps only its per-row best
-    ``k`` in both directions; the final top-k per ``i`` merges those.
+    ``k`` (+ margin) in both directions; the final top-k per ``i`` merges them.
     """
     if n_rows is None:
         n_rows = vectors.count()
     nb = n_blocks_for(n_rows, block_rows)
-
-    def best(ids_from, ids_to, D, kk):
-        rows = []
-        for r in range(D.shape[0]):
-            d = D[r]
-            ok = np.isfinite(d)
-            if not ok.any():
-                continue
-            idx = np.nonzero(ok)[0]
-            order = np.lexsort((ids_to[idx], d[idx]))[:kk]
-            for c in idx[order]:
-                rows.append((ids_from[r], ids_to[c], c))
-        return rows
+    kk = k + 2  # margin for ties decided in the final order
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same, ia, X, ib, Y = _split(pdf)
         D = _dist_matrix(X, Y, metric)
-        kk = k + 2  # margin for ties decided on exact values below
-        out_i, out_j, out_d = [], [], []
         if same:
             np.fill_diagonal(D, np.inf)
-            pairs = [(a, b) for a, b, _ in best(ia, ib, D, kk)]
-        else:
-            pairs = [(a, b) for a, b, _ in best(ia, ib, D, kk)]
-            pairs += [(b, a) for b, a, _ in best(ib, ia, D.T, kk)]
-        if not pairs:
-            return pd.DataFrame({"i": [], "j": [], "dist": []})
-        pos_a = {v: n for n, v in enumerate(ia)}
-        pos_b = {v: n for n, v in enumerate(ib)}
-        for a, b in pairs:
-            if a in pos_a and b in pos_b:
-                out_i.append(a); out_j.append(b)
-                out_d.append(_exact_rows(X[[pos_a[a]]], Y[[pos_b[b]]], metric)[0])
-            else:
-                out_i.append(a); out_j.append(b)
-                out_d.append(_exact_rows(Y[[pos_b[a]]], X[[pos_a[b]]], metric)[0])
-        return pd.DataFrame({"i": out_i, "j": out_j, "dist": out_d})
+        r, c = _row_best(D, kk)
+        i, j, d = ia[r], ib[c], _pair_values(D, X, Y, r, c, metric)
+        if not same:
+            r2, c2 = _row_best(D.T, kk)
+            i = np.concatenate([i, ib[r2]])
+            j = np.concatenate([j, ia[c2]])
+            d = np.concatenate([d, _pair_values(D.T, Y, X, r2, c2, metric)])
+        return pd.DataFrame({"i": i, "j": j, "dist": d})
 
     cand = _block_input(vectors, id_col, vec_col, nb).groupBy("ba", "bb").applyInPandas(
         run, "i long, j long, dist double")
@@ -484,11 +475,7 @@ def cross_nearest(queries: DataFrame, refs: DataFrame, k: int = 5, metric: str =
         R = np.array(r["v"].tolist(), dtype=np.float64).reshape(len(r), -1)
         qi, rj = q["id"].to_numpy(), r["id"].to_numpy()
         D = _dist_matrix(Q, R, metric)
-        m = min(kk, D.shape[1])
-        part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else \
-            np.tile(np.arange(D.shape[1]), (D.shape[0], 1))
-        rows = np.repeat(np.arange(D.shape[0]), part.shape[1])
-        cols = part.reshape(-1)
+        rows, cols = _row_best(D, kk)
         d = _pair_values(D, Q, R, rows, cols, metric)
         return pd.DataFrame({"i": qi[rows], "j": rj[cols], "dist": d})
 
