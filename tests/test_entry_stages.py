@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from kindred.plans import pipeline as P
+from kindred.plans import stages as P
 from kindred.sources import files as FS
 from kindred.sources.tables import TABLES
 
