@@ -138,7 +138,7 @@ def _queue(docs, seed, id_col, text_col, source_col, budget_share, max_copies, w
         begin = F.col("start") + F.lit(c) * F.col("source_size")
         words = F.greatest(F.lit(0).cast("long"),
                            F.least(F.col("size"), F.round("target").cast("long") - begin))
-        at = F.when(words > 0, (begin + words) / F.col("target")).otherwise(F.lit(1.0))
+        at = F.when(words > 0, (begin + words) / F.col("target")).otherwise(F.lit(2.0))  # not served
         return F.struct(F.lit(c).alias("copy"), words.alias("words"), at.alias("at"))
 
     placed = stage(placed.withColumn("parts", F.array(*[served(c) for c in range(max_copies)])),
@@ -149,11 +149,12 @@ def _queue(docs, seed, id_col, text_col, source_col, budget_share, max_copies, w
     queue = placed.select("*", F.explode("parts").alias("part")) \
         .where(first | (F.col("part.words") > 0)) \
         .withColumn("tick", F.floor(F.col("part.at") * SLICES).cast("int")) \
-        .withColumn("fine", F.floor((F.col("part.at") * SLICES - F.col("tick")) * SLICES).cast("int"))
+        .withColumn("fine", F.when(F.col("part.words") == 0, F.pmod("h", F.lit(SLICES))).otherwise(
+            F.floor((F.col("part.at") * SLICES - F.col("tick")) * SLICES)).cast("int"))
     fine = queue.groupBy("tick", "fine").agg(F.sum("part.words").alias("n"))
     ticks = fine.groupBy("tick").agg(F.sum("n").alias("n"))
     past = (Window.unboundedPreceding, -1)
-    tick_start = ticks.select("tick", F.coalesce(F.sum("n").over(  # at most SLICES + 1 rows
+    tick_start = ticks.select("tick", F.coalesce(F.sum("n").over(  # at most SLICES + 2 rows
         Window.orderBy("tick").rowsBetween(*past)), F.lit(0)).alias("tick_start"))
     starts = fine.join(tick_start, "tick").select(
         "tick", "fine", (F.col("tick_start") + F.coalesce(F.sum("n").over(
