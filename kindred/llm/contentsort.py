@@ -33,7 +33,7 @@ def normalise(col: str = "text"):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_hot: int = 4096) -> DataFrame:
+                 min_hot: int = 256) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``: one row per input row.
 
     Null text counts as empty. Of equal texts the smallest id stays (a null id
