@@ -3,8 +3,8 @@
 Each page becomes three WARC records: a request, a response (or, where a page
 with an equal payload and a larger id exists, a revisit that refers to it) and
 a metadata record. Response and metadata name the request in
-``WARC-Concurrent-To``. The archives are plain WARC/1.0 text files that Spark
-writes and splits by itself: the reader's line separator is the end of one
+``WARC-Concurrent-To``. The archives are gzipped WARC/1.0 text files that Spark
+writes and cuts into records by itself: the reader's line separator is the end of one
 record's last line and the version line of the next.
 
 A payload may hold that version line. It is then sent with
@@ -124,7 +124,8 @@ def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T0
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    page_records(pages, min_bytes).write.option("lineSep", RECORD_END).text(path)
+    """Gzip files, one per write task; a task's share bounds what one reader gets."""
+    page_records(pages, min_bytes).write.option("lineSep", RECORD_END).text(path, compression="gzip")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
