@@ -6,15 +6,16 @@ bound nothing here: almost every document is at distance 1 from almost every
 other, every Voronoi region would get every document, and nothing would be
 pruned. So pivots are chosen where documents meet:
 
-1. Sets with the same elements are one node (hot groups of copies collapse
-   map-side).
-2. Any two sets within the radius share an element of their prefixes (the
-   first ``n - ceil(0.75 n) + 1`` elements in one global order, widespread
-   shingles last). The members of one prefix element form a region of the
-   space; its pivot is its most central member. A node is replicated to the
-   regions of its prefix elements and to no others, and each linked pair meets
-   in at least one region.
-3. Every member's distance to its region's pivots is computed exactly. Members
+1. Sets with the same elements are one node (copies collapse in each task
+   before anything is shuffled).
+2. With all elements in one global order (widespread shingles last), two sets
+   within the radius share at least ``l = n / 8`` of the elements among their
+   first ``n - ceil(0.75 n) + l``. A node with too few elements that any other
+   node has there is alone: most documents end here. The members of one such
+   element form a region of the space; its pivot is its most central member. A
+   node is replicated to the regions of its first elements and to no others,
+   and each linked pair meets in at least one region.
+3. Every member's distance to its region's pivot is computed exactly. Members
    within the radius of a pivot join its component: a group of near copies
    costs one distance a member, never all pairs.
 4. Regions whose members are not yet of one component are joined recursively:
@@ -38,34 +39,77 @@ from pyspark.sql import functions as F
 from kindred.llm.common import stage, whole_text
 from kindred.operators.components import connected_components
 
-# Fixed odd multipliers: a shingle's hash is a mix of its words' hashes.
-MULTIPLIERS = np.random.default_rng(6).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MAX_WORDS = 600_000      # word hashes a task remembers
+_DRAW = np.random.default_rng(6)
+MULTIPLIERS = _DRAW.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES = _DRAW.integers(0, 1 << 63, 256, dtype=np.uint64)
+BASE = int(MULTIPLIERS[-2])
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
 MAX_WIDESPREAD = 400_000  # widespread shingles broadcast (5 MB)
 STRETCH = 2_000_000      # shingles in one stretch
+PART = 1 << 18           # bytes hashed at once
 SALTS = 32
+EXTRA = 8                # a prefix has n / EXTRA elements more than it must
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(PART + 1, base & ((1 << 64) - 1), np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * MULTIPLIERS[-1]
+        return h ^ (h >> np.uint64(29))
 
 
 class Shingler:
-    """Distinct shingle hashes (uint64, ascending) of whole texts."""
+    """Distinct shingle hashes (uint64, ascending) of whole texts.
+
+    Word hashes are differences of one running polynomial over the bytes, so a
+    text takes a few array operations, whatever its words.
+    """
 
     def __init__(self, words: int = 5):
-        self.words, self.known = words, {}
+        self.words = words
+        self.up, self.down = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+    def word_hashes(self, text: str) -> np.ndarray:
+        """Words are what lies between ASCII white space, A-Z lower-cased."""
+        b = np.frombuffer((text or "").encode().lower(), np.uint8)
+        if len(b) <= PART:
+            return self._hashes(b)
+        parts, at = [], 0
+        while at < len(b):  # cut long texts at blanks
+            end = min(len(b), at + PART)
+            if end < len(b):
+                blanks = np.flatnonzero(BLANK[b[at:end]])
+                if len(blanks):
+                    end = at + int(blanks[-1]) + 1
+                else:  # one very long word: hash it alone
+                    rest = np.flatnonzero(BLANK[b[end:]])
+                    end = end + int(rest[0]) if len(rest) else len(b)
+                    stop = at + int(np.argmin(BLANK[b[at:end]]))
+                    import xxhash
+                    parts.append(np.array([xxhash.xxh3_64_intdigest(b[stop:end].tobytes())], np.uint64))
+                    at = end
+                    continue
+            parts.append(self._hashes(b[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _hashes(self, b: np.ndarray) -> np.ndarray:
+        edge = np.diff(np.concatenate(([True], BLANK[b], [True])).view(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        with np.errstate(over="ignore"):
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[b] * self.up[:len(b)], dtype=np.uint64)))
+            return _mix((run[ends] - run[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def of(self, text: str) -> np.ndarray:
-        """Words are what lies between ASCII white space, A-Z lower-cased; fewer
-        words than a shingle has are one shingle; no words, no shingles."""
-        import xxhash
-        tokens = (text or "").encode().lower().split()
-        known = self.known
-        if len(known) > MAX_WORDS:
-            known.clear()
-        got = list(map(known.get, tokens))
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    got[i] = known[tokens[i]] = xxhash.xxh3_64_intdigest(tokens[i])
-        h = np.array(got, np.uint64)
+        """Fewer words than a shingle has are one shingle; no words, no shingles."""
+        h = self.word_hashes(text)
         if not len(h):
             return h
         k = min(self.words, len(h))
@@ -73,10 +117,9 @@ class Shingler:
             s = np.full(len(h) - k + 1, k, np.uint64)
             for i in range(k):
                 s += h[i:len(h) - k + 1 + i] * MULTIPLIERS[i]
-            s ^= s >> np.uint64(31)
-            s *= MULTIPLIERS[-1]
-            s ^= s >> np.uint64(29)
-        return np.unique(s)
+        s = _mix(s)
+        s.sort()
+        return s if len(s) < 2 else s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def _text_batches(batches):
@@ -90,91 +133,103 @@ def _fingerprint(s: np.ndarray):
     return (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
 
 
-def _recurring(docs: DataFrame, words: int) -> DataFrame:
-    """``s, n``: shingles that recur within a stretch of different sets, summed over stretches."""
-    def stretches(batches):
+def _measure(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, n, f1, f2`` per input row (size and 128-bit fingerprint of its
+    set), and rows with ``s, k`` instead: the shingles that recur within a
+    stretch of different sets, and how often."""
+    def rows(batches):
         import pyarrow as pa
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
+                            ("s", pa.list_(pa.int64())), ("k", pa.list_(pa.int64()))])
         shingler, held, size, seen = Shingler(words), [], 0, set()
 
-        def out():
-            v, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(n[keep], pa.int64())],
-                                              names=["s", "n"])
-        for _, texts in _text_batches(batches):
-            for text in texts:
+        def recurring():
+            v, k = np.unique(np.concatenate(held), return_counts=True)
+            v, k = v[k > 1].view(np.int64), k[k > 1]
+            return pa.RecordBatch.from_pylist([dict(s=v, k=k)], schema)
+        for ids, texts in _text_batches(batches):
+            out = []
+            for doc_id, text in zip(ids, texts):
                 s = shingler.of(text)
                 f = _fingerprint(s)
-                if f in seen:
-                    continue
-                seen.add(f)
-                held.append(s)
-                size += len(s)
+                out.append((doc_id, len(s), *f))
+                if f not in seen:
+                    seen.add(f)
+                    held.append(s)
+                    size += len(s)
                 if size >= STRETCH:
-                    yield out()
-                    held, size = [], 0
-                    seen.clear()
+                    yield recurring()
+                    held, size, seen = [], 0, set()
+            cols = [pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4
+            none = pa.nulls(len(out), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*cols, none, none], schema=schema)
         if held:
-            yield out()
+            yield recurring()
 
-    return docs.mapInArrow(stretches, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(rows, "doc_id long, n long, f1 long, f2 long, s array<long>, k array<long>")
 
 
-def widespread(docs: DataFrame, words: int, least: int = 4, most: int = MAX_WIDESPREAD):
+def widespread(measured: DataFrame, least: int = 4, most: int = MAX_WIDESPREAD):
     """The shingles to put last: ``(hashes ascending, class)``, class is log2 of the count.
 
     The floor is the smallest power of two that leaves at most ``most``.
     """
-    n = stage(_recurring(docs, words).where(F.col("n") >= least), "shingles-recurring")
-    n = n.withColumn("class", F.floor(F.log2("n")).cast("int"))
+    n = measured.where("s is not null").select(F.explode(F.arrays_zip("s", "k")).alias("e")) \
+        .groupBy(F.col("e.s").alias("s")).agg(F.sum("e.k").alias("k")).where(F.col("k") >= least)
+    n = stage(n.select("s", F.floor(F.log2("k")).cast("int").alias("class")), "shingles-recurring")
     tally = {r["class"]: r["k"] for r in n.groupBy("class").agg(F.count(F.lit(1)).alias("k")).collect()}
     floor, total = 64, 0
     for c in sorted(tally, reverse=True):
         if total + tally[c] > most:
             break
         floor, total = c, total + tally[c]
-    got = n.where(F.col("class") >= floor).select("s", "class").toPandas()
+    got = n.where(F.col("class") >= floor).toPandas()
     s = got["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(s)
     return s[order], got["class"].to_numpy(np.int64)[order]
 
 
 def _prefix(s: np.ndarray, common, percent: int):
-    """``(prefix hashes, which are widespread, share of widespread)`` in the global order."""
+    """``(first elements as 48-bit keys, how many are not widespread, share of widespread)``."""
     values, classes = common
     at = np.searchsorted(values, s)
     at[at == len(values)] = 0
     hit = values[at] == s if len(values) else np.zeros(len(s), bool)
     cls = np.where(hit, classes[at], 0) if len(values) else np.zeros(len(s), np.int64)
     n = len(s)
-    length = n - -(-percent * n // 100) + 1
+    length = min(n, n - -(-percent * n // 100) + n // EXTRA + 1)
     first = np.lexsort((s, cls))[:length]
-    return s[first], cls[first] > 0, float(hit.mean()) if n else 0.0
+    return ((s[first] >> np.uint64(16)).view(np.int64), int((cls[first] == 0).sum()),
+            float(hit.mean()) if n else 0.0)
 
 
-def shingle_sets(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
-    """One row per input row: ``doc_id, n, f1, f2, prefix, spread, central``."""
+def _prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
+    """``f1, f2, n, central, plain, prefix`` of every set, once per stretch it occurs in."""
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def sets(batches):
         import pyarrow as pa
-        shingler = Shingler(words)
-        for ids, texts in _text_batches(batches):
-            for at in range(0, len(ids), 1000):
+        shingler, seen = Shingler(words), set()
+        for _, texts in _text_batches(batches):
+            for at in range(0, len(texts), 1000):
                 rows = []
-                for doc_id, text in zip(ids[at:at + 1000], texts[at:at + 1000]):
+                if len(seen) > STRETCH // 4:
+                    seen.clear()
+                for text in texts[at:at + 1000]:
                     s = shingler.of(text)
-                    p, w, central = _prefix(s, held.value, percent)
-                    rows.append((doc_id, len(s), *_fingerprint(s), p.view(np.int64), w, central))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                    pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64())),
-                    pa.array(cols[5], pa.list_(pa.bool_())), pa.array(cols[6], pa.float64())],
-                    names=["doc_id", "n", "f1", "f2", "prefix", "spread", "central"])
+                    f = _fingerprint(s)
+                    if len(s) and f not in seen:
+                        seen.add(f)
+                        p, plain, central = _prefix(s, held.value, percent)
+                        rows.append((*f, len(s), central, plain, p))
+                if rows:
+                    cols = list(zip(*rows))
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(c), t) for c, t in zip(cols, types)],
+                        names=["f1", "f2", "n", "central", "plain", "prefix"])
 
-    return docs.mapInArrow(sets, "doc_id long, n long, f1 long, f2 long, prefix array<long>, "
-                                 "spread array<boolean>, central double")
+    return docs.mapInArrow(sets, "f1 long, f2 long, n long, central double, plain long, prefix array<long>")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -189,55 +244,84 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever their names. ``text_group`` names the set (equal sets, equal value).
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    common = widespread(d, words)
-    rows = stage(shingle_sets(d, words, percent, common), "shingle-sets")
+    measured = stage(_measure(d, words), "shingles-measured")
+    rows = measured.where("s is null").select("doc_id", "n", "f1", "f2")
+    common = widespread(measured)
 
-    # Nodes: distinct sets. Copies collapse in each task before the shuffle.
-    nodes = rows.where("n > 0").groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("central").alias("central"),
-        F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
+    # Nodes: distinct sets.
+    nodes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
 
-    members = _regions(nodes)
-    links = _links(d, nodes, members, words, percent, rounds)
-    comp = connected_components(links, None, "a", "b", "node")
+    members = _regions(_prefixes(d, words, percent, common), nodes, percent)
+    comp = _connect(d, nodes, members, words, percent, rounds)
     named = nodes.select("node", "f1", "f2", "least").join(comp, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage(named.join(label, "component").select("f1", "f2", "component_id", F.col("node").alias("text_group")),
                   "near-components")
     # A hot group of copies is one hot key here; AQE splits the row side.
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(named, ["f1", "f2"], "left") \
-        .select("doc_id", "n_shingles",
-                F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-                .alias("component_id"), "text_group")
+    return rows.join(named, ["f1", "f2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "text_group")
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
+def _regions(prefixes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``s, node, n, central, pivot``: members of every region of two or more.
 
-    Elements not known to be widespread are counted in one pass; widespread
-    ones are dealt out by salt, so that no region's members meet in one task.
+    One pass finds the elements that more than one set has; widespread ones
+    are known to be shared and dealt out by salt, so that no region's members
+    meet in one task. Only sets with enough shared elements go on.
     """
-    post = nodes.select("node", "n", "central", F.explode(F.arrays_zip("prefix", "spread")).alias("e")) \
-        .select("node", "n", "central", F.col("e.prefix").alias("s"), F.col("e.spread").alias("spread"))
-    narrow = post.select("s", "node", F.when(F.col("spread"), F.pmod("node", F.lit(SALTS))).otherwise(-1)
-                         .cast("int").alias("salt"))
-    counted = narrow.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("s", "salt")))
-    kept = stage(counted.where((F.col("k") > 1) | (F.col("salt") >= 0)).select("s", "node"), "regions-seed")
-    kept = kept.join(nodes.select("node", "n", "central"), "node")
-    heads = kept.groupBy("s").agg(F.count(F.lit(1)).alias("size"),
-                                  F.max(F.struct("central", F.negate("node").alias("minus"))).alias("top"))
-    heads = heads.where("size > 1").select("s", F.negate("top.minus").alias("pivot"))
-    return stage(kept.join(heads, "s"), "regions")
+    p = stage(prefixes, "prefixes").withColumn("row", F.monotonically_increasing_id())
+    narrow = p.select("row", "plain", F.posexplode("prefix").alias("pos", "s")).select(
+        "s", "row", F.when(F.col("pos") >= F.col("plain"), F.pmod("row", F.lit(SALTS))).otherwise(-1)
+        .cast("int").alias("salt"))
+    key = Window.partitionBy("s", "salt")
+    shared = narrow.withColumn("lo", F.min("row").over(key)).withColumn("hi", F.max("row").over(key)) \
+        .where((F.col("lo") != F.col("hi")) | (F.col("salt") >= 0))
+    # A linked set has n / EXTRA shared elements in its prefix, or 0.75 of that (the other's size).
+    enough = F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA) + 1
+    got = shared.groupBy("row").agg(F.collect_list("s").alias("s")) \
+        .join(p.select("row", "f1", "f2", "n", "central"), "row").where(F.size("s") >= enough)
+    seed = stage(got.join(nodes.select("f1", "f2", "node"), ["f1", "f2"])
+                 .select("node", "n", "central", F.explode("s").alias("s")), "regions-seed")
+    # Copies from other tasks are the same node; without them fewer elements are shared.
+    for turn in range(2):
+        seed = seed.dropDuplicates(["s", "node"])
+        heads = seed.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.max(
+            F.struct("central", F.negate("node").alias("minus"))).alias("top"))
+        seed = seed.join(heads.where("size > 1").select("s", F.negate("top.minus").alias("pivot")), "s")
+        held = seed.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+        seed = seed.join(held, "node").where(F.col("held") >= enough).drop("held")
+        if turn == 0:
+            seed = seed.drop("pivot")
+        seed = stage(seed, "regions")
+    return seed
 
 
 def _near_in_size(a, b, percent):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _links(docs, nodes, members, words, percent, rounds) -> DataFrame:
-    """Links ``a, b`` that connect exactly what all links together connect."""
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after more links; ``comp`` holds linked nodes only.
+
+    Only components that a link touches are joined anew, as nodes of a small graph.
+    """
+    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    edges = links.join(a, "a", "left").join(b, "b", "left") \
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    grown = connected_components(edges, None, "a", "b", "node")
+    grown = grown.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    # Nodes new to comp are their own components in the small graph.
+    known = comp.join(grown, comp["component"] == grown["was"], "full") \
+        .select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "component").alias("component"))
+    return stage(known.dropDuplicates(["node"]), "components")
+
+
+def _connect(docs, nodes, members, words, percent, rounds) -> DataFrame:
+    """``node, component`` of all nodes that any link names."""
     spark = docs.sparkSession
     # One text per node that shares a region with another.
     active = stage(members.select("node").distinct().join(nodes.select("node", "f1", "f2", "least"), "node"),
@@ -279,7 +363,7 @@ def _links(docs, nodes, members, words, percent, rounds) -> DataFrame:
         .join(pn, "pivot").where(_near_in_size(F.col("n"), F.col("pivot_n"), percent)) \
         .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     tested = stage(measured(star), "tested")
-    links = tested.where("linked").select("a", "b")
+    comp = stage(connected_components(tested.where("linked"), None, "a", "b", "node"), "components")
 
     # Distance of each member to its region's first pivot, where it was computed.
     to_pivot = tested.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("d").alias("dz"))
@@ -289,7 +373,6 @@ def _links(docs, nodes, members, words, percent, rounds) -> DataFrame:
     radius = 1 - percent / 100
     been = members.where("node = pivot").select("s", "node")
     for limit in (*rounds, None):
-        comp = connected_components(links, None, "a", "b", "node")
         # Nodes that no link names are components of their own.
         m = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         m = stage(m, "regions-components")
@@ -313,9 +396,9 @@ def _links(docs, nodes, members, words, percent, rounds) -> DataFrame:
             .join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         more = stage(measured(fresh), "tested")
         tested = tested.unionByName(more)
-        links = links.unionByName(more.where("linked").select("a", "b"))
+        comp = _joined(comp, more.where("linked").select("a", "b"))
         been = been.unionByName(out.select("s", F.col("p").alias("node")))
-    return links
+    return comp
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
