@@ -22,7 +22,9 @@ pruned. So pivots are chosen where documents meet:
    members outside the region's largest component become pivots in turn (4,
    then 64 a region, then the rest), and are compared with those members of
    other components that the triangle window ``|d(x, z) - d(y, z)| <= r`` to
-   the first pivot ``z`` and the size bound admit. A region is finished when
+   the first pivot ``z``, the size bound and the parity bound (elements hashed
+   to 1024 parity bits: each bit that differs is an element of the symmetric
+   difference) admit. A region is finished when
    each member is in its largest component or has been its pivot, so no link
    between two components is lost; pairs inside a component need no test.
 
@@ -49,6 +51,7 @@ MAX_WIDESPREAD = 400_000  # widespread shingles broadcast (5 MB)
 STRETCH = 2_000_000      # shingles in one stretch
 PART = 1 << 18           # bytes hashed at once
 SALTS = 32
+WORDS = 16               # of parity bits
 EXTRA = 8                # a prefix has n / EXTRA elements more than it must
 
 
@@ -267,9 +270,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _regions(prefixes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``s, node, n, central, pivot``: members of every region of two or more.
+    """``pivot, node, n, central``: members of every region of two or more.
 
-    One pass finds the elements that more than one set has; widespread ones
+    The most central member of each shared element is its pivot, and a pivot's
+    region is all members of its elements. One pass finds the elements that more than one set has; widespread ones
     are known to be shared and dealt out by salt, so that no region's members
     meet in one task. Only sets with enough shared elements go on.
     """
@@ -296,8 +300,14 @@ def _regions(prefixes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         seed = seed.join(held, "node").where(F.col("held") >= enough).drop("held")
         if turn == 0:
             seed = seed.drop("pivot")
-        seed = stage(seed, "regions")
-    return seed
+        seed = stage(seed, "regions-elements")
+    return stage(seed.select("pivot", "node", "n", "central").distinct(), "regions")
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Parity of how many elements fall on each of ``64 * WORDS`` places."""
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _near_in_size(a, b, percent):
@@ -342,11 +352,15 @@ def _connect(docs, nodes, members, words, percent, rounds) -> DataFrame:
                 got = [(k, s) for k, a, b, s in zip(node[at:at + 1000], f1[at:at + 1000], f2[at:at + 1000],
                                                     map(shingler.of, text[at:at + 1000]))
                        if _fingerprint(s) == (a, b)]  # an id may have other texts, too
+                bits = np.array([_parity(s) for _, s in got], np.int64).reshape(len(got), WORDS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in got], pa.int64()),
-                     pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))], names=["node", "elements"])
+                     pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64())),
+                     *[pa.array(bits[:, i]) for i in range(WORDS)]], names=["node", "elements", *parity])
 
-    sets = stage(texts.mapInArrow(full_sets, "node long, elements array<long>"), "active-sets")
+    parity = [f"b{i}" for i in range(WORDS)]
+    sets = stage(texts.mapInArrow(full_sets, "node long, elements array<long>, "
+                                  + ", ".join(f"{b} long" for b in parity)), "active-sets")
 
     def measured(pairs):
         """``a, b, d`` of distinct pairs; d is the exact distance."""
@@ -365,39 +379,41 @@ def _connect(docs, nodes, members, words, percent, rounds) -> DataFrame:
     tested = stage(measured(star), "tested")
     comp = stage(connected_components(tested.where("linked"), None, "a", "b", "node"), "components")
 
-    # Distance of each member to its region's first pivot, where it was computed.
+    # Distance of each member to its region's pivot, where it was computed.
     to_pivot = tested.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("d").alias("dz"))
     members = members.join(to_pivot, ["node", "pivot"], "left") \
         .withColumn("dz", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("dz")))
-    members = stage(members, "regions-measured")
+    members = stage(members.join(sets.select("node", *parity).dropDuplicates(["node"]), "node"), "regions-measured")
     radius = 1 - percent / 100
-    been = members.where("node = pivot").select("s", "node")
+    been = members.where("node = pivot").select("pivot", "node")
     for limit in (*rounds, None):
         # Nodes that no link names are components of their own.
         m = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         m = stage(m, "regions-components")
-        main = m.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(
+        main = m.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("pivot").agg(
             F.count(F.lit(1)).alias("parts"),
             F.max(F.struct("k", "component"))["component"].alias("main")).where("parts > 1")
-        out = m.join(main, "s").where(F.col("component") != F.col("main")) \
-            .join(been, ["s", "node"], "left_anti")
+        out = m.join(main, "pivot").where(F.col("component") != F.col("main")) \
+            .join(been, ["pivot", "node"], "left_anti")
         if limit is not None:
             out = out.withColumn("place", F.row_number().over(
-                Window.partitionBy("s").orderBy(F.desc("central"), "node"))).where(F.col("place") <= limit)
-        out = stage(out.select("s", F.col("node").alias("p"), F.col("n").alias("pn"),
-                               F.col("component").alias("pc"), F.col("dz").alias("pz")), "next-pivots")
+                Window.partitionBy("pivot").orderBy(F.desc("central"), "node"))).where(F.col("place") <= limit)
+        out = stage(out.select("pivot", F.col("node").alias("p"), F.col("n").alias("pn"),
+                               F.col("component").alias("pc"), F.col("dz").alias("pz"),
+                               *[F.col(b).alias(f"p{b}") for b in parity]), "next-pivots")
         if out.isEmpty():
             break
         window = F.coalesce(F.abs(F.col("dz") - F.col("pz")) <= radius + 1e-9, F.lit(True))
-        pairs = m.join(out, "s").where((F.col("component") != F.col("pc")) & window
-                                       & _near_in_size(F.col("n"), F.col("pn"), percent)) \
+        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p{b}"))) for b in parity), F.lit(0))
+        near = apart * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent)
+        pairs = m.join(out, "pivot").where((F.col("component") != F.col("pc")) & window & near
+                                           & _near_in_size(F.col("n"), F.col("pn"), percent)) \
             .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        fresh = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti") \
-            .join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        more = stage(measured(fresh), "tested")
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = stage(measured(pairs.join(done, ["a", "b"], "left_anti")), "tested")
         tested = tested.unionByName(more)
         comp = _joined(comp, more.where("linked").select("a", "b"))
-        been = been.unionByName(out.select("s", F.col("p").alias("node")))
+        been = been.unionByName(out.select("pivot", F.col("p").alias("node")))
     return comp
 
 
