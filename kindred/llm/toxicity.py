@@ -108,7 +108,8 @@ class Index:
         return {t: x / length for t, x in v.items()} if length > 0 else {}
 
     def nearest(self, v: dict, skip: int | None = None):
-        """``(places, cosines)`` of the ``k`` best, exactly; ties to the earlier place."""
+        """``(places, cosines)`` of the ``k`` best, exactly. Blocks are opened in
+        falling order of their bounds; of equal cosines the one met first counts."""
         terms = [t for t in v if t in self.bounds]
         if not terms:
             return np.empty(0, np.int64), np.empty(0)
@@ -116,7 +117,7 @@ class Index:
         places, cosines = np.empty(0, np.int64), np.empty(0)
         for b in np.argsort(-bound, kind="stable"):
             floor = cosines[-1] if len(cosines) == self.k else 0.0
-            if bound[b] <= 0 or bound[b] < floor - 1e-12:
+            if bound[b] <= floor + 1e-12:
                 break
             acc = np.zeros(BLOCK)
             for t in terms:
@@ -130,7 +131,7 @@ class Index:
                 own, cand = own[keep], cand[keep]
             places = np.concatenate((places, cand))
             cosines = np.concatenate((cosines, acc[own]))
-            best = np.lexsort((places, -np.round(cosines, 12)))[:self.k]
+            best = np.argsort(-np.round(cosines, 12), kind="stable")[:self.k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
