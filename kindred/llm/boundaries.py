@@ -119,8 +119,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def segments(batches):
         import pyarrow as pa
 
-        from kindred.llm.tokens import ChunkEncoder, sized_batches
-        enc = ChunkEncoder(vocabulary)
+        from kindred.llm.tokens import encoder, sized_batches
+        enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         ids, parts, n = [], [], 0

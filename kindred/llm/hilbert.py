@@ -113,8 +113,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048,
     def encoded(batches):
         import pyarrow as pa
 
-        from kindred.llm.tokens import ChunkEncoder, sized_batches
-        enc = ChunkEncoder(vocabulary)
+        from kindred.llm.tokens import encoder, sized_batches
+        enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
 

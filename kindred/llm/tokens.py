@@ -10,6 +10,7 @@ Texts that name a special token are encoded whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -23,6 +24,12 @@ _BLANK_BEFORE_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+@functools.cache
+def encoder(path: str) -> ChunkEncoder:
+    """The worker process's encoder: what one task learns serves the next."""
+    return ChunkEncoder(path)
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
