@@ -75,7 +75,7 @@ class EliasFano:
         if not 0 <= i < self.n:
             raise IndexError(i)
         byte, seen = (int(x) for x in self.directory[2 * (i // SAMPLE):2 * (i // SAMPLE) + 2])
-        while seen + POPCOUNT[self.high[byte]] <= i:
+        while seen + int(POPCOUNT[self.high[byte]]) <= i:
             seen += int(POPCOUNT[self.high[byte]])
             byte += 1
         word, bit = int(self.high[byte]), -1
