@@ -30,6 +30,7 @@ from kindred.llm.common import stage, whole_text
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6)
 BLOCK = 64
+OPEN = 8  # blocks opened at a time
 MAX_CACHE = 500_000
 
 
@@ -90,15 +91,12 @@ class Index:
         for place, i in enumerate(order):
             for t, w in vectors[i].items():
                 post.setdefault(t, []).append((place, w))
-        self.places, self.weights, self.bounds, self.cuts = {}, {}, {}, {}
-        edges = np.arange(self.blocks + 1) * BLOCK
+        # Posting lists cut into blocks: self.lists[t, b] are the weights of term t in block b.
+        self.lists = np.zeros((len(idf), self.blocks, BLOCK))
         for t, pairs in post.items():
-            p = np.array([x[0] for x in pairs], np.int64)
-            w = np.array([x[1] for x in pairs])
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, p // BLOCK, w)
-            self.places[t], self.weights[t], self.bounds[t] = p, w, top
-            self.cuts[t] = np.searchsorted(p, edges)
+            for place, w in pairs:
+                self.lists[t, place // BLOCK, place % BLOCK] = w
+        self.bounds = self.lists.max(2) if self.blocks else np.zeros((len(idf), 0))
         self.class_weight = np.ones(2)
         self.curve, self.blank, self.prior = (1.0, 0.0), 0.0, 0.0
 
@@ -110,29 +108,27 @@ class Index:
     def nearest(self, v: dict, skip: int | None = None):
         """``(places, cosines)`` of the ``k`` best, exactly. Blocks are opened in
         falling order of their bounds; of equal cosines the one met first counts."""
-        terms = [t for t in v if t in self.bounds]
-        if not terms:
+        if not v or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        bound = sum(v[t] * self.bounds[t] for t in terms)
-        places, cosines = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            floor = cosines[-1] if len(cosines) == self.k else 0.0
-            if bound[b] <= floor + 1e-12:
+        terms, weights = np.array(list(v)), np.array(list(v.values()))
+        bound = weights @ self.bounds[terms]
+        order = np.argsort(-bound, kind="stable")
+        places, cosines, floor = np.empty(0, np.int64), np.empty(0), 0.0
+        for at in range(0, len(order), OPEN):
+            some = order[at:at + OPEN]
+            some = some[bound[some] > floor + 1e-12]
+            if not len(some):
                 break
-            acc = np.zeros(BLOCK)
-            for t in terms:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if hi > lo:
-                    acc[self.places[t][lo:hi] - b * BLOCK] += v[t] * self.weights[t][lo:hi]
-            own = np.flatnonzero(acc > 0)
-            cand = own + b * BLOCK
+            acc = np.tensordot(weights, self.lists[terms[:, None], some[None, :]], 1).ravel()
+            cand = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            keep = acc > floor
             if skip is not None:
-                keep = cand != skip
-                own, cand = own[keep], cand[keep]
-            places = np.concatenate((places, cand))
-            cosines = np.concatenate((cosines, acc[own]))
+                keep &= cand != skip
+            places = np.concatenate((places, cand[keep]))
+            cosines = np.concatenate((cosines, acc[keep]))
             best = np.argsort(-np.round(cosines, 12), kind="stable")[:self.k]
             places, cosines = places[best], cosines[best]
+            floor = cosines[-1] if len(cosines) == self.k else 0.0
         return places, cosines
 
     def vote(self, places, cosines) -> float:

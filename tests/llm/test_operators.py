@@ -323,9 +323,7 @@ def test_toxicity(spark):
     for v in ({0: 1}, {0: 2, 1: 1}):  # the pruned search is the exhaustive one
         v = index.unit(v)
         places, cosines = index.nearest(v)
-        dense = np.zeros(len(index.ids))
-        for t, w in v.items():
-            dense[index.places[t]] += w * index.weights[t]
+        dense = sum(w * index.lists[t].ravel() for t, w in v.items())
         best = np.sort(dense[dense > 0])[::-1][:index.k]
         assert np.allclose(cosines, best) and np.allclose(dense[places], cosines)
 
