@@ -365,14 +365,18 @@ def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = No
         run, "i long, j long, dist double")
 
 
-def _row_best(D: np.ndarray, kk: int):
-    """Row and column indices of each row's ``kk`` smallest finite values."""
+def _row_best(D: np.ndarray, kk: int, ids: np.ndarray):
+    """Row and column indices of each row's ``kk`` smallest finite values.
+
+    Values equal to nine places are ties and go to the smaller id, so exact
+    copies can't push each other out by rounding.
+    """
     m = min(kk, D.shape[1])
     if m == 0:
         return np.array([], dtype=int), np.array([], dtype=int)
-    part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else \
-        np.tile(np.arange(D.shape[1]), (D.shape[0], 1))
-    rows = np.repeat(np.arange(D.shape[0]), part.shape[1])
+    by_id = np.argsort(ids, kind="stable")
+    part = by_id[np.argsort(np.round(D[:, by_id], 9), axis=1, kind="stable")[:, :m]]
+    rows = np.repeat(np.arange(D.shape[0]), m)
     cols = part.reshape(-1)
     ok = np.isfinite(D[rows, cols])
     return rows[ok], cols[ok]
@@ -396,10 +400,10 @@ def nearest(vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id",
         D = _dist_matrix(X, Y, metric)
         if same:
             np.fill_diagonal(D, np.inf)
-        r, c = _row_best(D, kk)
+        r, c = _row_best(D, kk, ib)
         i, j, d = ia[r], ib[c], _pair_values(D, X, Y, r, c, metric)
         if not same:
-            r2, c2 = _row_best(D.T, kk)
+            r2, c2 = _row_best(D.T, kk, ia)
             i = np.concatenate([i, ib[r2]])
             j = np.concatenate([j, ia[c2]])
             d = np.concatenate([d, _pair_values(D.T, Y, X, r2, c2, metric)])
@@ -475,7 +479,7 @@ def cross_nearest(queries: DataFrame, refs: DataFrame, k: int = 5, metric: str =
         R = np.array(r["v"].tolist(), dtype=np.float64).reshape(len(r), -1)
         qi, rj = q["id"].to_numpy(), r["id"].to_numpy()
         D = _dist_matrix(Q, R, metric)
-        rows, cols = _row_best(D, kk)
+        rows, cols = _row_best(D, kk, rj)
         d = _pair_values(D, Q, R, rows, cols, metric)
         return pd.DataFrame({"i": qi[rows], "j": rj[cols], "dist": d})
 
