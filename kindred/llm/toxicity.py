@@ -2,7 +2,9 @@
 
 Labelled examples and documents are TF-IDF vectors over terms: words, and the
 first five and six letters of longer words. The terms kept are those whose
-presence differs most between toxic and clean examples (chi-squared); their
+presence differs most between toxic and clean examples (chi-squared), among
+those at least ``min_lift`` times as frequent in toxic ones: common words, which
+longer texts merely hold more of, say little and lengthen every list. Their
 document frequencies are counted over the whole corpus. A document's ``k``
 nearest examples by cosine are found exactly through an inverted index whose
 posting lists are cut into blocks of examples: each term knows its largest
@@ -31,7 +33,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6)
 BLOCK = 64
 OPEN = 8  # blocks opened at a time
-MAX_CACHE = 500_000
 
 
 def word_terms(word: str) -> tuple:
@@ -42,40 +43,43 @@ def text_words(text) -> list:
     return LETTERS.findall((text or "").lower())
 
 
+def is_letter(c: str) -> bool:
+    """The characters of LETTERS."""
+    return c.isalnum() and not c.isdecimal()
+
+
 class TermMap:
-    """Kept terms of a word, remembered per word (bounded)."""
-
-    def __init__(self, numbers: dict | None):
-        self.numbers, self.seen = numbers, {}
-
-    def of(self, word: str) -> tuple:
-        got = self.seen.get(word)
-        if got is None:
-            got = word_terms(word)
-            if self.numbers is not None:
-                got = tuple(self.numbers[t] for t in got if t in self.numbers)
-            if len(self.seen) >= MAX_CACHE:
-                self.seen.clear()
-            self.seen[word] = got
-        return got
-
-    def present(self, text) -> set:
-        out = set()
-        for w in set(text_words(text)):
-            out.update(self.of(w))
-        return out
+    """Finds the kept terms of a text in one pass over its letters.
+
+    An automaton holds the kept words and beginnings of words. A hit counts
+    where a word begins; a whole word must end there, a beginning must go on.
+    """
+
+    def __init__(self, numbers: dict):
+        import ahocorasick
+        self.found = ahocorasick.Automaton()
+        forms: dict = {}
+        for term, number in numbers.items():
+            whole = not term.endswith("-")
+            forms.setdefault(term if whole else term[:-1], []).append((number, whole))
+        for letters, kinds in forms.items():
+            self.found.add_word(letters, (len(letters), kinds))
+        self.found.make_automaton()
 
     def counts(self, text) -> dict:
-        words = text_words(text)
-        hits = {w for w in set(words) if self.of(w)}
-        out: dict = {}
-        if hits:
-            for w in words:
-                if w in hits:
-                    for t in self.of(w):
-                        out[t] = out.get(t, 0) + 1
+        text, out = (text or "").lower(), {}
+        for end, (length, kinds) in self.found.iter(text):
+            if end >= length and is_letter(text[end - length]):
+                continue
+            ends = end + 1 == len(text) or not is_letter(text[end + 1])
+            for number, whole in kinds:
+                if whole == ends:
+                    out[number] = out.get(number, 0) + 1
         return out
 
+    def present(self, text):
+        return self.counts(text).keys()
+
 
 class Index:
     """Block-max inverted index of the examples' unit TF-IDF vectors."""
@@ -187,7 +191,7 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 15,
-        max_examples: int = 3000, max_terms: int = 600, seed: int = 3) -> Index | None:
+        max_examples: int = 3000, max_terms: int = 600, min_lift: float = 2.0, seed: int = 3) -> Index | None:
     """The index of labelled examples; None where no labelled text can be used.
 
     Repeated labels of an id count as toxic if one does; null labels don't count.
@@ -207,7 +211,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
 
     def term_counts(frames):
         import pandas as pd
-        terms = TermMap(None)
         got: dict = {}
 
         def out():
@@ -217,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
 
         for frame in frames:
             for text, y in zip(frame["text"], frame["y"]):
-                for t in terms.present(text):
+                for t in {t for w in set(text_words(text)) for t in word_terms(w)}:
                     got.setdefault(t, [0, 0])[y] += 1
                 if len(got) > 1_000_000:
                     yield out()
@@ -231,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
     chi = (n[0] + n[1]) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * n[1] * float(n[0]) + 1e-9)
     kept = ex.mapInPandas(term_counts, "term string, clean long, toxic long").groupBy("term") \
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")) \
-        .withColumn("chi", chi).where((F.col("chi") > 10.8) & (a / n[1] > b / n[0]) & (a >= 3)) \
+        .withColumn("chi", chi).where((F.col("chi") > 10.8) & (a / n[1] > min_lift * b / n[0]) & (a >= 3)) \
         .orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()
     numbers = {r["term"]: i for i, r in enumerate(kept)}
     if not numbers:
