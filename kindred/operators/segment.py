@@ -200,14 +200,15 @@ def islands(df: DataFrame, part_col: str, order_cols, value_col: str,
     from kindred.functions.rank import running_sums
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     first = order_cols[0]
-    x = running_sums(df.select(part_col, *order_cols, value_col), part_col, first, {"__rk": F.lit(1)})
+    x = df.select(part_col, F.struct(*order_cols).alias("__at"), F.col(first).alias("__first"), value_col)
+    x = running_sums(x, part_col, "__at", {"__rk": F.lit(1)})
     prev = x.select(F.col(part_col), (F.col("__rk") + 1).alias("__rk"), F.col(value_col).alias("__prev"))
     x = x.join(prev, [part_col, "__rk"], "left").withColumn(
         "__chg", F.when(F.col("__prev").eqNullSafe(F.col(value_col)) & (F.col("__rk") > 1), 0).otherwise(1))
-    x = running_sums(x, part_col, first, {"run": F.col("__chg")})
+    x = running_sums(x, part_col, "__at", {"run": F.col("__chg")})
     out = x.groupBy(part_col, "run").agg(
         F.first(value_col).alias("value"),
-        F.min(first).alias("start"), F.max(first).alias("end"),
+        F.min("__first").alias("start"), F.max("__first").alias("end"),
         F.count(F.lit(1)).alias("length"))
     return out.where(F.col("length") > min_length)
 

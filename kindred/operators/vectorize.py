@@ -2,11 +2,10 @@
 
 Long sparse form everywhere: ``unit_id, idx, cnt`` / ``unit_id, idx, w``.
 
-Partitioning: the unit table is hash-partitioned by ``unit_id`` once
-(``by_unit``); word split, vocabulary join (broadcast, bounded by the cut),
-the per-unit count, the per-unit norm window and the per-unit vector build
-all reuse that partitioning, so the only shuffle of unit data is that first
-one (of raw text, which is smaller than its exploded words). Document
+Partitioning: a unit is one row, so the words of its text are counted in the
+task that reads it and only (unit, word, count) rows are shuffled, never texts.
+The vocabulary join is a broadcast, bounded by the cut; the per-unit norm
+windows and vector builds shuffle the cut counts by ``unit_id`` once. Document
 frequency is a partial aggregate shuffled by ``idx`` (at most vocabulary-size
 rows per task after the map-side combine).
 """
@@ -17,20 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
-from kindred.session import shuffle_partitions
-
-
-def by_unit(units: DataFrame, id_col: str = "unit_id", n: int | None = None) -> DataFrame:
-    """Hash-partition units by id so all per-unit steps run without a shuffle.
-
-    The count follows the input: the scan's own split count, at least the
-    cluster's default parallelism, at most ``spark.sql.shuffle.partitions``.
-    """
-    if n is None:
-        spark = units.sparkSession
-        n = min(shuffle_partitions(spark),
-                max(spark.sparkContext.defaultParallelism, units.rdd.getNumPartitions()))
-    return units.repartition(n, id_col)
 
 
 def unit_words(units: DataFrame, text_col: str = "text", id_col: str = "unit_id") -> DataFrame:

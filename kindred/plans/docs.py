@@ -53,7 +53,7 @@ def reset_stages() -> None:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.by_unit(units_from_documents(spark, sf_dir))
+    return units_from_documents(spark, sf_dir)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage table ``unit_id, token, cnt`` over every word: the texts are
     split once, and both the vocabulary and the vocabulary counts read it
-    (checkpointed to the shared folder; its unit_id partitioning is kept)."""
+    (checkpointed to the shared folder). A unit is one row, so its words are
+    counted map-side and only counts are shuffled, never texts."""
     return _stage(spark, ("word_counts", sf_dir), lambda: cut_lineage(
-        V.term_counts(units(spark, sf_dir)), keep_partitioning=True))
+        V.term_counts(units(spark, sf_dir))))
 
 
 def frequency(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
@@ -99,7 +100,7 @@ def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool
         wc = word_counts(spark, sf_dir)
         voc = F.broadcast(vocabulary(spark, sf_dir, s, wc).select(F.col("name").alias("token"), "idx"))
         c = wc.join(voc, "token").select("unit_id", "idx", "cnt")
-        return cut_lineage(c, keep_partitioning=True)
+        return cut_lineage(c)
     c = _stage(spark, ("counts", sf_dir, s), build)
     if binary:
         c = c.withColumn("cnt", F.lit(1).cast("long"))

@@ -638,7 +638,7 @@ def topics(spark, sf):
 
 def _lang_words(spark, sf, lang):
     d = ST.load(spark, sf, "documents", "doc_id", "text", "lang").where(F.col("lang") == lang)
-    return VO.token_stream(V.by_unit(d.withColumnRenamed("doc_id", "unit_id"))).select(
+    return VO.token_stream(d.withColumnRenamed("doc_id", "unit_id")).select(
         F.col("token").alias("word"))
 
 
@@ -659,7 +659,7 @@ def distinct_words(spark, sf):
 def union_sources(spark, sf):
     """One word stream from documents and benchmark items; count per word."""
     b = ST.load(spark, sf, "benchmark", "item_id", "text").withColumnRenamed("item_id", "unit_id")
-    allw = D.tokens(spark, sf).unionByName(VO.token_stream(V.by_unit(b)))
+    allw = D.tokens(spark, sf).unionByName(VO.token_stream(b))
     return allw.groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -694,7 +694,7 @@ def long_units(spark, sf):
 def top_words_per_lang(spark, sf):
     """T5: the 5 most frequent words of each language (ties: word ascending)."""
     d = ST.load(spark, sf, "documents", "doc_id", "text", "lang").withColumnRenamed("doc_id", "unit_id")
-    w = V.by_unit(d).select("lang", F.explode(T.words("text")).alias("word"))
+    w = d.select("lang", F.explode(T.words("text")).alias("word"))
     f = w.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     return SA.top_n_per_group(f, "lang", [F.desc("n"), F.asc("word")], 5)
 

@@ -91,32 +91,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, asked of the file system that holds it; a
+    file system that fails raises instead of passing for an absent path."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder, survives executor loss).
 
     A reliable checkpoint writes its files in a second job that recomputes the
     plan unless it is persisted, so the rows are persisted (memory, spilling
     to disk) for the two jobs and released once the files are written.
-
-    ``keep_partitioning``: the checkpoint reports its hash partitioning to
-    later plans only when it was planned without adaptive execution, so the
-    stage is planned with AQE off (and the setting restored). Meant for
-    stages without skew-prone joins, whose later windows and aggregates on the
-    same key then need no shuffle.
     """
     from pyspark import StorageLevel
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    if keep_partitioning:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        held = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = held.checkpoint(eager=True)
-        held.unpersist()
+        return held.checkpoint(eager=True)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
-    return out
+        held.unpersist()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
