@@ -1,27 +1,28 @@
 """Toxicity by nearest labelled examples.
 
 Labelled examples and documents are TF-IDF vectors over terms: words, and the
-first five and six letters of longer words. The terms kept are those whose
-presence differs most between toxic and clean examples (chi-squared), among
-those at least ``min_lift`` times as frequent in toxic ones: common words, which
-longer texts merely hold more of, say little and lengthen every list. Their
-document frequencies are counted over the whole corpus. A document's ``k``
-nearest examples by cosine are found exactly through an inverted index whose
-posting lists are cut into blocks of examples: each term knows its largest
-weight in each block, so a block whose bound is under the ``k``-th best cosine
-is never opened. Neighbours vote with weight ``1 / (distance + 0.05)``; a
-logistic curve fitted to leave-one-out votes of the examples calibrates the
-vote to the share of toxic labels.
+first five and six letters of longer words. Every term of the examples counts,
+none is selected; terms that no example has can meet nothing and are left out.
+Their document frequencies are counted over the whole corpus. A document's ``k``
+nearest examples by cosine are found exactly through an inverted index: posting
+lists of the rarer terms are summed, those of the ``COMMON`` commonest are a
+matrix that ``BATCH`` documents are multiplied with at a time (bounds of blocks
+of examples left 60 % of the blocks open on whole vectors, and opening them one
+document at a time took ten times as long). Neighbours vote with weight
+``1 / (distance + 0.05)``; a logistic curve fitted to leave-one-out votes of the
+examples calibrates the vote to the share of toxic labels.
 
 Bounds: at most ``max_examples`` labelled rows of each class (by a hash of the
-id) and ``max_terms`` terms fit the model; both are parameters, and the index
-built from them is the only thing broadcast (a few MB). Counts and scores cover
-every document and whole texts.
+id) fit the model, a parameter; the index and the terms of these examples are
+the only things broadcast. Counts and scores cover every document and whole
+texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,8 +32,9 @@ from kindred.llm.common import stage, whole_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6)
-BLOCK = 64
-OPEN = 8  # blocks opened at a time
+BATCH = 64  # documents looked up at a time
+COMMON = 512  # terms whose posting lists are rows of a matrix
+NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def word_terms(word: str) -> tuple:
@@ -40,100 +42,119 @@ def word_terms(word: str) -> tuple:
 
 
 def text_words(text) -> list:
-    return LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    return text.translate(NO_LETTERS).split() if text.isascii() else LETTERS.findall(text)
 
 
-def is_letter(c: str) -> bool:
-    """The characters of LETTERS."""
-    return c.isalnum() and not c.isdecimal()
+class TermMap(dict):
+    """Finds the known terms of a text, each distinct word looked up once.
 
-
-class TermMap:
-    """Finds the kept terms of a text in one pass over its letters.
-
-    An automaton holds the kept words and beginnings of words. A hit counts
-    where a word begins; a whole word must end there, a beginning must go on.
+    Holds the known terms of the words met: at most ``MEMO`` words at a time.
     """
+    MEMO = 200_000
 
     def __init__(self, numbers: dict):
-        import ahocorasick
-        self.found = ahocorasick.Automaton()
-        forms: dict = {}
-        for term, number in numbers.items():
-            whole = not term.endswith("-")
-            forms.setdefault(term if whole else term[:-1], []).append((number, whole))
-        for letters, kinds in forms.items():
-            self.found.add_word(letters, (len(letters), kinds))
-        self.found.make_automaton()
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, word):
+        if len(self) >= self.MEMO:
+            self.clear()
+        got = self[word] = tuple(self.numbers[t] for t in word_terms(word) if t in self.numbers)
+        return got
 
     def counts(self, text) -> dict:
-        text, out = (text or "").lower(), {}
-        for end, (length, kinds) in self.found.iter(text):
-            if end >= length and is_letter(text[end - length]):
-                continue
-            ends = end + 1 == len(text) or not is_letter(text[end + 1])
-            for number, whole in kinds:
-                if whole == ends:
-                    out[number] = out.get(number, 0) + 1
+        out = {}
+        for word, n in Counter(text_words(text)).items():
+            for t in self[word]:
+                out[t] = out.get(t, 0) + n
         return out
 
-    def present(self, text):
-        return self.counts(text).keys()
+    def present(self, text) -> set:
+        return set(chain.from_iterable(map(self.__getitem__, set(text_words(text)))))
+
+
+class Postings:
+    """Weights by term: ``[t]`` is the row of term ``t`` over all places."""
+
+    def __init__(self, terms, places, weights, n_terms: int, n_places: int):
+        order = np.lexsort((places, terms))
+        self.places, self.weights = places[order].astype(np.int32), weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        self.n_places = n_places
+
+    def __getitem__(self, t):
+        row, part = np.zeros(self.n_places), slice(self.starts[t], self.starts[t + 1])
+        row[self.places[part]] = self.weights[part]
+        return row
+
+    def sums(self, terms, weights):
+        """Sum over ``terms`` of their rows times ``weights``."""
+        starts = self.starts[terms]
+        sizes = self.starts[terms + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+        return np.bincount(self.places[at], self.weights[at] * np.repeat(weights, sizes), minlength=self.n_places)
 
 
 class Index:
-    """Block-max inverted index of the examples' unit TF-IDF vectors."""
+    """Inverted index of the examples' unit TF-IDF vectors, in the order of their ids.
+
+    ``vectors`` are ``(terms, weights)`` arrays, one pair an example.
+    """
 
     def __init__(self, ids, labels, vectors, idf, k: int):
-        order = sorted(range(len(ids)), key=lambda i: (
-            max(vectors[i], key=vectors[i].get) if vectors[i] else -1, ids[i]))  # like beside like
+        order = sorted(range(len(ids)), key=lambda i: ids[i])
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.int8)
         self.idf, self.k = idf, k
-        self.blocks = -(-len(order) // BLOCK)
-        post: dict = {}
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                post.setdefault(t, []).append((place, w))
-        # Posting lists cut into blocks: self.lists[t, b] are the weights of term t in block b.
-        self.lists = np.zeros((len(idf), self.blocks, BLOCK))
-        for t, pairs in post.items():
-            for place, w in pairs:
-                self.lists[t, place // BLOCK, place % BLOCK] = w
-        self.bounds = self.lists.max(2) if self.blocks else np.zeros((len(idf), 0))
+        terms = np.concatenate([np.empty(0, np.int64), *(vectors[i][0] for i in order)])
+        weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])
+        places = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], np.int64))
+        self.lists = Postings(terms, places, weights, len(idf), len(order))
+        common = np.argsort(-np.diff(self.lists.starts), kind="stable")[:COMMON]
+        self.common = np.full(len(idf), -1, np.int64)  # row among the common terms
+        self.common[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(order)))
+        for c, t in enumerate(common):
+            self.rows[c] = self.lists[t]
         self.class_weight = np.ones(2)
         self.curve, self.blank, self.prior = (1.0, 0.0), 0.0, 0.0
 
+    def weigh(self, terms, counts):
+        """``terms`` ascending and the weights of the unit vector."""
+        order = np.argsort(terms)
+        terms = terms[order]
+        v = (1 + np.log(counts[order])) * self.idf[terms]
+        length = np.sqrt((v * v).sum())
+        return (terms, v / length) if length > 0 else (terms[:0], v[:0])
+
     def unit(self, counts: dict) -> dict:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        length = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / length for t, x in v.items()} if length > 0 else {}
-
-    def nearest(self, v: dict, skip: int | None = None):
-        """``(places, cosines)`` of the ``k`` best, exactly. Blocks are opened in
-        falling order of their bounds; of equal cosines the one met first counts."""
-        if not v or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
-        terms, weights = np.array(list(v)), np.array(list(v.values()))
-        bound = weights @ self.bounds[terms]
-        order = np.argsort(-bound, kind="stable")
-        places, cosines, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        for at in range(0, len(order), OPEN):
-            some = order[at:at + OPEN]
-            some = some[bound[some] > floor + 1e-12]
-            if not len(some):
-                break
-            acc = np.tensordot(weights, self.lists[terms[:, None], some[None, :]], 1).ravel()
-            cand = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = acc > floor
-            if skip is not None:
-                keep &= cand != skip
-            places = np.concatenate((places, cand[keep]))
-            cosines = np.concatenate((cosines, acc[keep]))
-            best = np.argsort(-np.round(cosines, 12), kind="stable")[:self.k]
-            places, cosines = places[best], cosines[best]
-            floor = cosines[-1] if len(cosines) == self.k else 0.0
-        return places, cosines
+        terms, weights = self.weigh(np.array(list(counts), np.int64), np.array(list(counts.values()), float))
+        return dict(zip(terms.tolist(), weights.tolist()))
+
+    def nearest(self, v: dict):
+        """``(places, cosines)`` of the ``k`` best, exactly; of equal cosines the smaller ids."""
+        return next(self.nearest_each([(np.array(list(v), np.int64), np.array(list(v.values()), float))]))
+
+    def nearest_each(self, vectors, skip=None):
+        """``nearest`` of each of ``(terms, weights)``; ``skip`` has a place to leave out for each."""
+        for at in range(0, len(vectors), BATCH):
+            some = vectors[at:at + BATCH]
+            common = np.zeros((len(some), len(self.rows)))
+            for row, (terms, weights) in zip(common, some):
+                c = self.common[terms]
+                row[c[c >= 0]] = weights[c >= 0]
+            for i, (row, (terms, weights)) in enumerate(zip(common @ self.rows, some)):
+                rare = self.common[terms] < 0
+                row += self.lists.sums(terms[rare], weights[rare])
+                if skip is not None:
+                    row[skip[at + i]] = 0.0
+                # Equal to 12 places is equal: all that may be among the k best, then by place.
+                floor = np.partition(row, -self.k)[-self.k] - 1e-11 if len(row) > self.k else 0.0
+                places = np.flatnonzero(row > max(floor, 0.0))
+                best = np.argsort(-np.round(row[places], 12), kind="stable")[:self.k]
+                yield places[best], row[places[best]]
 
     def vote(self, places, cosines) -> float:
         """Share of the distance-weighted votes that is toxic, pulled to the prior by a small weight."""
@@ -143,8 +164,7 @@ class Index:
 
     def calibrate(self, vectors_by_place) -> None:
         votes, ys, blanks = [], [], []
-        for place, v in enumerate(vectors_by_place):
-            near = self.nearest(v, skip=place)
+        for place, near in enumerate(self.nearest_each(vectors_by_place, range(len(vectors_by_place)))):
             if len(near[0]):
                 votes.append(self.vote(*near))
                 ys.append(self.labels[place])
@@ -156,13 +176,15 @@ class Index:
         self.curve = _logistic(_logit(np.array(votes)), np.array(ys, float), cw[np.array(ys, int)]) \
             if len(set(ys)) == 2 else (1.0, 0.0)
 
-    def score(self, counts: dict):
-        """``(score, places, cosines)``."""
-        near = self.nearest(self.unit(counts)) if counts else (np.empty(0, np.int64), np.empty(0))
-        if not len(near[0]):
-            return self.blank, *near
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * _logit(self.vote(*near)) + b)))), *near
+    def scores(self, counts: list):
+        """``(score, places, cosines)`` of each."""
+        for near in self.nearest_each([self.weigh(np.fromiter(c, np.int64, len(c)),
+                                                  np.fromiter(c.values(), float, len(c))) for c in counts]):
+            if not len(near[0]):
+                yield self.blank, *near
+                continue
+            a, b = self.curve
+            yield float(1 / (1 + np.exp(-(a * _logit(self.vote(*near)) + b)))), *near
 
 
 def _logit(p):
@@ -191,7 +213,7 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 15,
-        max_examples: int = 3000, max_terms: int = 600, min_lift: float = 2.0, seed: int = 3) -> Index | None:
+        max_examples: int = 3000, seed: int = 3) -> Index | None:
     """The index of labelled examples; None where no labelled text can be used.
 
     Repeated labels of an id count as toxic if one does; null labels don't count.
@@ -209,70 +231,61 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
         .join(F.broadcast(drawn), "ex_id").dropDuplicates(["ex_id"])
     ex = stage(ex, "toxic-examples")
 
-    def term_counts(frames):
+    def example_terms(frames):
         import pandas as pd
-        got: dict = {}
-
-        def out():
-            rows = [(t, c[0], c[1]) for t, c in got.items()]
-            got.clear()
-            return pd.DataFrame(rows, columns=["term", "clean", "toxic"])
-
         for frame in frames:
-            for text, y in zip(frame["text"], frame["y"]):
-                for t in {t for w in set(text_words(text)) for t in word_terms(w)}:
-                    got.setdefault(t, [0, 0])[y] += 1
-                if len(got) > 1_000_000:
-                    yield out()
-        yield out()
+            words = {w for text in frame["text"] for w in text_words(text)}
+            yield pd.DataFrame({"term": list({t for w in words for t in word_terms(w)})}, dtype=object)
 
     n = {r["y"]: r["n"] for r in ex.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
-    a, b = F.col("toxic"), F.col("clean")
-    c, d = n[1] - a, n[0] - b
-    chi = (n[0] + n[1]) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * n[1] * float(n[0]) + 1e-9)
-    kept = ex.mapInPandas(term_counts, "term string, clean long, toxic long").groupBy("term") \
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")) \
-        .withColumn("chi", chi).where((F.col("chi") > 10.8) & (a / n[1] > min_lift * b / n[0]) & (a >= 3)) \
-        .orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()
-    numbers = {r["term"]: i for i, r in enumerate(kept)}
+    # Every term of at most 2 * max_examples texts.
+    terms = ex.mapInPandas(example_terms, "term string").distinct().toPandas()["term"]
+    numbers = {t: i for i, t in enumerate(sorted(terms))}
     if not numbers:
         return None
+    held = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def frequencies(frames):
         import pandas as pd
-        terms, df, rows = TermMap(numbers), np.zeros(len(numbers), np.int64), 0
+        terms, rows = TermMap(held.value), 0
+        df = np.zeros(len(held.value), np.int64)
         for frame in frames:
             for text in frame["text"]:
                 rows += 1
-                for t in terms.present(text):
-                    df[t] += 1
-        yield pd.DataFrame({"term": [*range(len(df)), -1], "n": [*df.tolist(), rows]})
+                got = terms.present(text)
+                df[np.fromiter(got, np.int64, len(got))] += 1
+        some = np.flatnonzero(df)
+        yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(df[some], rows)})
 
-    df = {r["term"]: r["n"] for r in docs.select(whole_text().alias("text"))
-          .mapInPandas(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    rows = max(1, df.get(-1, 1))
-    idf = np.array([1 + np.log(rows / (1 + df.get(i, 0))) for i in range(len(numbers))]).clip(0.1)
+    got = docs.select(whole_text().alias("text")).mapInPandas(frequencies, "term int, n long") \
+        .groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(len(numbers) + 1, np.int64)
+    df[got["term"]] = got["n"]  # -1, the last one: rows
+    idf = (1 + np.log(max(1, df[-1]) / (1 + df[:-1]))).clip(0.1)
 
     def term_vectors(frames):
         import pandas as pd
-        terms = TermMap(numbers)
+        terms = TermMap(held.value)
         for frame in frames:
             counts = [terms.counts(t) for t in frame["text"]]
             yield pd.DataFrame({"ex_id": frame["ex_id"], "y": frame["y"],
-                                "t": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
+                                "t": [np.fromiter(c, np.int32, len(c)).tobytes() for c in counts],
+                                "n": [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in counts]})
 
-    examples = ex.mapInPandas(term_vectors, "ex_id long, y int, t array<int>, n array<int>") \
-        .orderBy("ex_id").collect()  # at most 2 * max_examples rows of kept terms
+    examples = ex.mapInPandas(term_vectors, "ex_id long, y int, t binary, n binary") \
+        .toPandas().sort_values("ex_id")  # at most 2 * max_examples rows
+    ids, ys = examples["ex_id"].tolist(), examples["y"].tolist()
     shell = Index([], [], [], idf, k)
-    vectors = [shell.unit(dict(zip(r["t"], r["n"]))) for r in examples]
-    index = Index([r["ex_id"] for r in examples], [r["y"] for r in examples], vectors, idf, k)
+    vectors = [shell.weigh(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32))
+               for t, c in zip(examples["t"], examples["n"])]
+    index = Index(ids, ys, vectors, idf, k)
     index.numbers = numbers
     index.class_weight = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)])
     index.class_weight /= index.class_weight.max()
     index.prior = totals.get(1, 0) / sum(totals.values())
-    by_id = {r["ex_id"]: v for r, v in zip(examples, vectors)}
+    by_id = dict(zip(ids, vectors))
     index.calibrate([by_id[i] for i in index.ids.tolist()])
     return index
 
@@ -282,7 +295,7 @@ def score_documents(docs: DataFrame, index: Index | None, evidence: bool = True)
     id, label, cosine). Column names of ``docs`` don't matter but ``text``; the
     new ones replace any of the same name.
 
-    Null or empty texts, and texts without a kept term, score the share of
+    Null or empty texts, and texts without a term of an example, score the share of
     toxic labels among examples without one. Without an index every score is 0.
     """
     spark = docs.sparkSession
@@ -294,18 +307,14 @@ def score_documents(docs: DataFrame, index: Index | None, evidence: bool = True)
         ix = held.value
         if ix is None:
             return pd.DataFrame({"score": [0.0] * len(texts), "evidence": [[] for _ in texts]})
-        terms, memo, scores, seen = TermMap(ix.numbers), {}, [], []
-        for text in texts:
-            counts = terms.counts(text)
-            key = tuple(sorted(counts.items()))
-            got = memo.get(key)
-            if got is None:
-                s, places, cosines = ix.score(counts)
-                got = memo[key] = (s, [{"doc_id": int(ix.ids[p]), "label": int(ix.labels[p]), "cosine": float(c)}
-                                       for p, c in zip(places, cosines)])
-            scores.append(got[0])
-            seen.append(got[1])
-        return pd.DataFrame({"score": scores, "evidence": seen})
+        terms, got = TermMap(ix.numbers), {}
+        new = list(dict.fromkeys(texts))
+        for at in range(0, len(new), BATCH):
+            some = new[at:at + BATCH]
+            for text, (s, places, cosines) in zip(some, ix.scores([terms.counts(t) for t in some])):
+                got[text] = (s, [{"doc_id": int(ix.ids[p]), "label": int(ix.labels[p]), "cosine": float(c)}
+                                 for p, c in zip(places, cosines)])
+        return pd.DataFrame({"score": [got[t][0] for t in texts], "evidence": [got[t][1] for t in texts]})
 
     out = docs.withColumn("__s", score(whole_text()))
     new = {"score": F.col("__s.score"), "predicted": (F.col("__s.score") >= 0.5).cast("int")}

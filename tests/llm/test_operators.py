@@ -328,6 +328,37 @@ def test_toxicity(spark):
         assert np.allclose(cosines, best) and np.allclose(dense[places], cosines)
 
 
+def test_toxicity_looks_at_all_terms(spark):
+    """Neighbours are those of the whole TF-IDF vectors: clean, rare and equally frequent terms, too."""
+    docs, labels, rows, truth = toxic_table(spark, 120)
+    more = [(1000 + i, f"calmly onlyhere{i % 3} été meadowland river", 9.0, 1) for i in range(30)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(r[0], r[0] % 2) for r in more], labels.schema))
+    index = toxicity.fit(docs, labels, k=5)
+    got = toxicity.score_documents(docs, index).collect()
+
+    def terms(text):
+        words = toxicity.LETTERS.findall((text or "").lower())
+        return Counter(t for w in words for t in toxicity.word_terms(w))
+    texts = [r[1] for r in rows + more]
+    df = Counter(t for x in texts for t in terms(x))
+    text_of = {r[0]: r[1] for r in rows + more}
+    assert set(index.numbers) == {t for i in index.ids.tolist() for t in terms(text_of[i])}
+
+    def unit(text):
+        v = {t: (1 + np.log(n)) * max(0.1, 1 + np.log(len(texts) / (1 + df[t])))
+             for t, n in terms(text).items() if t in index.numbers}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+    examples = {i: unit(text_of[i]) for i in index.ids.tolist()}
+    for r in got:
+        v = unit(r.text)
+        cos = [(-round(sum(w * e.get(t, 0.0) for t, w in v.items()), 9), i) for i, e in examples.items()]
+        want = sorted(c for c in cos if c[0] < 0)[:5]
+        assert [(-round(e.cosine, 9), e.doc_id) for e in r.evidence] == want
+    assert all(r.evidence for r in got if r.text)
+
+
 def test_toxicity_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(empty, none) is None
