@@ -246,6 +246,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are null. An empty table gives an empty result. Other columns are ignored,
     whatever their names. ``text_group`` names the set (equal sets, equal value).
     """
+    return _row_components(docs, id_col, text_col, words, percent, rounds) \
+        .select("doc_id", "n_shingles", "component_id", "text_group")
+
+
+def _row_components(docs, id_col, text_col, words, percent, rounds) -> DataFrame:
+    """``near_components`` with ``component`` (null without words) and the set's fingerprint ``f1, f2``."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     measured = stage(_measure(d, words), "shingles-measured")
     rows = measured.where("s is null").select("doc_id", "n", "f1", "f2")
@@ -260,13 +266,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.select("node", "f1", "f2", "least").join(comp, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stage(named.join(label, "component").select("f1", "f2", "component_id", F.col("node").alias("text_group")),
+    named = stage(named.join(label, "component").select("f1", "f2", "component_id", "component", F.col("node").alias("text_group")),
                   "near-components")
     # A hot group of copies is one hot key here; AQE splits the row side.
     return rows.join(named, ["f1", "f2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "text_group")
+        "text_group", "component", "f1", "f2")
 
 
 def _regions(prefixes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -417,10 +423,29 @@ def _connect(docs, nodes, members, words, percent, rounds) -> DataFrame:
     return comp
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, all columns kept;
-    rows without words stay, and of fully repeated rows one stays."""
-    c = near_components(docs, id_col, text_col, **kw)
-    stay = c.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["__id"]), "left_semi") \
-        .dropDuplicates([id_col])
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                       percent: int = 75, rounds: tuple = (4, 64)) -> DataFrame:
+    """One row of each component of near copies, all columns kept: one with the
+    smallest id, a null id only if all are null. Decided per set, not per id:
+    rows that share an id but are not linked all stay. Rows without words stay,
+    and of those with the same id and text one stays.
+    """
+    c = _row_components(docs, id_col, text_col, words, percent, rounds)
+    stay = c.where("n_shingles > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "f1", "f2")).alias("s")) \
+        .select(F.col("s.doc_id").alias("__id"), F.col("s.f1").alias("__f1"), F.col("s.f2").alias("__f2"))
+    stay = stage(stay, "near-kept")
+
+    @F.pandas_udf("n long, f1 long, f2 long")
+    def fingerprint(texts):
+        import pandas as pd
+        shingler = Shingler(words)
+        sets = (shingler.of(t) for t in texts)
+        return pd.DataFrame([(len(x), *_fingerprint(x)) for x in sets], columns=["n", "f1", "f2"], dtype="int64")
+
+    d = docs.withColumn("__set", fingerprint(whole_text(text_col))) \
+        .withColumn("__blank", F.when(F.col("__set.n") == 0, F.col(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__set.f1") == F.col("__f1")) \
+        & (F.col("__set.f2") == F.col("__f2"))
+    return d.join(stay, same, "left").where((F.col("__set.n") == 0) | F.col("__f1").isNotNull()) \
+        .dropDuplicates([id_col, "__set", "__blank"]).select(docs.columns)

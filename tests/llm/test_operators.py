@@ -274,6 +274,33 @@ def test_near_components_in_chains_and_crowds(spark):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute_components(rows)
 
 
+def test_keep_one_per_group_with_null_and_repeated_ids(spark, rows, empty):
+    apart = [" ".join(f"{a}{i}" for i in range(30)) for a in "abcdefg"]
+    near = apart[0] + " edit"
+    more = [(None, apart[1]), (None, apart[2]), (None, apart[2].upper()), (None, near), (500, apart[0]), (501, apart[3]), (501, apart[4]),
+            (501, apart[4]), (502, apart[5]), (502, apart[5] + " edit"), (None, ""), (None, None), (None, ""), (501, " ")]
+    table = rows + [(i, t, "en", "s", None, 1, 1, 1, 1) for i, t in more]
+    out = jaccardjoin.keep_one_per_group(spark.createDataFrame(table, SCHEMA).repartition(5))
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    want, blank = [], set()
+    for i, t, *_ in table:
+        s = shingle_set(t)
+        if not s:
+            blank.add((i, t))
+            continue
+        linked = [g for g in want if any(100 * len(s & x) >= 75 * len(s | x) for _, _, x in g)]
+        want = [g for g in want if g not in linked] + [sum(linked, [(i, t, s)])]
+    assert Counter({k: n for k, n in got.items() if not shingle_set(k[1])}) == Counter(blank)
+    left = [k for k in got.elements() if shingle_set(k[1])]
+    assert len(left) == len(want)
+    for g in want:  # one of each component, and of its smallest id
+        least = min((i for i, *_ in g if i is not None), default=None)
+        assert sum(k in left for k in {(i, t) for i, t, _ in g if i == least}) == 1
+        assert not any(k in left for k in {(i, t) for i, t, _ in g if i != least})
+    assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert jaccardjoin.keep_one_per_group(empty).count() == 0
+
+
 def test_near_components_of_nothing(empty):
     assert jaccardjoin.near_components(empty).count() == 0
 
