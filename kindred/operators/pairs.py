@@ -246,12 +246,12 @@ def _exact_rows(X: np.ndarray, Y: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _pair_values(D: np.ndarray, X: np.ndarray, Y: np.ndarray, r: np.ndarray, c: np.ndarray,
-                 metric: str, chunk_elems: int = 1 << 22) -> np.ndarray:
+                 metric: str, chunk_elems: int = 1 << 22, exact: bool = False) -> np.ndarray:
     """Distances of the kept cells. Cosine and Jaccard matrix values are
     already exact to rounding; the Euclidean forms come from an expansion that
     cancels for near points, so those cells are recomputed directly, in
-    chunks that bound the memory of the gathered rows."""
-    if metric not in ("euclidean", "sqeuclidean"):
+    chunks that bound the memory of the gathered rows; all are if ``exact``."""
+    if metric not in ("euclidean", "sqeuclidean") and not exact:
         return D[r, c]
     out = np.empty(len(r))
     step = max(1, chunk_elems // max(1, X.shape[1]))
@@ -365,21 +365,31 @@ def dense_pairs(vectors: DataFrame, metric: str = "cosine", t: float | None = No
         run, "i long, j long, dist double")
 
 
-def _row_best(D: np.ndarray, kk: int, ids: np.ndarray):
-    """Row and column indices of each row's ``kk`` smallest finite values.
+def _row_best(D: np.ndarray, k: int, ids: np.ndarray, X: np.ndarray, Y: np.ndarray, metric: str):
+    """Rows, columns and distances of each row's ``k`` nearest by (distance, id).
 
-    Values equal to nine places are ties and go to the smaller id, so exact
-    copies can't push each other out by rounding.
+    ``D`` comes from matrix products and only screens: every cell that rounding
+    could hide among the ``k`` best is computed directly, then the cut is made.
+    A sum of n products is off by at most n * eps / 2 of the sum of their sizes
+    (to first order); the margins are several times that.
     """
-    m = min(kk, D.shape[1])
-    if m == 0:
-        return np.array([], dtype=int), np.array([], dtype=int)
-    by_id = np.argsort(ids, kind="stable")
-    part = by_id[np.argsort(np.round(D[:, by_id], 9), axis=1, kind="stable")[:, :m]]
-    rows = np.repeat(np.arange(D.shape[0]), m)
-    cols = part.reshape(-1)
-    ok = np.isfinite(D[rows, cols])
-    return rows[ok], cols[ok]
+    none = np.array([], dtype=int)
+    if not D.size:
+        return none, none, np.array([])
+    eps = np.finfo(np.float64).eps * (X.shape[1] + 8)
+    if metric in ("euclidean", "sqeuclidean"):
+        S = D * D if metric == "euclidean" else D
+        margin = 4 * eps * ((X * X).sum(1) + (Y * Y).sum(1).max())
+    else:
+        S, margin = D, np.full(len(X), 4 * eps if metric == "cosine" else 0.0)
+    S = np.where(np.isfinite(D), S, np.inf)
+    kth = np.partition(S, k - 1, axis=1)[:, k - 1] if S.shape[1] > k else np.full(len(S), np.inf)
+    rows, cols = np.nonzero((S <= (kth + 2 * margin)[:, None]) & np.isfinite(S))
+    d = _pair_values(D, X, Y, rows, cols, metric, exact=metric == "cosine")
+    order = np.lexsort((ids[cols], d, rows))
+    rows, cols, d = rows[order], cols[order], d[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep], d[keep]
 
 
 def nearest(vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id",
@@ -388,25 +398,24 @@ def nearest(vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id",
     """For each vector its ``k`` nearest others (``i, j, dist, rank``).
 
     Ties go to the smaller ``j``. Each block pair keeps only its per-row best
-    ``k`` (+ margin) in both directions; the final top-k per ``i`` merges them.
+    ``k`` in both directions; the final top-k per ``i`` merges them.
     """
     if n_rows is None:
         n_rows = vectors.count()
     nb = n_blocks_for(n_rows, block_rows)
-    kk = k + 2  # margin for ties decided in the final order
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same, ia, X, ib, Y = _split(pdf)
         D = _dist_matrix(X, Y, metric)
         if same:
             np.fill_diagonal(D, np.inf)
-        r, c = _row_best(D, kk, ib)
-        i, j, d = ia[r], ib[c], _pair_values(D, X, Y, r, c, metric)
+        r, c, d = _row_best(D, k, ib, X, Y, metric)
+        i, j = ia[r], ib[c]
         if not same:
-            r2, c2 = _row_best(D.T, kk, ia)
+            r2, c2, d2 = _row_best(D.T, k, ia, Y, X, metric)
             i = np.concatenate([i, ib[r2]])
             j = np.concatenate([j, ia[c2]])
-            d = np.concatenate([d, _pair_values(D.T, Y, X, r2, c2, metric)])
+            d = np.concatenate([d, d2])
         return pd.DataFrame({"i": i, "j": j, "dist": d})
 
     cand = _block_input(vectors, id_col, vec_col, nb).groupBy("ba", "bb").applyInPandas(
@@ -453,7 +462,7 @@ def cross_nearest(queries: DataFrame, refs: DataFrame, k: int = 5, metric: str =
     """M4's search: for each query vector its ``k`` nearest reference vectors.
 
     Query blocks x reference blocks, one task per block pair; each task keeps
-    the per-query best ``k`` (+ margin), the final top-k per query merges them
+    the per-query best ``k``, the final top-k per query merges them
     (ties to the smaller reference id). ``i, j, dist, rank``.
     """
     nq = n_blocks_for(n_queries if n_queries is not None else queries.count(), block_rows)
@@ -468,7 +477,6 @@ def cross_nearest(queries: DataFrame, refs: DataFrame, k: int = 5, metric: str =
         return x.select(bq.alias("bq"), br.alias("br"), F.lit(name).alias("side"), "id", "v")
 
     both = side(queries, "q", nq, nr, True).unionByName(side(refs, "r", nr, nq, False))
-    kk = k + 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["side"] == "q"]
@@ -479,8 +487,7 @@ def cross_nearest(queries: DataFrame, refs: DataFrame, k: int = 5, metric: str =
         R = np.array(r["v"].tolist(), dtype=np.float64).reshape(len(r), -1)
         qi, rj = q["id"].to_numpy(), r["id"].to_numpy()
         D = _dist_matrix(Q, R, metric)
-        rows, cols = _row_best(D, kk, rj)
-        d = _pair_values(D, Q, R, rows, cols, metric)
+        rows, cols, d = _row_best(D, k, rj, Q, R, metric)
         return pd.DataFrame({"i": qi[rows], "j": rj[cols], "dist": d})
 
     cand = both.groupBy("bq", "br").applyInPandas(run, "i long, j long, dist double")
