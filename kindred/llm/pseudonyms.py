@@ -10,8 +10,9 @@ linked across documents, whatever separators they are written with.
 
 Kinds: payment cards (Luhn), IBANs (mod 97), social security numbers (issued
 ranges), phone numbers (10 to 15 digits), IPv4 addresses, dates (ISO, dotted,
-slashed), and mail addresses (the part before the @). What fails its test
-stays as it is.
+slashed), and mail addresses (the part before the @). Where a match fails its
+test, what lies between its separators is tried, from the left, the longest
+first; what fails there, too, stays as it is.
 
 Each text is split once at its matches and joined again; there is no shuffle
 and no row-wise Python, so rows are independent and a hot value costs nothing.
@@ -35,9 +36,12 @@ DAY_DATE = r"(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./][0-9])
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"
 PHONE = r"(?<![0-9A-Za-z.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])"
+# A run starts like a card and goes on over all digits that follow.
+RUN = CARD.replace("(?![0-9A-Za-z]", r"(?:[ -][0-9 -]*[0-9](?![0-9A-Za-z]|[./-][0-9]))?(?![0-9A-Za-z]", 1)
+PIECES = 19  # no value has more pieces between separators
 ANY = "|".join(f"(?:{p})" for p in
                (MAIL, IBAN, ISO_DATE, DAY_DATE.replace(r"([./])", r"[./]").replace(r"\1", "[./]"),
-                SSN, IPV4, CARD, PHONE))
+                SSN, IPV4, RUN, PHONE))
 
 
 def _digits(x: Column) -> Column:
@@ -200,6 +204,53 @@ def pseudonym(m: Column, key: str) -> Column:
             .otherwise(same))
 
 
+def pseudonyms(m: Column, key: str) -> Column:
+    """``array<struct<kind, value>>`` of a match: the values found in it and what
+    lies between (kind null), in order.
+
+    Pieces ``i`` to ``j`` are tried for each ``i``, the largest ``j`` first: the
+    whole match, then what begins and ends at separators. Phone numbers have no
+    check digit, so one inside a match gives way to a card that begins in it.
+    """
+    def named(x, f):
+        """``f(x)``, with ``x`` computed once."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def literal(text):
+        return F.struct(F.lit(None).cast("string").alias("kind"), text.alias("value"))
+
+    def search(pieces):  # every second one is a separator
+        firsts = F.sequence(F.lit(1), F.size(pieces), F.lit(2))
+        spans = F.flatten(F.transform(firsts, lambda i: F.transform(
+            F.sequence(F.least(F.size(pieces), i + 2 * (PIECES - 1)), i, F.lit(-2)),
+            lambda j: F.struct(i.alias("i"), j.alias("j"),
+                               F.array_join(F.slice(pieces, i, j - i + 1), "").alias("text")))))
+        return named(spans, lambda spans: walk(pieces, spans))
+
+    def walk(pieces, spans):
+        def is_card(t):
+            return t.rlike(f"^(?:{CARD})$") & (_luhn_sum(_digits(t)) % 10 == 0)
+
+        def step(s, span):
+            i, j = span["i"], span["j"]
+
+            def taken(p):
+                whole = (i == 1) & (j == F.size(pieces))
+                gives_way = F.when((p["kind"] == "phone") & ~whole, F.exists(F.filter(
+                    spans, lambda t: (t["i"] > i) & (t["i"] <= j)), lambda t: is_card(t["text"]))) \
+                    .otherwise(F.lit(False))
+                after = F.coalesce(F.get(pieces, j), F.lit(""))  # the separator behind piece j
+                return F.when((p["kind"].isNotNull() & ~gives_way) | (i == j), F.struct(
+                    (j + 2).alias("next"), F.concat(s["out"], F.array(p, literal(after))).alias("out"))).otherwise(s)
+            return F.when(i < s["next"], s).otherwise(
+                named(span["text"], lambda t: named(pseudonym(t, key), taken)))
+        start = F.struct(F.lit(1).alias("next"),
+                         F.array().cast("array<struct<kind:string,value:string>>").alias("out"))
+        return F.aggregate(spans, start, step, lambda s: s["out"])
+
+    return named(F.regexp_extract_all(m, F.lit("[ -]+|[^ -]+"), F.lit(0)), search)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with identifying values replaced in ``text_col``, and two columns
     ``n_values`` (how many were replaced) and ``kinds`` (which, in order).
@@ -212,10 +263,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col).cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))) \
         .otherwise(F.array().cast("array<string>"))
-    d = docs.withColumn("__found", F.transform(found, lambda m: pseudonym(m, key)))
+    d = docs.withColumn("__found", F.transform(found, lambda m: pseudonyms(m, key)))
     gaps = F.split(text, ANY, -1)
     joined = F.when(F.size("__found") <= 0, text).otherwise(F.array_join(F.transform(
-        gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__found.value"), i), F.lit("")))), ""))
-    kinds = F.filter(F.col("__found.kind"), lambda k: k.isNotNull())
+        gaps, lambda g, i: F.concat(g, F.coalesce(
+            F.array_join(F.get(F.col("__found"), i)["value"], ""), F.lit("")))), ""))
+    kinds = F.filter(F.flatten(F.transform("__found", lambda f: f["kind"])), lambda k: k.isNotNull())
     return d.withColumns({text_col: joined, "kinds": F.coalesce(kinds, F.array().cast("array<string>"))}) \
         .withColumn("n_values", F.size("kinds")).drop("__found")

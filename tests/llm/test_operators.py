@@ -136,6 +136,26 @@ def test_pseudonyms(spark, docs, empty):
     assert out.where("n_values = 0").select(docs.columns).exceptAll(docs).count() == 0
 
 
+def test_pseudonyms_inside_failing_runs(spark):
+    """A value beside other digits is found, though the longest run is none."""
+    texts = ["card 4111 1111 1111 1111 12/27", "4111111111111111 123", "415 555 1234 415 555 9876",
+             "12 4111-1111-1111-1111 99", "212 555 1112 415 555 1234 650 555 9876 x", "GB82WEST12345698765432 PAID 12",
+             "4111 1111 1111 1111", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 7"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(d, "key").collect()}
+    assert [got[i].kinds for i in range(7)] == [
+        ["card"], ["card"], ["phone"] * 2, ["card"], ["phone"] * 3, ["iban"], ["card"]]
+    card = got[6].text
+    assert luhn(card.replace(" ", "")) and card != texts[6]
+    assert got[0].text == f"card {card} 12/27" and got[1].text == card.replace(" ", "") + " 123"
+    assert got[3].text == f"12 {card.replace(' ', '-')} 99" and got[5].text.endswith(" PAID 12")
+    phones = [got[4].text[a:a + 12] for a in (0, 13, 26)]
+    assert got[2].text.split() != texts[2].split() and got[4].text.endswith(" x")
+    assert not set(phones) & {*(" ".join(texts[4].split()[a:a + 3]) for a in (0, 3, 6))}
+    shape = __import__("re").compile("[0-9]")
+    assert all(shape.sub("9", got[i].text) == shape.sub("9", t) for i, t in enumerate(texts) if i != 5)
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"), "id")
     p = d.select(pseudonyms.feistel_text(F.col("v"), "k", F.lit("t")).alias("p"),
