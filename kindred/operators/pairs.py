@@ -69,7 +69,13 @@ def cosine_within(weights: DataFrame, t: float, df: DataFrame | None = None,
     size). ``auto`` estimates the prefix join's size from the posting lists and
     takes blocks when the candidates would be a large share of all pairs.
     ``forest`` (blocks only) returns a spanning forest of the pairs instead.
+    From ``t = 1`` on, pairs need not share a term: ``prefix`` refuses such a
+    threshold and ``auto`` takes blocks.
     """
+    if t >= 1:
+        if strategy == "prefix":
+            raise ValueError("prefix finds only pairs that share a term: t must be below 1")
+        strategy = "blocks"
     theta = 1.0 - t
     w = weights.select("unit_id", F.col(key).alias("idx"), F.col(value).alias("w"))
     if df is None:

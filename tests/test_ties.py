@@ -39,3 +39,11 @@ def test_cross_nearest_among_copies(spark):
     got = pairs.cross_nearest(queries, refs, 3, block_rows=90).collect()
     assert sorted((r.i, r["rank"], r.j, r.dist) for r in got) == [
         (1000 + i, n + 1, i + 3 * n, 0.0) for i in range(3) for n in range(3)]
+
+
+def test_cosine_within_keeps_pairs_without_a_shared_term(spark):
+    w = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0), (3, 0, 1.0)], "unit_id long, idx int, w double")
+    got = pairs.cosine_within(w, 1.2, dim=10_000).collect()
+    assert sorted((r.i, r.j, r.dist) for r in got) == [(1, 2, 1.0), (1, 3, 0.0), (2, 3, 1.0)]
+    with pytest.raises(ValueError):
+        pairs.cosine_within(w, 1.0, strategy="prefix")
