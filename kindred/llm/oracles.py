@@ -101,10 +101,61 @@ FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.start = g.start AND p.source IS
   AND p.size > 0
 """
 
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p
+  FROM ws, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, p, count(*)::HUGEINT AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+parts AS (
+  SELECT lang, k, p, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+  FROM (SELECT *, string_split(p, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1 AND a >= 10)),
+cuts AS (
+  SELECT c.lang, c.k, c.p, c.a, c.j, x.a AS l, y.a AS r, (1000000 * c.a * c.a) // (x.a * y.a) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.p = c.head AND x.k = c.j
+               JOIN f y ON y.lang = c.lang AND y.p = c.tail AND y.k = c.k - c.j),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+covers AS (SELECT lang, a, unnest([regexp_extract(p, '^(.*) [^ ]*$', 1), regexp_extract(p, '^[^ ]* (.*)$', 1)]) AS p
+           FROM best WHERE k = 3),
+longest AS (SELECT lang, p, max(a) AS over FROM covers GROUP BY lang, p),
+kept AS (SELECT b.* FROM best b LEFT JOIN longest o USING (lang, p)
+         WHERE b.k = 3 OR over IS NULL OR 100 * over < 50 * b.a)
+SELECT lang, rank::INT AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+       score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank
+      FROM kept JOIN totals USING (lang)) WHERE rank <= 2000
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+             list_inner_product(a.q, c.q)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+ AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 ORACLES = {
     "op3_content_sort": OP3,
     "op4_warc_transactions": OP4,
     "op6_jaccard_regions": OP6,
     "op9_one_bit_codes": OP9,
     "op10_fair_queueing": OP10,
+    "op12_phrase_streams": OP12,
+    "op13_residue_negatives": OP13,
 }

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.llm import (boundaries, contentsort, fairmix, hilbert, jaccardjoin, jumphash, onebit,
-                         pseudonyms, toxicity, warc)
+from kindred.llm import (boundaries, bpestream, collocations, contentsort, fairmix, hardneg, hilbert,
+                         jaccardjoin, jumphash, onebit, pseudonyms, toxicity, warc)
 from kindred.llm.common import table
 from kindred.llm.tokens import vocabulary_path
 from kindred.session import scratch_path, ship_package
@@ -73,7 +73,29 @@ def op10_fair_queueing(spark, sf):
         .select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_start")
 
 
+def op11_streaming_bpe(spark, sf):
+    ship_package(spark)
+    path = vocabulary_path("byte_bpe_50k.json")
+    ids = bpestream.encode_texts(table(spark, sf, "documents", "doc_id", "text"), path, keep=["doc_id"])
+    return bpestream.decode_ids(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrase_streams(spark, sf):
+    ship_package(spark)
+    return collocations.collocations(table(spark, sf, "documents", "text", "lang"))
+
+
+def op13_residue_negatives(spark, sf):
+    ship_package(spark)
+    vectors = table(spark, sf, "embeddings", "vec_id", "embedding", "label") \
+        .withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hardneg.mine(vectors, "vec_id % 50 = 0")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_elias_fano_token_files, op2_feistel_pseudonyms, op3_content_sort, op4_warc_transactions,
     op5_jump_hash_shards, op6_jaccard_regions, op7_nearest_labelled, op8_hilbert_packing,
-    op9_one_bit_codes, op10_fair_queueing)}
+    op9_one_bit_codes, op10_fair_queueing, op11_streaming_bpe, op12_phrase_streams, op13_residue_negatives)}
