@@ -76,15 +76,15 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 @functools.cache
-def codec(path: str) -> Codec:
-    """The worker process's tables, loaded once."""
-    return Codec(path)
+def codec(path: str, encodes: bool = True) -> Codec:
+    """The worker process's tables, loaded once; a decoder needs few of them."""
+    return Codec(path, encodes=encodes)
 
 
 class Codec:
     """Tables of one byte-level vocabulary file."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 200_000, encodes: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split, model = spec["pre_tokenizer"], spec["model"]
@@ -92,14 +92,7 @@ class Codec:
             raise ValueError("not a byte-level vocabulary without normaliser")
         names = byte_names()
         as_bytes = {name: bytes(map(names.__getitem__, name)) for name in model["vocab"]}
-        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         ids = model["vocab"]
-        self.rank = {(ids[u], ids[v]): r for r, (u, v) in enumerate(pairs)}
-        self.made = [ids[u + v] for u, v in pairs]
-        self.of_byte = [0] * 256
-        for name, b in names.items():
-            self.of_byte[b] = ids[name]
-        self.lookahead = lookahead([(as_bytes[u], as_bytes[v]) for u, v in pairs])
         self.size = max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.bytes = [b""] * self.size
         for name, i in ids.items():
@@ -107,17 +100,29 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
             self.bytes[i] = content.encode()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        if encodes:
+            self._load_rules(path, model, as_bytes, names)
+        self.max_pieces = max_pieces
+        self.known: dict[str, bytes] = {}
+
+    def _load_rules(self, path, model, as_bytes, names):
+        ids = model["vocab"]
+        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        self.rank = {(ids[u], ids[v]): r for r, (u, v) in enumerate(pairs)}
+        self.made = [ids[u + v] for u, v in pairs]
+        self.of_byte = [0] * 256
+        for name, b in names.items():
+            self.of_byte[b] = ids[name]
+        self.lookahead = lookahead([(as_bytes[u], as_bytes[v]) for u, v in pairs])
         self.longest_special = max(map(len, self.special), default=0)
         by_length = sorted(self.special, key=len, reverse=True)
         self.find_special = re.compile("|".join(map(re.escape, by_length))).finditer if by_length else None
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         letters, digits = character_classes(path)
         self.pieces = re.compile(f"{CONTRACTIONS}| ?[{letters}]+| ?[{digits}]+| ?[^{WHITE}{letters}{digits}]+|"
                                  f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         self.runs = [re.compile(f"[{c}]*") for c in (WHITE, letters, digits)]
         self.runs.append(re.compile(f"[^{WHITE}{letters}{digits}]*"))
-        self.max_pieces = max_pieces
-        self.known: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of ``data`` as one piece: always the earliest rule, leftmost first."""
@@ -375,24 +380,28 @@ def decode_ids(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str =
 
     def run(batches):
         import pyarrow as pa
-        tables = codec(path)
+        tables = codec(path, encodes=False)
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            ends = ids.offsets.to_numpy()
-            flat = ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            texts = [tables.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())],
-                                             names=[*kept, text_col])
+            for part in _parts(batch, "__ids"):
+                ids = part.column(part.num_columns - 1)
+                ends = ids.offsets.to_numpy()
+                flat = ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
+                texts = [tables.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())],
+                                                 names=[*kept, text_col])
 
     return docs.select(*kept, F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))
                        .alias("__ids")).mapInArrow(run, schema)
 
 
-def _parts(batch, text_name: str, max_bytes: int = 8 << 20):
-    """Slices of an Arrow batch whose texts hold about ``max_bytes``."""
+def _parts(batch, name: str, most: int = 2 << 20):
+    """Slices of an Arrow batch whose texts (id arrays) hold about ``most`` bytes (ids)."""
+    import pyarrow as pa
     import pyarrow.compute as pc
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_name)), 0).to_numpy()
-    part = np.cumsum(sizes) // max_bytes
+    column = batch.column(name)
+    length = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    sizes = pc.fill_null(length(column), 0).to_numpy().astype(np.int64)
+    part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
