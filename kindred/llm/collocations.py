@@ -31,7 +31,7 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TABLE = bytes.maketrans(PIECE_ENDS + _UPPER, b"\n" * len(PIECE_ENDS) + _UPPER.lower())
 
-BLOCK_BYTES = 16 << 20   # text counted at once in a task
+BLOCK_BYTES = 8 << 20    # text counted at once in a task
 FILTER_BITS = 1 << 26    # bits of the frequent-pair filter, whatever the corpus
 FILTER_ROWS = 64         # rows the filter is collected in
 COUNTS = "lang string, w1 string, w2 string, w3 string, cnt long"
@@ -94,12 +94,12 @@ def _pair_bits(left, right):
 def _rows(lang, words, columns, counts):
     import pyarrow as pa
     table, n = pa.array(words, pa.binary()), len(counts)
-    cols = [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32)))]
-    for c in columns:
-        cols.append(table.take(pa.array(c)).cast(pa.string()))
-    cols += [pa.nulls(n, pa.string())] * (3 - len(columns)) + [pa.array(counts.astype(np.int64))]
-    for a in range(0, n, 65_536):
-        yield pa.RecordBatch.from_arrays([c.slice(a, 65_536) for c in cols],
+    for a in range(0, n, 32_768):
+        size = min(32_768, n - a)
+        cols = [pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int32)))]
+        cols += [table.take(pa.array(c[a:a + size])).cast(pa.string()) for c in columns]
+        cols += [pa.nulls(size, pa.string())] * (3 - len(columns))
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(counts[a:a + size].astype(np.int64))],
                                          names=["lang", "w1", "w2", "w3", "cnt"])
 
 
