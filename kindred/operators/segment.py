@@ -40,18 +40,23 @@ def drop_missing(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     return tokens.where(~T.is_missing_token(token_col))
 
 
-def marker_check(tokens: DataFrame, begin=None, end=None, file_col: str = "file") -> DataFrame:
+def marker_check(tokens: DataFrame, begin=None, end=None, file_col: str = "file",
+                 files: DataFrame | None = None) -> DataFrame:
     """W1 + S9: per file begin/end counts, lines present, and the parse error.
 
     Order of the checks is the reference's: no rows, unequal counts, no
-    markers, no line anywhere.
+    markers, no line anywhere. A file without rows is known only from
+    ``files`` (one row per file that was read); without it none is reported.
     """
     b, e = _pred(begin, BEGIN), _pred(end, END)
+    counts = ["n_rows", "n_begin", "n_end", "n_line"]
     agg = tokens.groupBy(file_col).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(b).alias("n_begin"),
         F.count_if(e).alias("n_end"),
         F.count("line").alias("n_line"))
+    if files is not None:
+        agg = files.select(file_col).join(agg, file_col, "left").na.fill(0, counts)
     reason = (F.when(F.col("n_rows") == 0, F.lit(REASON_EMPTY))
               .when(F.col("n_begin") != F.col("n_end"), F.lit(REASON_MISMATCH))
               .when(F.col("n_begin") == 0, F.lit(REASON_EMPTY))
@@ -59,10 +64,21 @@ def marker_check(tokens: DataFrame, begin=None, end=None, file_col: str = "file"
     return agg.withColumn("reason", reason)
 
 
-def parse_errors(tokens: DataFrame, begin=None, end=None, file_col: str = "file") -> DataFrame:
-    """``file, reason`` for files that yield no units."""
-    return marker_check(tokens, begin, end, file_col).where(F.col("reason").isNotNull()) \
+def parse_errors(tokens: DataFrame, begin=None, end=None, file_col: str = "file",
+                 files: DataFrame | None = None, read_errors: DataFrame | None = None) -> DataFrame:
+    """``file, reason`` for files that yield no units.
+
+    ``read_errors`` (``file, reason``) are the files that could not be read; each file
+    has one row, the reader's reason first. ``files`` is the list of all files.
+    """
+    if files is not None and read_errors is not None:
+        files = files.join(read_errors, file_col, "left_anti")
+    found = marker_check(tokens, begin, end, file_col, files).where(F.col("reason").isNotNull()) \
         .select(file_col, "reason")
+    if read_errors is None:
+        return found
+    return read_errors.select(file_col, "reason").unionByName(
+        found.join(read_errors, file_col, "left_anti"))
 
 
 def pair_markers(tokens: DataFrame, begin=None, end=None, file_col: str = "file") -> DataFrame:

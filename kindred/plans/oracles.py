@@ -386,4 +386,25 @@ scores AS (SELECT scope, unit_id, label, coalesce(sum(cnt * lp), 0)
 best AS (SELECT scope, unit_id, label AS prediction FROM scores
   QUALIFY row_number() OVER (PARTITION BY scope, unit_id ORDER BY score DESC, label ASC) = 1)
 SELECT te.scope, te.unit_id, te.label, best.prediction FROM te JOIN best USING (scope, unit_id)""",
+    "line_slice": r"""WITH d AS (SELECT doc_id, doc_id % 4 AS file, coalesce(text, '') AS t FROM documents),
+u AS (SELECT file, doc_id, n, coalesce(sum(n) OVER (PARTITION BY file ORDER BY doc_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+      FROM (SELECT *, length(t) - length(replace(t, chr(10), '')) + 1 AS n FROM d)),
+f AS (SELECT file, string_split_regex(string_agg(t, chr(10) ORDER BY doc_id),
+                                      '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]') AS lines FROM d GROUP BY file)
+SELECT u.file, doc_id, array_to_string(lines[(first + n // 4 + 1)::BIGINT:(first + n - n // 4)::BIGINT], chr(10)) AS raw
+FROM u JOIN f USING (file)""",
+    "parse_tokens": f"""SELECT conv_id % 8 AS bucket,
+  row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS pos,
+  CASE WHEN text IN ({NA_LIST}) THEN NULL ELSE text END AS token, length(role)::INTEGER AS kind,
+  turn::INTEGER AS line, (conv_id % 5)::INTEGER AS col FROM conversations""",
+    "parse_error_rows": r"""WITH l AS (SELECT conv_id AS file, unnest(string_split(coalesce(text, ''), chr(10))) AS v FROM conversations),
+long AS (SELECT file, count(*) AS n FROM l WHERE length(v) - length(replace(v, ',', '')) > 3 GROUP BY file),
+m AS (SELECT conv_id AS file, count(*) FILTER (role = 'user') AS b, count(*) FILTER (role IS DISTINCT FROM 'user') AS e
+      FROM conversations GROUP BY 1)
+SELECT file, reason FROM (
+  SELECT file, CASE WHEN n IS NOT NULL THEN 'Error tokenizing data: ' || n || ' rows with too many fields'
+    WHEN b <> e THEN 'has different number of start and end in parsed!!!'
+    WHEN b = 0 THEN 'no functions found!' END AS reason
+  FROM m LEFT JOIN long USING (file)) WHERE reason IS NOT NULL""",
 }

@@ -182,6 +182,7 @@ def cluster_report(spark, sf):
 from kindred.operators import segment as S  # noqa: E402
 from kindred.operators import label as L  # noqa: E402
 from kindred.plans import streams as ST  # noqa: E402
+from kindred.sources import files as FS  # noqa: E402
 
 
 @query("marker_check")
@@ -233,6 +234,28 @@ def unit_raw(spark, sf):
     return slice_lines(lines, u.select("file", "k", "start_line", "end_line"), bucket=64)
 
 
+@query("line_slice")
+def line_slice(spark, sf):
+    """Source lines of each unit's document, out of a stored line directory."""
+    return ST.unit_slices(spark, sf)
+
+
+@query("parse_tokens")
+def parse_tokens(spark, sf):
+    """Token rows of CSV files in which quoted cells hold commas, quotes and line breaks."""
+    tokens, _ = FS.read_tokens(spark, ST.token_files(spark, sf))
+    return tokens.select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket"),
+                         "pos", "token", "kind", "line", "col")
+
+
+@query("parse_error_rows")
+def parse_error_rows(spark, sf):
+    """One row per token file that gives no units, with the first reason."""
+    lines, files = ST.turn_files(spark, sf)
+    tokens, errors = FS.parse_tokens(lines, files=files)
+    return S.parse_errors(S.drop_missing(tokens), files=files, read_errors=errors)
+
+
 @query("last_line")
 def last_line(spark, sf):
     return S.last_line(ST.page_tokens(spark, sf))

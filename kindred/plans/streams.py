@@ -12,16 +12,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.rank import running_sums
 from kindred.operators.segment import drop_missing
-from kindred.sources.tables import load  # noqa: F401  (re-exported for queries)
+from kindred.session import scratch_path
+from kindred.sources import files as FS
+from kindred.sources import records as R
 from kindred.sources.tables import load
 
-
-
 def CONV_BEGIN():
     return F.col("role") == "user"
 
@@ -73,3 +75,56 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_marker, F.lit(None).cast("double")).otherwise(F.col("value")).alias("line"),
         F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("kind"),
         F.minute("ts").cast("int").alias("col"))
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> str:
+    """CSV token files of ``conversations``: a file per bucket of 8, a turn a row.
+
+    Cells as a CSV writer writes them (token quoted, quotes doubled); some rows end
+    with CR LF and some are followed by a blank line.
+    """
+    c = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", quoted, F.coalesce(F.length("role").cast("string"), F.lit("")),
+                      F.coalesce(F.col("turn").cast("string"), F.lit("")), (F.col("conv_id") % 5).cast("string"))
+    end = F.when(F.col("turn") % 3 == 1, F.lit("\r")).when(F.col("turn") % 3 == 2, F.lit("\n")).otherwise(F.lit(""))
+    at = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
+    c.select((F.col("conv_id") % 8).alias("bucket"), "conv_id", "turn", F.concat(row, end).alias("value")) \
+        .repartition(8, "bucket").sortWithinPartitions("bucket", "conv_id", "turn") \
+        .select("bucket", "value").write.partitionBy("bucket").text(at)
+    return f"{at}/bucket=*"
+
+
+def turn_files(spark: SparkSession, sf_dir: str):
+    """``(lines, files)``: every conversation as a token file of bare, unquoted lines.
+
+    A turn is a marker row (BEGIN_METHOD for the user's, else END_METHOD; the turn
+    is its line), then the lines of its text as they are.
+    """
+    c = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    mark = F.concat(F.when(F.col("role") == "user", F.lit("BEGIN_METHOD,8001,")).otherwise(F.lit("END_METHOD,8002,")),
+                    F.col("turn").cast("string"), F.lit(",0"))
+    rows = c.select(F.col("conv_id").alias("file"), "turn", F.posexplode(F.concat(
+        F.array(mark), F.split(F.coalesce("text", F.lit("")), "\n"))).alias("k", "value"))
+    lines = rows.select("file", (F.col("turn") * 1_000_000 + F.col("k")).alias("pos"), "value")
+    return lines, c.select(F.col("conv_id").alias("file")).distinct()
+
+
+def unit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files on disk, their lines stored with a directory, and
+    the middle half of each document's lines read back as its unit."""
+    d = load(spark, sf_dir, "documents", "doc_id", "text")
+    at = scratch_path(spark, f"sources-{uuid.uuid4().hex}")
+    # a document per line, its own breaks kept: the file's lines are all documents' lines
+    named = d.select((F.col("doc_id") % 4).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    named.repartition(4, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value") \
+        .write.partitionBy("bucket").text(f"{at}/text")
+    R.store_lines(FS.read_source_lines(spark, f"{at}/text/bucket=*"), f"{at}/lines")
+    stored = spark.read.parquet(f"{at}/lines").withColumn(
+        "file", F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long"))
+    n = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))) + 1
+    sizes = named.select(F.col("bucket").alias("file"), "doc_id", n.cast("long").alias("n"))
+    units = running_sums(sizes, "file", "doc_id", {"cum": F.col("n")}).withColumn("first", F.col("cum") - F.col("n"))
+    units = units.select("file", "doc_id", (F.col("first") + F.expr("n div 4")).alias("start_line"),
+                         (F.col("first") + F.expr("n - n div 4")).alias("end_line"))
+    return R.slice_stored(stored, units, key=("file", "doc_id"))
