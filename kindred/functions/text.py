@@ -91,17 +91,24 @@ def line_slice(lines, start, end) -> Column:
     return F.when(n > 0, F.array_join(F.slice(col(lines), s + 1, n), "\n")).otherwise(F.lit(""))
 
 
-def report_name(path) -> Column:
+TOKEN_FOLDER, SOURCE_FOLDER, TOKEN_SUFFIX = "tokenized1", "c_sharp_code", ".tree-viewer.txt"
+
+
+def relative_name(path, folder: str, suffix: str = "") -> Column:
+    """What follows ``folder`` and a slash of either kind, without ``suffix``."""
+    return F.regexp_extract(col(path), rf"\Q{folder}\E[\\/](.*?)(?:\Q{suffix}\E)?$", 1)
+
+
+def report_name(path, folder: str = TOKEN_FOLDER, suffix: str = TOKEN_SUFFIX) -> Column:
     """Token file path -> label-report file name ("\\" + relative name)."""
-    rel = F.regexp_extract(col(path), r"tokenized1[\\/](.*)$", 1)
-    rel = F.regexp_replace(rel, r"\.tree-viewer\.txt$", "")
-    return F.concat(F.lit("\\"), rel)
+    return F.concat(F.lit("\\"), relative_name(path, folder, suffix))
 
 
-def source_path(path) -> Column:
+def source_path(path, folder: str = TOKEN_FOLDER, source_folder: str = SOURCE_FOLDER,
+                suffix: str = TOKEN_SUFFIX) -> Column:
     """Token file path -> source file path."""
-    p = F.regexp_replace(col(path), "tokenized1", "c_sharp_code")
-    return F.regexp_replace(p, r"\.tree-viewer\.txt$", "")
+    p = F.replace(col(path), F.lit(folder), F.lit(source_folder))
+    return F.regexp_replace(p, rf"\Q{suffix}\E$", "")
 
 
 def format_share(name, share) -> Column:

@@ -31,6 +31,16 @@ def sample_k(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("__h", hash_key(id_col, seed)).orderBy("__h", id_col).limit(k).drop("__h")
 
 
+def drawn_from(df: DataFrame, choice: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id a stored choice names (Catalyst picks the join; no hint)."""
+    return df.join(choice.select(id_col), id_col, "left_semi")
+
+
+def rest_of(df: DataFrame, choice: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id it does not name (null ids are never drawn)."""
+    return df.join(choice.select(id_col), id_col, "left_anti")
+
+
 def top_n_per_group(df: DataFrame, group_col: str, order, n: int, salts: int = 16) -> DataFrame:
     """T5: first ``n`` rows of each group in the given order (ties broken by
     the order only). Exact in two steps: the top ``n`` of each (group, salt)

@@ -408,3 +408,69 @@ SELECT file, reason FROM (
     WHEN b = 0 THEN 'no functions found!' END AS reason
   FROM m LEFT JOIN long USING (file)) WHERE reason IS NOT NULL""",
 }
+
+# ------------------------------------------------------------ token files to clusters
+
+CORPUS = f"""WITH lines AS (
+  SELECT conv_id, turn, role, i, line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS no FROM (
+    SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM conversations)),
+rows_ AS (
+  SELECT conv_id, turn, i, w, word AS token, no AS line FROM (
+    SELECT *, unnest(string_split(line, ' ')) AS word, unnest(range(len(string_split(line, ' ')))) AS w FROM lines)
+  WHERE word <> ''
+  UNION ALL SELECT conv_id, turn, CASE WHEN role = 'user' THEN -1 ELSE 1000000000 END, 0,
+    CASE WHEN role = 'user' THEN 'BEGIN_METHOD' ELSE 'END_METHOD' END, NULL FROM conversations),
+tok AS (SELECT * FROM (SELECT conv_id::VARCHAR AS file, token, line,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn, i, w) - 1 AS pos FROM rows_) WHERE token NOT IN ({NA_LIST})),
+chk AS (SELECT file, count_if(token = 'BEGIN_METHOD') AS b, count_if(token = 'END_METHOD') AS e, count(line) AS n FROM tok GROUP BY file),
+bs AS (SELECT file, pos AS begin_pos, row_number() OVER (PARTITION BY file ORDER BY pos) AS k FROM tok WHERE token = 'BEGIN_METHOD'),
+es AS (SELECT file, pos AS end_pos, row_number() OVER (PARTITION BY file ORDER BY pos) AS k FROM tok WHERE token = 'END_METHOD'),
+un AS (SELECT bs.file, bs.k::INTEGER AS k, begin_pos, end_pos FROM bs JOIN es USING (file, k)
+       WHERE file IN (SELECT file FROM chk WHERE b = e AND b > 0 AND n > 0)),
+lastl AS (SELECT file, arg_max(line, pos) FILTER (WHERE line IS NOT NULL) AS last_line FROM tok GROUP BY file),
+ul AS (SELECT u.*, s.line AS start_line, coalesce(e.line, l.last_line) AS end_line FROM un u
+       LEFT JOIN tok s ON s.file = u.file AND s.pos = begin_pos + 1
+       LEFT JOIN tok e ON e.file = u.file AND e.pos = end_pos + 2 LEFT JOIN lastl l ON l.file = u.file),
+rep AS (SELECT conv_id::VARCHAR AS file, no AS start_line, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (
+          SELECT conv_id, no, unnest([CASE WHEN length(line) - length(replace(line, ',', '')) >= 2 THEN 'sql_commas' END,
+                                      CASE WHEN line LIKE '%.' THEN 'stop' END]) AS tag FROM lines)
+        WHERE tag IS NOT NULL GROUP BY 1, 2),
+lab AS (SELECT ul.*, coalesce(tags, '') AS tags, (coalesce(tags, '') LIKE '%sql%')::INTEGER AS gt
+        FROM ul LEFT JOIN rep USING (file, start_line)),
+txt AS (SELECT u.file, u.k, trim(regexp_replace(regexp_replace(lower(string_agg(t.token, ' ' ORDER BY t.pos)),
+                 '[^\\p{{L}}\\p{{N}} _\\-]', '', 'g'), ' +', ' ', 'g')) AS text
+        FROM un u JOIN tok t ON t.file = u.file AND t.pos BETWEEN begin_pos AND end_pos GROUP BY 1, 2),
+src AS (SELECT conv_id::VARCHAR AS file, list(line ORDER BY no) AS src FROM lines GROUP BY 1),
+units_ AS (SELECT row_number() OVER (ORDER BY file, k) - 1 AS unit_id, lab.*, coalesce(text, '') AS text,
+             coalesce(array_to_string(src[start_line + 1:end_line], chr(10)), '') AS raw
+           FROM lab LEFT JOIN txt USING (file, k) JOIN src USING (file))"""
+
+
+def _on_units(t: float, *more: str) -> str:
+    """The document steps over the run's units, with its settings."""
+    steps = ",\n".join([WORDS, FREQ, VOCAB, COUNTS, WEIGHTS, COS_PAIRS, COMPONENTS, *more])
+    steps = steps.replace("FROM documents)", "FROM units_)").replace("doc_id AS unit_id", "unit_id").replace("lower(text)", "lower(text)")
+    return CORPUS.replace("WITH lines", "WITH RECURSIVE lines", 1) + ",\n" + steps.replace(">= 20", ">= 5").replace("< 0.4", f"< {t}")
+
+
+def _on_sample(kind: str) -> str:
+    choice = "choice AS (SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || ':3'), doc_id LIMIT 300)"
+    kept = f"used AS (SELECT * FROM weights WHERE unit_id {kind} (SELECT doc_id FROM choice))"
+    pairs = COS_PAIRS.replace("FROM weights a JOIN weights b", "FROM used a JOIN used b")
+    return w(*DOC, WEIGHTS, choice, kept, pairs) + " SELECT i, j, round(dist, 6) AS dist FROM pairs"
+
+
+ORACLES |= {
+    "label_join": CORPUS + " SELECT file, k, begin_pos, end_pos, start_line, end_line, tags, gt FROM lab",
+    "run_errors": CORPUS + """ SELECT file, CASE WHEN b <> e THEN 'has different number of start and end in parsed!!!'
+  WHEN b = 0 THEN 'no functions found!' ELSE 'no tokenized found!' END AS reason FROM chk WHERE NOT (b = e AND b > 0 AND n > 0)""",
+    "staged_run": _on_units(0.4) + " SELECT unit_id, component AS cluster_id FROM comp",
+    "cluster_listing": _on_units(1.15 * 1.15 / 2) + """,
+sz AS (SELECT component, count(*) AS size, avg(gt) AS gt_rate FROM comp JOIN units_ USING (unit_id) GROUP BY 1 HAVING count(*) > 2)
+SELECT component AS cluster_id, unit_id, row_number() OVER (PARTITION BY component ORDER BY unit_id) - 1 AS position,
+  size, size > 15 AS interesting, round(gt_rate, 6) AS gt_rate, gt, tags, file, start_line, end_line, raw
+FROM comp JOIN sz USING (component) JOIN units_ USING (unit_id)""",
+    "pairs_on_sample": _on_sample("IN"),
+    "sample_rest": _on_sample("NOT IN"),
+}

@@ -736,3 +736,77 @@ def class_means(spark, sf):
     """R2 averages: macro and support-weighted precision, recall and F1."""
     m = EV.class_means(EV.class_report(EV.confusion(VE.knn_predictions(spark, sf))))
     return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+# ------------------------------------------------------------ token files to clusters
+
+from kindred.plans import runs as RU  # noqa: E402
+from kindred.plans import stages as SG  # noqa: E402
+
+RUN_SETTINGS = D.Settings(vocab_min=5)
+
+
+def _units_run(spark, sf):
+    """Units of the conversation corpus, read from files once per folder and application."""
+    from uuid import uuid4
+
+    from kindred.session import scratch_path
+
+    def build():
+        tokens, sources, report, name = ST.code_corpus(spark, sf)
+        at = scratch_path(spark, f"run-{uuid4().hex}")
+        return at, *RU.read_units(spark, tokens, sources, report, at, name, name, keywords=["sql"])
+    return D._stage(spark, ("units_run", sf), build)
+
+
+@query("label_join")
+def label_join(spark, sf):
+    """Units of token files with the findings on their first line."""
+    return _units_run(spark, sf)[1].select("file", "k", "begin_pos", "end_pos", "start_line", "end_line", "tags", "gt")
+
+
+@query("run_errors")
+def run_errors(spark, sf):
+    """Files of the run that gave no units, with the reason."""
+    return _units_run(spark, sf)[2].select("file", "reason")
+
+
+def _clusters_run(spark, sf, **how):
+    at, units, _ = _units_run(spark, sf)
+    return SG.run(spark, units, at, s=RUN_SETTINGS, **how), units
+
+
+@query("staged_run")
+def staged_run(spark, sf):
+    """Cluster of every unit: token files to vectors, TF-IDF, distances below 0.4 and single-link clusters."""
+    return _clusters_run(spark, sf)[0]["clustering"].select("unit_id", "cluster_id")
+
+
+@query("cluster_listing")
+def cluster_listing(spark, sf):
+    """Clusters of more than two units, with place, labels, file and source lines of each unit."""
+    tables, units = _clusters_run(spark, sf, metric="euclidean", t=1.15)
+    big = tables["clustering"].join(SG.cluster_sizes(tables).where("size > 2"), "cluster_id", "left_semi")
+    return RU.cluster_listing(big, units).withColumn("gt_rate", r6(F.col("gt_rate")))
+
+
+def _sample_run(spark, sf, rest):
+    s = D.Settings()
+    from uuid import uuid4
+
+    from kindred.session import scratch_path
+    at = scratch_path(spark, f"sample-{uuid4().hex}")
+    return SG.run(spark, D.units(spark, sf), at, s=s, sample=300, seed=3, rest=rest)["distances"] \
+        .select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
+@query("pairs_on_sample")
+def pairs_on_sample(spark, sf):
+    """Close pairs among 300 drawn documents; document frequencies of all documents."""
+    return _sample_run(spark, sf, False)
+
+
+@query("sample_rest")
+def sample_rest(spark, sf):
+    """Close pairs among the documents that are not drawn."""
+    return _sample_run(spark, sf, True)
