@@ -129,9 +129,8 @@ def adaboost_predict(train: DataFrame, test: DataFrame, rounds: int = 50, id_col
 
 def lda_predict(train: DataFrame, test: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """M5: linear discriminant with a pooled covariance (shrunk by 1e-6 on the diagonal)."""
-    from pyspark.ml.stat import Summarizer
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation, Summarizer
 
     means = train.groupBy("label").agg(Summarizer.mean(F.col("features")).alias("mu"),
                                        F.count(F.lit(1)).alias("n"))
@@ -142,10 +141,12 @@ def lda_predict(train: DataFrame, test: DataFrame, id_col: str = "vec_id") -> Da
     total = sum(n.values())
     mu_arr = means.select("label", vector_to_array("mu").alias("m"))
     centred = train.join(mu_arr, "label").select(
-        F.zip_with(vector_to_array("features"), "m", lambda a, b: a - b).alias("c"))
-    rm = RowMatrix(centred.rdd.map(lambda r: OldVectors.dense(r["c"])))
-    # computeCovariance centres again on the overall mean of the (already class-centred) rows: 0
-    cov = rm.computeCovariance().toArray() * (total - 1) / max(total - len(classes), 1)
+        array_to_vector(F.zip_with(vector_to_array("features"), "m", lambda a, b: a - b)).alias("c"))
+    # both are JVM tree aggregates; the correlation holds the packed upper triangle of the products
+    std = centred.select(Summarizer.std(F.col("c"))).first()[0].toArray()
+    corr = np.nan_to_num(Correlation.corr(centred, "c").first()[0].toArray())
+    np.fill_diagonal(corr, 1.0)
+    cov = corr * np.outer(std, std) * (total - 1) / max(total - len(classes), 1)
     cov += np.eye(cov.shape[0]) * 1e-6
     inv = np.linalg.inv(cov)
     x = vector_to_array("features")

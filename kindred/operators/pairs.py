@@ -28,7 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions.rank import global_row_number
 from kindred.operators.vectorize import document_frequency
+from kindred.session import cut_lineage
 
 _EPS = 1e-9
 
@@ -176,6 +178,37 @@ def jaccard_within(sets: DataFrame, t: float, key: str = "idx",
     return out.where(F.col("dist") < t)
 
 
+def jaccard_cells_within(cells: DataFrame, t: float, key: str = "idx", value: str = "cnt") -> DataFrame:
+    """N3 ``jaccard`` on real vectors, thresholded: ``i < j, dist`` with ``dist < t``.
+
+    The distance is SciPy's: of the dimensions where either vector is not 0, the
+    share where they differ. It is 1 - E / U for E equal non-zero cells (index and
+    value) and U dimensions in either, and U is at least either vector's size. So a
+    close pair shares more than (1 - t) n of its cells, and cells are the elements
+    of a prefix-filtered overlap join: rare cells first, each unit indexes the few it
+    cannot do without. ``cells`` has a row per unit and dimension; zeros, and units
+    with zeros only, are in no pair. ``t`` is at most 1.
+    """
+    if t > 1:
+        raise ValueError("pairs without an equal cell have distance 1: t is at most 1")
+    x = cells.where(F.col(value) != 0).select("unit_id", F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    ranked = global_row_number(x.groupBy("k", "v").agg(F.count(F.lit(1)).alias("df")),
+                               F.asc("df"), F.asc("k"), F.asc("v"), name="e").select("k", "v", "e")
+    rows = cut_lineage(x.join(ranked, ["k", "v"]).groupBy("unit_id").agg(
+        F.sort_array(F.collect_list("e")).alias("e"), F.collect_list("k").alias("k")).withColumn("n", F.size("e")))
+    need = F.greatest(F.ceil((1 - t) * F.col("n") - 1e-9), F.lit(1))
+    indexed = rows.select("unit_id", "n", F.explode(F.slice("e", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("e"))
+    a, b = (indexed.select(F.col("unit_id").alias(u), F.col("n").alias(f"n{u}"), "e") for u in "ij")
+    near = a.join(b, "e").where((F.col("i") < F.col("j")) & (
+        F.least("ni", "nj") >= (1 - t) * F.greatest("ni", "nj") - 1e-9)).select("i", "j").distinct()
+    both = near
+    for u in "ij":
+        both = both.join(rows.select(F.col("unit_id").alias(u), *[F.col(c).alias(f"{c}{u}") for c in ("e", "k", "n")]), u)
+    equal = F.size(F.array_intersect("ei", "ej"))
+    either = F.col("ni") + F.col("nj") - F.size(F.array_intersect("ki", "kj"))
+    return both.select("i", "j", ((either - equal) / either).alias("dist")).where(F.col("dist") < t)
+
+
 def binary_cells(sets: DataFrame, pairs: DataFrame, n_terms: int, key: str = "idx") -> DataFrame:
     """2x2 cell counts of two 0-1 vectors for each given pair.
 

@@ -461,7 +461,22 @@ def _on_sample(kind: str) -> str:
     return w(*DOC, WEIGHTS, choice, kept, pairs) + " SELECT i, j, round(dist, 6) AS dist FROM pairs"
 
 
+REAL_PAIRS = """nnz AS (SELECT unit_id, count(*) AS n FROM counts GROUP BY 1),
+met AS (SELECT a.unit_id AS i, b.unit_id AS j, count(*) AS k, count_if(a.cnt = b.cnt) AS e
+         FROM counts a JOIN counts b ON a.idx = b.idx AND a.unit_id < b.unit_id GROUP BY 1, 2)
+SELECT i, j, round((p.n + q.n - k - e) / (p.n + q.n - k), 6) AS dist FROM met JOIN nnz p ON p.unit_id = i JOIN nnz q ON q.unit_id = j
+WHERE (p.n + q.n - k - e) / (p.n + q.n - k) < 0.5"""
+
 ORACLES |= {
+    "pair_distance_jaccard_real": w(*DOC, REAL_PAIRS),
+    "pair_distance_jaccard_binary": w(*DOC, REAL_PAIRS.replace("count_if(a.cnt = b.cnt)", "count(*)")),
+    "subsample_words": """WITH l AS (SELECT doc_id AS unit_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS ws FROM documents),
+x AS (SELECT unit_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM l),
+f AS (SELECT word, count(*) / sum(count(*)) OVER () AS f FROM x GROUP BY word),
+kept AS (SELECT unit_id, word, pos FROM x JOIN f USING (word)
+         WHERE f <= 1e-3 OR ('0x' || substr(md5(unit_id || ':' || pos || ':1'), 1, 8))::BIGINT / 4294967296.0 < sqrt(1e-3 / f))
+SELECT unit_id, count(pos) AS n, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS words
+FROM l LEFT JOIN kept USING (unit_id) GROUP BY unit_id""",
     "label_join": CORPUS + " SELECT file, k, begin_pos, end_pos, start_line, end_line, tags, gt FROM lab",
     "run_errors": CORPUS + """ SELECT file, CASE WHEN b <> e THEN 'has different number of start and end in parsed!!!'
   WHEN b = 0 THEN 'no functions found!' ELSE 'no tokenized found!' END AS reason FROM chk WHERE NOT (b = e AND b > 0 AND n > 0)""",

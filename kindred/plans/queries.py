@@ -146,6 +146,20 @@ def pair_distance_jaccard(spark, sf):
     return _jaccard_pairs(spark, sf).select("i", "j", r6(F.col("dist")).alias("dist"))
 
 
+@query("pair_distance_jaccard_real")
+def pair_distance_jaccard_real(spark, sf):
+    """N3 ``jaccard`` on count vectors: cells equal in value, not only present."""
+    p = N.jaccard_cells_within(D.counts(spark, sf), D.DEFAULT.t_jaccard)
+    return p.select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
+@query("pair_distance_jaccard_binary")
+def pair_distance_jaccard_binary(spark, sf):
+    """N3 ``jaccard_binary``: the same rule on 0-1 vectors."""
+    p = N.jaccard_cells_within(D.counts(spark, sf, binary=True), D.DEFAULT.t_jaccard)
+    return p.select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
 @query("binary_cells")
 def binary_cells(spark, sf):
     n_terms = D.vocabulary(spark, sf).count()
@@ -604,6 +618,13 @@ def _w2v(spark, sf):
     return lists, EM.train_word_vectors(lists, size=50, min_count=20, window=10, seed=1)
 
 
+@query("subsample_words")
+def subsample_words(spark, sf):
+    """E1's subsampling of frequent words before training."""
+    lists = EM.subsample_words(EM.word_lists(D.units(spark, sf)), 1e-3, seed=1)
+    return lists.select("unit_id", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("words"))
+
+
 @query("word_vectors")
 def word_vectors(spark, sf):
     _, m = _w2v(spark, sf)
