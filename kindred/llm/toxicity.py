@@ -6,20 +6,23 @@ none is selected; terms that no example has can meet nothing and are left out.
 Their document frequencies are counted over the whole corpus. A document's ``k``
 nearest examples by cosine are found exactly through an inverted index: posting
 lists of the rarer terms are summed, those of the ``COMMON`` commonest are a
-matrix that ``BATCH`` documents are multiplied with at a time (bounds of blocks
+matrix that ``BATCH`` documents are multiplied with at a time, in float32 to
+screen and in float64 for what may be among the nearest (bounds of blocks
 of examples left 60 % of the blocks open on whole vectors, and opening them one
-document at a time took ten times as long). Neighbours vote with weight
+document at a time took ten times as long). A labelled example that is scored is
+not its own neighbour. Neighbours vote with weight
 ``1 / (distance + 0.05)``; a logistic curve fitted to leave-one-out votes of the
 examples calibrates the vote to the share of toxic labels.
 
 Bounds: at most ``max_examples`` labelled rows of each class (by a hash of the
-id) fit the model, a parameter; the index and the terms of these examples are
-the only things broadcast. Counts and scores cover every document and whole
+id) fit the model, a parameter; the index and the terms of these examples (64-bit
+hashes of them) are the only things broadcast. Counts and scores cover every document and whole
 texts.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from itertools import chain
@@ -38,7 +41,10 @@ NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def word_terms(word: str) -> tuple:
-    return (word, *(word[:n] + "-" for n in PREFIXES if len(word) > n))
+    """Terms of a word as signed 64-bit hashes."""
+    import xxhash
+    names = (word, *(word[:n] + "-" for n in PREFIXES if len(word) > n))
+    return tuple(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in names)
 
 
 def text_words(text) -> list:
@@ -53,9 +59,9 @@ class TermMap(dict):
     """
     MEMO = 200_000
 
-    def __init__(self, numbers: dict):
+    def __init__(self, known: np.ndarray):
         super().__init__()
-        self.numbers = numbers
+        self.numbers = dict(zip(known.tolist(), range(len(known))))
 
     def __missing__(self, word):
         if len(self) >= self.MEMO:
@@ -115,12 +121,23 @@ class Index:
         common = np.argsort(-np.diff(self.lists.starts), kind="stable")[:COMMON]
         self.common = np.full(len(idf), -1, np.int64)  # row among the common terms
         self.common[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), len(order)))
+        self.common_rows = np.zeros((len(order), len(common)))  # an example a row
         for c, t in enumerate(common):
-            self.rows[c] = self.lists[t]
+            self.common_rows[:, c] = self.lists[t]
         self.class_weight = np.ones(2)
         self.curve, self.blank, self.prior = (1.0, 0.0), 0.0, 0.0
 
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k not in ("rows32", "term_map")}  # made anew where used
+
+    @functools.cached_property
+    def rows32(self):
+        return self.common_rows.astype(np.float32)
+
+    @functools.cached_property
+    def term_map(self):
+        return TermMap(self.known)
+
     def weigh(self, terms, counts):
         """``terms`` ascending and the weights of the unit vector."""
         order = np.argsort(terms)
@@ -138,23 +155,30 @@ class Index:
         return next(self.nearest_each([(np.array(list(v), np.int64), np.array(list(v.values()), float))]))
 
     def nearest_each(self, vectors, skip=None):
-        """``nearest`` of each of ``(terms, weights)``; ``skip`` has a place to leave out for each."""
+        """``nearest`` of each of ``(terms, weights)``; ``skip`` has a place to leave out for each, or -1.
+
+        No weight is negative and vectors have length 1, so a float32 sum of ``COMMON``
+        products is off by less than 1e-4.
+        """
         for at in range(0, len(vectors), BATCH):
             some = vectors[at:at + BATCH]
-            common = np.zeros((len(some), len(self.rows)))
+            common = np.zeros((len(some), self.common_rows.shape[1]))
             for row, (terms, weights) in zip(common, some):
                 c = self.common[terms]
                 row[c[c >= 0]] = weights[c >= 0]
-            for i, (row, (terms, weights)) in enumerate(zip(common @ self.rows, some)):
+            screen = common.astype(np.float32) @ self.rows32.T
+            for i, (terms, weights) in enumerate(some):
                 rare = self.common[terms] < 0
-                row += self.lists.sums(terms[rare], weights[rare])
-                if skip is not None:
+                rest = self.lists.sums(terms[rare], weights[rare])
+                row = rest + screen[i]
+                if skip is not None and skip[at + i] >= 0:
                     row[skip[at + i]] = 0.0
-                # Equal to 12 places is equal: all that may be among the k best, then by place.
-                floor = np.partition(row, -self.k)[-self.k] - 1e-11 if len(row) > self.k else 0.0
+                floor = np.partition(row, -self.k)[-self.k] - 2e-4 if len(row) > self.k else 0.0
                 places = np.flatnonzero(row > max(floor, 0.0))
-                best = np.argsort(-np.round(row[places], 12), kind="stable")[:self.k]
-                yield places[best], row[places[best]]
+                exact = self.common_rows[places] @ common[i] + rest[places]
+                # Equal to 12 places is equal: by place then.
+                best = np.argsort(-np.round(exact, 12), kind="stable")[:self.k]
+                yield places[best], exact[best]
 
     def vote(self, places, cosines) -> float:
         """Share of the distance-weighted votes that is toxic, pulled to the prior by a small weight."""
@@ -176,10 +200,10 @@ class Index:
         self.curve = _logistic(_logit(np.array(votes)), np.array(ys, float), cw[np.array(ys, int)]) \
             if len(set(ys)) == 2 else (1.0, 0.0)
 
-    def scores(self, counts: list):
-        """``(score, places, cosines)`` of each."""
+    def scores(self, counts: list, skip=None):
+        """``(score, places, cosines)`` of each, without the place in ``skip``."""
         for near in self.nearest_each([self.weigh(np.fromiter(c, np.int64, len(c)),
-                                                  np.fromiter(c.values(), float, len(c))) for c in counts]):
+                                                  np.fromiter(c.values(), float, len(c))) for c in counts], skip):
             if not len(near[0]):
                 yield self.blank, *near
                 continue
@@ -217,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
     """The index of labelled examples; None where no labelled text can be used.
 
     Repeated labels of an id count as toxic if one does; null labels don't count.
+    Of an example id with several texts, the first in order is taken.
     """
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()) \
         .where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("ex_id")) \
@@ -228,24 +253,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
         .unionByName(lab.where("y = 0").orderBy(*by_hash).limit(max_examples))
     drawn = stage(drawn, "toxic-drawn")  # at most 2 * max_examples rows of id and label
     ex = docs.select(F.col("doc_id").alias("ex_id"), whole_text().alias("text")) \
-        .join(F.broadcast(drawn), "ex_id").dropDuplicates(["ex_id"])
+        .join(F.broadcast(drawn), "ex_id").groupBy("ex_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     ex = stage(ex, "toxic-examples")
 
     def example_terms(frames):
         import pandas as pd
         for frame in frames:
             words = {w for text in frame["text"] for w in text_words(text)}
-            yield pd.DataFrame({"term": list({t for w in words for t in word_terms(w)})}, dtype=object)
+            yield pd.DataFrame({"term": list({t for w in words for t in word_terms(w)})}, dtype="int64")
 
     n = {r["y"]: r["n"] for r in ex.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
     # Every term of at most 2 * max_examples texts.
-    terms = ex.mapInPandas(example_terms, "term string").distinct().toPandas()["term"]
-    numbers = {t: i for i, t in enumerate(sorted(terms))}
-    if not numbers:
+    known = np.sort(ex.mapInPandas(example_terms, "term long").distinct().toPandas()["term"].to_numpy())
+    if not len(known):
         return None
-    held = docs.sparkSession.sparkContext.broadcast(numbers)
+    held = docs.sparkSession.sparkContext.broadcast(known)
 
     def frequencies(frames):
         import pandas as pd
@@ -261,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
 
     got = docs.select(whole_text().alias("text")).mapInPandas(frequencies, "term int, n long") \
         .groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(numbers) + 1, np.int64)
+    df = np.zeros(len(known) + 1, np.int64)
     df[got["term"]] = got["n"]  # -1, the last one: rows
     idf = (1 + np.log(max(1, df[-1]) / (1 + df[:-1]))).clip(0.1)
 
@@ -276,23 +300,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
 
     examples = ex.mapInPandas(term_vectors, "ex_id long, y int, t binary, n binary") \
         .toPandas().sort_values("ex_id")  # at most 2 * max_examples rows
-    ids, ys = examples["ex_id"].tolist(), examples["y"].tolist()
+    held.unpersist()
+    ids, ys = examples["ex_id"].tolist(), examples["y"].tolist()  # ascending ids: an example's place
     shell = Index([], [], [], idf, k)
     vectors = [shell.weigh(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32))
                for t, c in zip(examples["t"], examples["n"])]
     index = Index(ids, ys, vectors, idf, k)
-    index.numbers = numbers
+    index.known = known
     index.class_weight = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)])
     index.class_weight /= index.class_weight.max()
     index.prior = totals.get(1, 0) / sum(totals.values())
-    by_id = dict(zip(ids, vectors))
-    index.calibrate([by_id[i] for i in index.ids.tolist()])
+    index.calibrate(vectors)
     return index
 
 
-def score_documents(docs: DataFrame, index: Index | None, evidence: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, index: Index | None, evidence: bool = True,
+                    id_col: str = "doc_id") -> DataFrame:
     """``docs`` plus ``score, predicted`` and ``evidence`` (nearest examples:
-    id, label, cosine). Column names of ``docs`` don't matter but ``text``; the
+    id, label, cosine; never the row's own id). Column names of ``docs`` don't matter but ``text``; the
     new ones replace any of the same name.
 
     Null or empty texts, and texts without a term of an example, score the share of
@@ -302,21 +327,25 @@ def score_documents(docs: DataFrame, index: Index | None, evidence: bool = True)
     held = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
-    def score(texts):
+    def score(ids, texts):
         import pandas as pd
         ix = held.value
         if ix is None:
             return pd.DataFrame({"score": [0.0] * len(texts), "evidence": [[] for _ in texts]})
-        terms, got = TermMap(ix.numbers), {}
-        new = list(dict.fromkeys(texts))
+        terms, got = ix.term_map, {}
+        at = np.searchsorted(ix.ids, ids.fillna(-1).astype("int64"))
+        own = np.where((ix.ids[np.minimum(at, len(ix.ids) - 1)] == ids.fillna(-1)) & ids.notna(), at, -1).tolist()
+        rows = list(zip(texts, own))
+        new = list(dict.fromkeys(rows))
         for at in range(0, len(new), BATCH):
             some = new[at:at + BATCH]
-            for text, (s, places, cosines) in zip(some, ix.scores([terms.counts(t) for t in some])):
-                got[text] = (s, [{"doc_id": int(ix.ids[p]), "label": int(ix.labels[p]), "cosine": float(c)}
-                                 for p, c in zip(places, cosines)])
-        return pd.DataFrame({"score": [got[t][0] for t in texts], "evidence": [got[t][1] for t in texts]})
+            scored = ix.scores([terms.counts(t) for t, _ in some], [place for _, place in some])
+            for row, (s, places, cosines) in zip(some, scored):
+                got[row] = (s, [{"doc_id": int(ix.ids[p]), "label": int(ix.labels[p]), "cosine": float(c)}
+                                for p, c in zip(places, cosines)])
+        return pd.DataFrame({"score": [got[r][0] for r in rows], "evidence": [got[r][1] for r in rows]})
 
-    out = docs.withColumn("__s", score(whole_text()))
+    out = docs.withColumn("__s", score(F.col(id_col).cast("long"), whole_text()))
     new = {"score": F.col("__s.score"), "predicted": (F.col("__s.score") >= 0.5).cast("int")}
     if evidence:
         new["evidence"] = F.col("__s.evidence")

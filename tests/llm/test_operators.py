@@ -390,22 +390,33 @@ def test_toxicity_looks_at_all_terms(spark):
     texts = [r[1] for r in rows + more]
     df = Counter(t for x in texts for t in terms(x))
     text_of = {r[0]: r[1] for r in rows + more}
-    assert set(index.numbers) == {t for i in index.ids.tolist() for t in terms(text_of[i])}
+    assert set(index.known.tolist()) == {t for i in index.ids.tolist() for t in terms(text_of[i])}
+
+    known = set(index.known.tolist())
 
     def unit(text):
         v = {t: (1 + np.log(n)) * max(0.1, 1 + np.log(len(texts) / (1 + df[t])))
-             for t, n in terms(text).items() if t in index.numbers}
+             for t, n in terms(text).items() if t in known}
         length = np.sqrt(sum(x * x for x in v.values()))
         return {t: x / length for t, x in v.items()}
     examples = {i: unit(text_of[i]) for i in index.ids.tolist()}
     for r in got:
         v = unit(r.text)
-        cos = [(-round(sum(w * e.get(t, 0.0) for t, w in v.items()), 9), i) for i, e in examples.items()]
+        cos = [(-round(sum(w * e.get(t, 0.0) for t, w in v.items()), 9), i) for i, e in examples.items() if i != r.doc_id]
         want = sorted(c for c in cos if c[0] < 0)[:5]
         assert [(-round(e.cosine, 9), e.doc_id) for e in r.evidence] == want
     assert all(r.evidence for r in got if r.text)
 
 
+def test_an_example_has_one_text_and_not_itself_as_neighbour(spark):
+    rows = [(i, f"same words {'bad' if i % 2 else 'fine'} {i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows + [(1, "zz another text"), (2, None)], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = [toxicity.score_documents(docs, toxicity.fit(docs, labels)).orderBy("doc_id", "text").collect() for _ in "ab"]
+    assert got[0] == got[1]
+    assert all(e.doc_id != r.doc_id for r in got[0] for e in r.evidence) and got[0][0].evidence
+
+
 def test_toxicity_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(empty, none) is None
