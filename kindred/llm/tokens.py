@@ -89,11 +89,17 @@ class ChunkEncoder:
             out.append(head + b"".join(parts))
         return out
 
+    def _letters(self, text: str) -> bool:
+        if not text.isalpha() or text.isascii() or self.tok.normalizer is None:
+            return text.isalpha()
+        return self.tok.normalizer.normalize_str(text).isalpha()
+
     def _learn(self, chunks: set[str]) -> None:
         """Store the ids of ``" " + chunk``.
 
         Letters followed by punctuation split before the punctuation, so such a
-        chunk is its word's ids and its tail's. Words share library calls: each
+        chunk is its word's ids and its tail's (if they are still letters when the
+        tokenizer has normalised them: it takes some apart into a letter and a mark). Words share library calls: each
         is one piece of the split, whose first or last token shows in its name.
         Other chunks share calls with a mark between them that no chunk holds.
         """
@@ -103,7 +109,7 @@ class ChunkEncoder:
                 words.add(c)
                 continue
             core = c.rstrip(PUNCTUATION)
-            if core.isalpha():
+            if self._letters(core):
                 if core not in known:
                     words.add(core)
                 tailed.append((c, core))

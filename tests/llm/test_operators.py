@@ -67,6 +67,20 @@ def test_chunked_ids_are_the_librarys(name, rows):
             enc.tok.encode(t, add_special_tokens=False).ids for t in part]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_letter_beside_punctuation_and_marks(name):
+    """Letters that the tokenizer takes apart, and all the others."""
+    enc = ChunkEncoder(vocabulary_path(name))
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    letters = [c for c in letters if not "\u4e00" <= c <= "\u9fff" and not "\uac00" <= c <= "\ud7a3" and c < "\U00020000"]
+    texts = ["x " + " ".join(f"ab{c}{tail}" for c in letters[i:i + 50]) for tail in (".", "!?", "\u0301,", "")
+             for i in range(0, len(letters), 50)]
+    for part in (texts[:len(texts) // 2], texts[len(texts) // 2:]):
+        want = enc.tok.encode_batch_fast(part, add_special_tokens=False)
+        bad = [t for t, p, w in zip(part, enc.encode(part), want) if enc.ids(p).tolist() != w.ids]
+        assert not bad, bad[:3]
+
+
 @pytest.mark.parametrize("values,universe", [([], 0), ([0], 0), ([5], 5), ([1, 1, 1], 1), ([3, 900, 900, 5000], 5000)])
 def test_elias_fano(values, universe):
     ef = boundaries.EliasFano.encode(np.array(values), universe)
