@@ -14,6 +14,7 @@ partition. Cutting is then a row-wise matter and needs no order.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import stage, whole_text
+from kindred.session import shuffle_partitions
 
 DIMS, BITS, BUCKETS = 4, 12, 256
 
@@ -87,6 +89,29 @@ def curve_keys(texts: list[str], directions: np.ndarray) -> np.ndarray:
     return hilbert_keys(grid.astype(np.int64))
 
 
+def _placed(borders: list[tuple[int, int]]):
+    """Key of a text and the number of its range; equal keys are told apart by ``tie``."""
+    @F.pandas_udf("key long, part int")
+    def placed(texts, ties):
+        import pandas as pd
+        keys = curve_keys(texts.tolist(), _directions())
+        return pd.DataFrame({"key": keys, "part": [bisect.bisect_right(borders, p) for p in zip(keys.tolist(), ties)]})
+    return placed
+
+
+def _borders(d: DataFrame, per_part: int = 100) -> list[tuple[int, int]]:
+    """Where the ranges meet: quantiles of a sample of about ``per_part`` rows a
+    shuffle partition. Only the partitions' sizes depend on them, no result does."""
+    parts = shuffle_partitions(d.sparkSession)
+    rows = d.count()
+    if parts < 2 or not rows:
+        return []
+    some = d.sample(min(1.0, per_part * parts / rows), seed=11) \
+        .select(_placed([])(F.col("text"), F.col("tie"))["key"].alias("key"), "tie").collect()
+    some = sorted((r["key"], r["tie"]) for r in some)
+    return sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
+
+
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048,
          id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
@@ -100,15 +125,14 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048,
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
-    @F.pandas_udf("long")
-    def curve_key(texts):
-        import pandas as pd
-        return pd.Series(curve_keys(texts.tolist(), _directions()))
-
     tie = F.xxhash64("doc_id", F.col("doc_id").isNull())
-    d = d.withColumn("curve_key", curve_key("text")).withColumn("tie", tie) \
-        .repartitionByRange("curve_key", "tie").sortWithinPartitions("curve_key", "tie", "doc_id") \
-        .drop("tie")
+    d = d.withColumn("tie", tie)
+    borders = _borders(d)
+    placed = _placed(borders)(F.col("text"), F.col("tie"))
+    # Each key is computed once, where its text is read; the rows are then dealt by number.
+    d = d.withColumn("p", placed).select("doc_id", "text", "tie", F.col("p.key").alias("curve_key"), F.col("p.part").alias("part")) \
+        .repartitionById(len(borders) + 1, "part").sortWithinPartitions("curve_key", "tie", "doc_id") \
+        .drop("tie", "part")
 
     def encoded(batches):
         import pyarrow as pa
