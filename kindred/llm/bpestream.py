@@ -19,8 +19,8 @@ of every continuation.
 *Decoding.* Each id stands for bytes; an incremental UTF-8 state machine turns
 them into text, holding at most an incomplete character between chunks.
 
-Both keep memory that does not depend on the text's length; the dictionary of
-pieces already encoded is emptied when it reaches ``max_pieces``.
+Both keep memory that does not depend on the text's length; of the pieces already
+encoded, at most two times ``max_pieces`` are kept.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ FAR = 1 << 60
 # others are written as the characters from U+0100 on), and the contractions
 # and white space of their split.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
 WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
 
@@ -84,7 +84,7 @@ def codec(path: str, encodes: bool = True) -> Codec:
 class Codec:
     """Tables of one byte-level vocabulary file."""
 
-    def __init__(self, path: str, max_pieces: int = 200_000, encodes: bool = True):
+    def __init__(self, path: str, max_pieces: int = 150_000, encodes: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split, model = spec["pre_tokenizer"], spec["model"]
@@ -105,6 +105,7 @@ class Codec:
             self._load_rules(path, model, as_bytes, names)
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _load_rules(self, path, model, as_bytes, names):
         ids = model["vocab"]
@@ -119,10 +120,20 @@ class Codec:
         by_length = sorted(self.special, key=len, reverse=True)
         self.find_special = re.compile("|".join(map(re.escape, by_length))).finditer if by_length else None
         letters, digits = character_classes(path)
-        self.pieces = re.compile(f"{CONTRACTIONS}| ?[{letters}]+| ?[{digits}]+| ?[^{WHITE}{letters}{digits}]+|"
-                                 f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self.runs = [re.compile(f"[{c}]*") for c in (WHITE, letters, digits)]
-        self.runs.append(re.compile(f"[^{WHITE}{letters}{digits}]*"))
+        self.runs = [re.compile(f"[{c}]*") for c in (WHITE, ranges(letters), ranges(digits))]
+        self.runs.append(re.compile(f"[^{WHITE}{ranges(letters)}{ranges(digits)}]*"))
+        # A class costs its ranges wherever it fails, so texts of few planes get shorter ones.
+        self.findall = []
+        for top in (0x80, 0x10000, 0x110000):
+            w, x, y = WHITE, *(ranges([c for c in kind if c < top]) for kind in (letters, digits))
+            self.findall.append(re.compile(f"{CONTRACTIONS}| ?[{x}]+| ?[{y}]+| ?[^{w}{x}{y}]+|"
+                                           f"[{w}]+(?![^{w}])|[{w}]+").findall)
+
+    def pieces(self, text: str) -> list[str]:
+        """The byte-level split of a text."""
+        if text.isascii():
+            return self.findall[0](text)
+        return self.findall[1 if len(text.encode("utf-16-le")) == 2 * len(text) else 2](text)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of ``data`` as one piece: always the earliest rule, leftmost first."""
@@ -172,19 +183,18 @@ class Codec:
         known = self.known
         got = list(map(known.get, pieces))
         if None in got:
-            if len(known) > self.max_pieces:
-                known.clear()
+            if len(known) > self.max_pieces:  # what is in use comes back from the older half
+                self.older, known = known, {}
+                self.known = known
+            older = self.older.get
             for i, (piece, ids) in enumerate(zip(pieces, got)):
                 if ids is None:
-                    got[i] = known.get(piece) or self._learn(piece)
+                    ids = known.get(piece) or older(piece) or self.packed(self.merge(piece.encode()))
+                    if len(piece) <= 64:
+                        known[piece] = ids
+                    got[i] = ids
         return b"".join(got)
 
-    def _learn(self, piece: str) -> bytes:
-        ids = self.packed(self.merge(piece.encode()))
-        if len(piece) <= 64:
-            self.known[piece] = ids
-        return ids
-
     def encode_stream(self, chunks):
         """Packed ids, as they become stable, of a text that comes in chunks."""
         pieces, held = PieceStream(self), ""
@@ -303,8 +313,8 @@ class ByteStream:
         return self.codec.packed(ids)
 
 
-def character_classes(path: str) -> tuple[str, str]:
-    """Letters and digits as the library's split sees them, as regex ranges.
+def character_classes(path: str) -> tuple[list[int], list[int]]:
+    """Letters and digits as the library's split sees them.
 
     From this Python's Unicode tables; characters these do not know yet are
     put to the library, which may know them.
@@ -316,7 +326,7 @@ def character_classes(path: str) -> tuple[str, str]:
     for lead, kind in (("a", "L"), ("1", "N")):
         for c in joined_by_the_library(path, lead, newer):
             kinds[c] = kind
-    return tuple(ranges([c for c, k in enumerate(kinds) if k == kind]) for kind in "LN")
+    return tuple([c for c, k in enumerate(kinds) if k == kind] for kind in "LN")
 
 
 def joined_by_the_library(path: str, lead: str, points: list[int]) -> list[int]:
@@ -328,6 +338,7 @@ def joined_by_the_library(path: str, lead: str, points: list[int]) -> list[int]:
 
 
 def ranges(points: list[int]) -> str:
+    """Characters as the inside of a regex class."""
     out = []
     for _, run in itertools.groupby(enumerate(points), lambda p: p[1] - p[0]):
         run = [c for _, c in run]
