@@ -99,7 +99,7 @@ def _placed(borders: list[tuple[int, int]]):
     return placed
 
 
-def _borders(d: DataFrame, per_part: int = 100) -> list[tuple[int, int]]:
+def _borders(d: DataFrame, per_part: int = 20) -> list[tuple[int, int]]:
     """Where the ranges meet: quantiles of a sample of about ``per_part`` rows a
     shuffle partition. Only the partitions' sizes depend on them, no result does."""
     parts = shuffle_partitions(d.sparkSession)

@@ -89,10 +89,18 @@ class ChunkEncoder:
             out.append(head + b"".join(parts))
         return out
 
+    @functools.cached_property
+    def _taken_apart(self):
+        """Finds letters that are no longer one when the tokenizer has normalised them."""
+        if self.tok.normalizer is None:
+            return None
+        letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()]
+        after = self.tok.normalizer.normalize_str(MARK.join(letters)).split(MARK)
+        odd = [c for c, n in zip(letters, after, strict=True) if not n.isalpha()]
+        return re.compile("[" + "".join(odd) + "]").search if odd else None
+
     def _letters(self, text: str) -> bool:
-        if not text.isalpha() or text.isascii() or self.tok.normalizer is None:
-            return text.isalpha()
-        return self.tok.normalizer.normalize_str(text).isalpha()
+        return text.isalpha() and (text.isascii() or not self._taken_apart or not self._taken_apart(text))
 
     def _learn(self, chunks: set[str]) -> None:
         """Store the ids of ``" " + chunk``.
