@@ -150,6 +150,15 @@ def test_pseudonyms(spark, docs, empty):
     assert out.where("n_values = 0").select(docs.columns).exceptAll(docs).count() == 0
 
 
+def test_pseudonyms_in_very_long_values(spark):
+    texts = ["x@b" + ".c" * 10_000, "q@b.example " * 5_000, "word " * 20_000 + "4111111111111111"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(d, "key").collect()}
+    assert got[0].n_values == 1 and got[0].text != texts[0] and got[0].text.endswith(".c" * 9_000)
+    assert got[1].n_values == 5_000 and len(set(got[1].text.split())) == 1
+    assert got[2].n_values == 1 and "4111111111111111" not in got[2].text
+
+
 def test_pseudonyms_inside_failing_runs(spark):
     """A value beside other digits is found, though the longest run is none."""
     texts = ["card 4111 1111 1111 1111 12/27", "4111111111111111 123", "415 555 1234 415 555 9876",
