@@ -31,8 +31,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xxhash import xxh3_64_intdigest
+
 from kindred.llm.common import stage, whole_text
 
+HALF = 1 << 63
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6)
 BATCH = 64  # documents looked up at a time
@@ -42,9 +45,10 @@ NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 def word_terms(word: str) -> tuple:
     """Terms of a word as signed 64-bit hashes."""
-    import xxhash
-    names = (word, *(word[:n] + "-" for n in PREFIXES if len(word) > n))
-    return tuple(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in names)
+    own, n = xxh3_64_intdigest(word.encode()) - HALF, len(word)
+    if n <= PREFIXES[0]:
+        return (own,)
+    return (own, *[xxh3_64_intdigest((word[:k] + "-").encode()) - HALF for k in PREFIXES if n > k])
 
 
 def text_words(text) -> list:
