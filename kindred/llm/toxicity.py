@@ -88,9 +88,9 @@ class Postings:
     """Weights by term: ``[t]`` is the row of term ``t`` over all places."""
 
     def __init__(self, terms, places, weights, n_terms: int, n_places: int):
-        order = np.lexsort((places, terms))
-        self.places, self.weights = places[order].astype(np.int32), weights[order]
-        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        order = np.argsort(terms, kind="stable")  # places ascend
+        self.places, self.weights = places[order], weights[order]
+        self.starts = np.append(0, np.cumsum(np.bincount(terms, minlength=n_terms)))
         self.n_places = n_places
 
     def __getitem__(self, t):
@@ -103,8 +103,11 @@ class Postings:
         starts = self.starts[terms]
         sizes = self.starts[terms + 1] - starts
         ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-        return np.bincount(self.places[at], self.weights[at] * np.repeat(weights, sizes), minlength=self.n_places)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(starts - ends + sizes, sizes)
+        got = self.weights.take(at)
+        got *= np.repeat(weights, sizes)
+        return np.bincount(self.places.take(at), got, minlength=self.n_places)
 
 
 class Index:
@@ -118,21 +121,29 @@ class Index:
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.int8)
         self.idf, self.k = idf, k
-        terms = np.concatenate([np.empty(0, np.int64), *(vectors[i][0] for i in order)])
+        terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0] for i in order)])
         weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])
-        places = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], np.int64))
+        places = np.repeat(np.arange(len(order), dtype=np.int32),
+                           np.array([len(vectors[i][0]) for i in order], np.int64))
         self.lists = Postings(terms, places, weights, len(idf), len(order))
-        common = np.argsort(-np.diff(self.lists.starts), kind="stable")[:COMMON]
-        self.common = np.full(len(idf), -1, np.int64)  # row among the common terms
-        self.common[common] = np.arange(len(common))
-        self.common_rows = np.zeros((len(order), len(common)))  # an example a row
-        for c, t in enumerate(common):
-            self.common_rows[:, c] = self.lists[t]
+        self.columns = np.argsort(-np.diff(self.lists.starts), kind="stable")[:COMMON]
+        self.common = np.full(len(idf), -1, np.int64)  # column among the common terms
+        self.common[self.columns] = np.arange(len(self.columns))
         self.class_weight = np.ones(2)
         self.curve, self.blank, self.prior = (1.0, 0.0), 0.0, 0.0
 
     def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k not in ("rows32", "term_map")}  # made anew where used
+        return {k: v for k, v in vars(self).items() if k not in self.MADE}  # made anew where used
+
+    MADE = ("common_rows", "rows32", "term_map")
+
+    @functools.cached_property
+    def common_rows(self):
+        """Weights of the common terms, an example a row."""
+        rows = np.zeros((self.lists.n_places, len(self.columns)))
+        for c, t in enumerate(self.columns):
+            rows[:, c] = self.lists[t]
+        return rows
 
     @functools.cached_property
     def rows32(self):
@@ -166,7 +177,7 @@ class Index:
         """
         for at in range(0, len(vectors), BATCH):
             some = vectors[at:at + BATCH]
-            common = np.zeros((len(some), self.common_rows.shape[1]))
+            common = np.zeros((len(some), len(self.columns)))
             for row, (terms, weights) in zip(common, some):
                 c = self.common[terms]
                 row[c[c >= 0]] = weights[c >= 0]
@@ -203,6 +214,8 @@ class Index:
         self.blank = float((share[0] + self.prior) / (share[1] + 1.0))
         self.curve = _logistic(_logit(np.array(votes)), np.array(ys, float), cw[np.array(ys, int)]) \
             if len(set(ys)) == 2 else (1.0, 0.0)
+        for made in self.MADE:
+            vars(self).pop(made, None)
 
     def scores(self, counts: list, skip=None):
         """``(score, places, cosines)`` of each, without the place in ``skip``."""
@@ -304,11 +317,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
 
     examples = ex.mapInPandas(term_vectors, "ex_id long, y int, t binary, n binary") \
         .toPandas().sort_values("ex_id")  # at most 2 * max_examples rows
-    held.unpersist()
+    held.destroy()
     ids, ys = examples["ex_id"].tolist(), examples["y"].tolist()  # ascending ids: an example's place
     shell = Index([], [], [], idf, k)
     vectors = [shell.weigh(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32))
                for t, c in zip(examples["t"], examples["n"])]
+    del examples, got
     index = Index(ids, ys, vectors, idf, k)
     index.known = known
     index.class_weight = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)])
