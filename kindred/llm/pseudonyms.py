@@ -28,8 +28,9 @@ from kindred.llm.common import whole_text
 ROUNDS = 8  # even: after it the halves are back in place
 
 # The formats. A mail domain has at most 128 labels (a name has 253
-# characters), which also bounds how deep the pattern's repeated group goes.
-MAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,127}"
+# characters), which also bounds how deep the pattern's repeated group goes. It begins
+# where its run of characters or the search does, so a run is read once.
+MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,127}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"
