@@ -37,6 +37,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from kindred.llm.common import stage, whole_text
 from kindred.operators.components import connected_components
@@ -52,6 +53,7 @@ STRETCH = 2_000_000      # shingles in one stretch
 PART = 1 << 18           # bytes hashed at once
 SALTS = 32
 WORDS = 16               # of parity bits
+LONG = 64                # bytes of a word
 EXTRA = 8                # a prefix has n / EXTRA elements more than it must
 
 
@@ -72,7 +74,8 @@ class Shingler:
     """Distinct shingle hashes (uint64, ascending) of whole texts.
 
     Word hashes are differences of one running polynomial over the bytes, so a
-    text takes a few array operations, whatever its words.
+    text takes a few array operations; words of more than ``LONG`` bytes, where
+    such a polynomial can be made to collide whatever its base, are hashed alone.
     """
 
     def __init__(self, words: int = 5):
@@ -95,8 +98,7 @@ class Shingler:
                     rest = np.flatnonzero(BLANK[b[end:]])
                     end = end + int(rest[0]) if len(rest) else len(b)
                     stop = at + int(np.argmin(BLANK[b[at:end]]))
-                    import xxhash
-                    parts.append(np.array([xxhash.xxh3_64_intdigest(b[stop:end].tobytes())], np.uint64))
+                    parts.append(np.array([xxh3_64_intdigest(b[stop:end].tobytes())], np.uint64))
                     at = end
                     continue
             parts.append(self._hashes(b[at:end]))
@@ -108,7 +110,10 @@ class Shingler:
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         with np.errstate(over="ignore"):
             run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[b] * self.up[:len(b)], dtype=np.uint64)))
-            return _mix((run[ends] - run[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+            out = _mix((run[ends] - run[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            out[i] = xxh3_64_intdigest(b[starts[i]:ends[i]].tobytes())
+        return out
 
     def of(self, text: str) -> np.ndarray:
         """Fewer words than a shingle has are one shingle; no words, no shingles."""
