@@ -64,7 +64,8 @@ def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T0
 
     Null html is an empty payload, a null url leaves the target out, a null
     page_id is written as an empty field (it loses against any other as the
-    response of equal payloads). Repeated pages keep captures of their own.
+    response of equal payloads). Repeated pages keep captures of their own, with
+    record ids of their own; revisits refer to one of them.
     Payloads under ``min_bytes`` are never revisits.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"),
@@ -72,14 +73,26 @@ def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T0
                                       r"[\x00-\x20\x7F]", "%20").alias("url"),
                      whole_text("html").alias("html")) \
         .withColumn("bytes", F.octet_length("html")) \
-        .withColumn("sha256", F.sha2(F.col("html").cast("binary"), 256)) \
-        .withColumn("nth", F.monotonically_increasing_id())
-    leads = p.where(F.col("bytes") >= min_bytes).groupBy("sha256") \
-        .agg(F.max("page_id").alias("lead_id"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("sha256", F.sha2(F.col("html").cast("binary"), 256))
+    leads = p.where(F.col("bytes") >= min_bytes).groupBy("sha256", "page_id") \
+        .agg(F.count(F.lit(1)).alias("copies")).groupBy("sha256") \
+        .agg(F.max(F.struct("page_id", "copies")).alias("lead")) \
+        .select("sha256", F.col("lead.page_id").alias("lead_id"), F.col("lead.copies").alias("copies"))
+    leads = stage(leads, "warc-leads")
     # Hot payloads: the page side of this join is split by AQE, the other has one row per payload.
-    p = p.join(leads, "sha256", "left") \
-        .withColumn("digest", base32_sha1(F.col("html"))) \
-        .withColumn("is_revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("lead_id")), F.lit(False))) \
+    p = p.join(leads, "sha256", "left")
+    if leads.where("copies > 1").isEmpty():
+        p = p.withColumn("nth", F.monotonically_increasing_id()).withColumn("own", F.lit(None).cast("long"))
+    else:
+        # Several rows of one lead: numbered in a table, as numbers made anew may differ; one keeps the plain id.
+        again = F.col("page_id").eqNullSafe(F.col("lead_id")) & (F.coalesce("copies", F.lit(0)) > 1)
+        rows = stage(p.where(again).withColumn("nth", F.monotonically_increasing_id()), "warc-repeated")
+        first = rows.groupBy("sha256").agg(F.min("nth").alias("first"))
+        rows = rows.join(first, "sha256").withColumn("own", F.when(F.col("nth") != F.col("first"), F.col("nth"))).drop("first")
+        p = p.where(~again).withColumn("nth", F.monotonically_increasing_id()) \
+            .withColumn("own", F.lit(None).cast("long")).unionByName(rows)
+    p = p.withColumn("digest", base32_sha1(F.col("html"))) \
+        .withColumn("is_revisit", F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead_id"))) \
         .withColumn("request_id", _urn(F.lit("request"), F.col("page_id"), F.col("sha256"), F.col("nth")))
     target = F.when(F.col("url") != "", F.concat(F.lit("WARC-Target-URI: "), F.col("url"), F.lit(BREAK))) \
         .otherwise(F.lit(""))
@@ -105,14 +118,16 @@ def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T0
         F.when(needs_chunks & ~F.col("is_revisit"), F.lit("Transfer-Encoding: chunked\r\n"))
         .otherwise(F.concat(F.lit("Content-Length: "), F.col("bytes").cast("string"), F.lit(BREAK))),
         F.lit(BREAK), body)
+    # Payloads without a lead are named by their row.
+    own = F.coalesce("own", F.when(F.col("copies").isNull(), F.col("nth")))
     refers = F.when(F.col("is_revisit"), F.concat(
-        F.lit("WARC-Refers-To: "), _urn(F.lit("response"), F.col("lead_id"), F.col("sha256")),
+        F.lit("WARC-Refers-To: "), _urn(F.lit("response"), F.col("lead_id"), F.col("sha256"), F.lit(None)),
         F.lit(BREAK + "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" + BREAK))) \
         .otherwise(F.lit(""))
     answer = record(
         F.when(F.col("is_revisit"), F.lit("revisit")).otherwise(F.lit("response")),
         F.when(F.col("is_revisit"), _urn(F.lit("revisit"), F.col("page_id"), F.col("sha256"), F.col("nth")))
-        .otherwise(_urn(F.lit("response"), F.col("page_id"), F.col("sha256"))),
+        .otherwise(_urn(F.lit("response"), F.col("page_id"), F.col("sha256"), own)),
         F.concat(concurrent, refers, F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(BREAK)),
         "application/http; msgtype=response", http)
     about = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
