@@ -151,12 +151,15 @@ def test_pseudonyms(spark, docs, empty):
 
 
 def test_pseudonyms_in_very_long_values(spark):
-    texts = ["x@b" + ".c" * 10_000, "q@b.example " * 5_000, "word " * 20_000 + "4111111111111111"]
+    texts = ["x@b" + ".c" * 10_000, "q@b.example " * 5_000, "word " * 20_000 + "4111111111111111",
+             "a1B" * 350_000 + " x@b.example", "a@b.cc_d@e.ff", "1987-02-13_x@b.example"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: r for r in pseudonyms.pseudonymise(d, "key").collect()}
     assert got[0].n_values == 1 and got[0].text != texts[0] and got[0].text.endswith(".c" * 9_000)
     assert got[1].n_values == 5_000 and len(set(got[1].text.split())) == 1
     assert got[2].n_values == 1 and "4111111111111111" not in got[2].text
+    assert got[3].n_values == 1 and got[3].text.startswith("a1B" * 350_000 + " ")  # a run of 1 MB is read once
+    assert got[4].kinds == ["mail", "mail"] and got[5].kinds == ["mail"]  # the second begins where the first ends
 
 
 def test_pseudonyms_inside_failing_runs(spark):
@@ -222,6 +225,8 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record int").repartition(3)
     for keep in (True, False):
         got = warc.round_trip(pages, payloads=keep)
+        records = got.select("request.record_id").unionByName(got.select("answer.record_id"))
+        assert records.distinct().count() == 2 * len(rows)
         got = Counter((r.page_id, r.answer.payload_bytes, r.answer.payload_digest, r.record_type, r.refers_to)
                       for r in got.collect())
         groups, want = {}, Counter()
@@ -234,6 +239,10 @@ def test_warc_round_trip(spark, tmp_path):
                   "response" if first else "revisit", None if first else lead)] += 1
         assert got == want
     assert warc.round_trip(pages.limit(0)).count() == 0
+    short = Counter((r.page_id, r.record_type) for r in warc.round_trip(pages, min_bytes=9).collect())
+    assert short == Counter((i, "revisit" if len((h or "").encode()) >= 9 and i != max(groups[h]) else "response")
+                            for i, _, h, _ in rows if h != "<a>1</a>") + Counter(
+        (i, "response") for i, _, h, _ in rows if h == "<a>1</a>")
 
 
 # ------------------------------------------------------------------ shards (5)
@@ -358,6 +367,10 @@ def test_word_hashes_of_long_texts():
         assert names.setdefault(w, h) == h
     assert len(set(names.values())) == len(names)
     assert s.word_hashes("a word0 b")[1] == names["Word0"]
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))  # equal to its complement under any 2^64 polynomial
+    assert len(set(s.word_hashes(f"{thue} {thue.translate({97: 98, 98: 97})}").tolist())) == 2
+    edge = "q" * jaccardjoin.PART  # a word hashed in a part of its own or with others
+    assert s.word_hashes(edge + " tail")[0] == s.word_hashes(edge)[0]
 
 
 # ------------------------------------------------------------------ toxicity (7)
