@@ -552,7 +552,7 @@ def clf_naive_bayes(spark, sf):
 @query("clf_all")
 def clf_all(spark, sf):
     train, test = _emb_split(spark, sf)
-    return CL.run_all(train, test, ["logistic", "tree", "gaussian_nb", "forest", "lda"])
+    return CL.run_all(train, test)
 
 
 @query("minmax")

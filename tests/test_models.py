@@ -65,3 +65,22 @@ def test_jaccard_of_real_vectors(spark, t):
     assert {(r.i, r.j): r.dist for r in pairs.jaccard_cells_within(d, t).collect()} == want
     with pytest.raises(ValueError):
         pairs.jaccard_cells_within(d, 1.1)
+
+
+def test_all_classifiers_learn(spark):
+    rng = np.random.default_rng(8)
+    y = np.arange(240) % 3
+    x = np.eye(3)[y] * 4 + rng.standard_normal((240, 3)) * 0.5
+    d = classify.features(spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(240)],
+                                                "vec_id long, embedding array<double>, label int")).cache()
+    got = {(r.classifier, r.split): r for r in classify.run_all(d.where("vec_id < 180"), d.where("vec_id >= 180")).collect()}
+    assert len(got) == 16 and {s for _, s in got} == {"train", "test"}
+    for (name, _), r in got.items():
+        assert r.accuracy > 0.9 and r.macro_f1 > 0.9 and r.weighted_f1 > 0.9, (name, r)
+
+
+def test_boosting_without_a_learner_predicts_the_commonest_class(spark):
+    rows = [(i, [1.0, 1.0], float(i % 3 == 0)) for i in range(9)] + [(i, [1.0, 1.0], 1.0) for i in range(9, 12)]
+    d = classify.features(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double"))
+    got = classify.adaboost_predict(d, d).collect()
+    assert len(got) == 12 and {r.prediction for r in got} == {0}
