@@ -27,7 +27,7 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     spark = get_spark(f"local[{cpus}]", app="kindred-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+                      extra={"spark.driver.memory": "16g", "spark.kindred.scan.tasks": cpus})
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM start-up, not a query
     times = {}
     for n in names:

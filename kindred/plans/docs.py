@@ -108,7 +108,7 @@ def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool
 
 
 def weights(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
-    return _stage(spark, ("weights", sf_dir, s), lambda: V.tfidf(counts(spark, sf_dir, s)))
+    return _stage(spark, ("weights", sf_dir, s), lambda: cut_lineage(V.tfidf(counts(spark, sf_dir, s))))
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,

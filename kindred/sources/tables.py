@@ -22,6 +22,14 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def units_from_documents(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Documents as units: ``unit_id, text`` (+ extra columns)."""
+    """Documents as units: ``unit_id, text`` (+ extra columns).
+
+    One task reads a whole row group, so a file with a single one keeps all but
+    one core idle. The session setting ``spark.kindred.scan.tasks`` deals such
+    units to that many tasks, at the price of a shuffle of the texts; it is off by
+    default, as large inputs have row groups enough.
+    """
     cols = ["doc_id", "text", *extra]
-    return load(spark, sf_dir, "documents", *cols).withColumnRenamed("doc_id", "unit_id")
+    units = load(spark, sf_dir, "documents", *cols).withColumnRenamed("doc_id", "unit_id")
+    tasks = int(spark.conf.get("spark.kindred.scan.tasks", "0"))
+    return units.repartition(tasks, "unit_id") if tasks else units
