@@ -54,8 +54,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
           ("mixing", mix_sources), ("packing", pack_sequences)]
 
-# Tokenizers, models and similarity joins are beyond SQL; tests compare the
-# operators behind the stages with brute force, not the stage functions.
+# Tokenizers, models and similarity joins are beyond SQL; tests/llm/test_pipeline.py
+# compares each stage function, on its own input, with a brute-force version.
 ORACLE_SQL = None
 
 
