@@ -24,8 +24,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose calibrated toxicity score is 0.5 or more."""
     ship_package(spark)
-    index = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.score_documents(docs.select(COLUMNS), index, evidence=False) \
+    index, read = toxicity.fit_and_read(docs.select(COLUMNS), table(spark, sf_dir, "labels", "doc_id", "toxic"),
+                                        text_kept=True)
+    return toxicity.score_read(read, index, evidence=False) \
         .where("predicted = 0").select(COLUMNS)
 
 

@@ -51,8 +51,8 @@ def op6_jaccard_regions(spark, sf):
 def op7_nearest_labelled(spark, sf):
     ship_package(spark)
     docs = table(spark, sf, "documents", "doc_id", "text")
-    index = toxicity.fit(docs, table(spark, sf, "labels", "doc_id", "toxic"))
-    return toxicity.score_documents(docs, index).select(
+    index, read = toxicity.fit_and_read(docs, table(spark, sf, "labels", "doc_id", "toxic"))
+    return toxicity.score_read(read, index).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 

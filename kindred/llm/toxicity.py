@@ -3,11 +3,13 @@
 Labelled examples and documents are TF-IDF vectors over terms: words, and the
 first five and six letters of longer words. Every term of the examples counts,
 none is selected; terms that no example has can meet nothing and are left out.
-Their document frequencies are counted over the whole corpus. A document's ``k``
-nearest examples by cosine are found exactly through an inverted index: posting
-lists of the rarer terms are summed, those of the ``COMMON`` commonest are a
-matrix that ``BATCH`` documents are multiplied with at a time, in float32 to
-screen and in float64 for what may be among the nearest (bounds of blocks
+Texts are split once: each document's terms and counts are written down, and both
+the document frequencies over the whole corpus and the scores are made of them.
+A document's ``k`` nearest examples by cosine are found exactly through an inverted
+index. A screen in float32 comes first: posting lists of the rarer terms are summed,
+those of the ``COMMON`` commonest are a matrix that ``BATCH`` documents are
+multiplied with at a time. What may be among the nearest is then computed in
+float64 from the examples' vectors (bounds of blocks
 of examples left 60 % of the blocks open on whole vectors, and opening them one
 document at a time took ten times as long). A labelled example that is scored is
 not its own neighbour. Neighbours vote with weight
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections import Counter
 from itertools import chain
 
@@ -39,7 +42,9 @@ HALF = 1 << 63
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6)
 BATCH = 64  # documents looked up at a time
-COMMON = 512  # terms whose posting lists are rows of a matrix
+COMMON = 1024  # terms whose posting lists are columns of a matrix
+READ = "__terms_of_text"  # column of a document's terms and counts
+READ_TYPE = "terms binary, counts binary"
 NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
@@ -56,32 +61,81 @@ def text_words(text) -> list:
     return text.translate(NO_LETTERS).split() if text.isascii() else LETTERS.findall(text)
 
 
+def ranges(starts, sizes):
+    """``starts[0], starts[0] + 1, ...`` up to each size, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class TermMap(dict):
-    """Finds the known terms of a text, each distinct word looked up once.
+    """Numbers (places in ``known``) of the terms of texts, each distinct word looked up once.
 
-    Holds the known terms of the words met: at most ``MEMO`` words at a time.
+    Maps the words met to rows of a list of term numbers: about ``MEMO`` words at a
+    time. Sent to another process, it starts without words.
     """
     MEMO = 200_000
 
     def __init__(self, known: np.ndarray):
         super().__init__()
-        self.numbers = dict(zip(known.tolist(), range(len(known))))
+        self.known = known
+        self.forget()
+
+    def __reduce__(self):
+        return TermMap, (self.known,)
+
+    def forget(self):
+        self.clear()
+        self.starts, self.flat = array("q", [0]), array("i")
+
+    @functools.cached_property
+    def numbers(self):
+        return dict(zip(self.known.tolist(), range(len(self.known))))
 
     def __missing__(self, word):
-        if len(self) >= self.MEMO:
-            self.clear()
-        got = self[word] = tuple(self.numbers[t] for t in word_terms(word) if t in self.numbers)
+        got = self[word] = len(self)
+        self.flat.extend(self.numbers[t] for t in word_terms(word) if t in self.numbers)
+        self.starts.append(len(self.flat))
         return got
 
-    def counts(self, text) -> dict:
-        out = {}
-        for word, n in Counter(text_words(text)).items():
-            for t in self[word]:
-                out[t] = out.get(t, 0) + n
-        return out
-
-    def present(self, text) -> set:
-        return set(chain.from_iterable(map(self.__getitem__, set(text_words(text)))))
+    def counts(self, texts) -> list:
+        """``(terms, counts)`` of each text, terms ascending."""
+        if len(self) > self.MEMO:
+            self.forget()
+        words = [Counter(text_words(t)) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        total = int(sizes.sum())
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, total)
+        times = np.fromiter(chain.from_iterable(c.values() for c in words), np.int64, total)
+        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.int32)
+        n = starts[rows + 1] - starts[rows]
+        # One key a text and term; repeated ones (of several words) are added up.
+        keys = np.repeat(np.repeat(np.arange(len(words)), sizes) * len(self.known), n) + flat[ranges(starts[rows], n)]
+        del starts, flat  # the arrays can grow again
+        order = np.argsort(keys)
+        keys, times = keys[order], np.repeat(times, n)[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        sums = np.add.reduceat(times, first) if len(keys) else times
+        text, terms = np.divmod(keys[first], max(1, len(self.known)))
+        at = np.searchsorted(text, np.arange(len(words) + 1)).tolist()
+        return [(terms[a:b], sums[a:b]) for a, b in zip(at, at[1:])]
+
+
+def packed(numbers) -> bytes:
+    """Numbers below 2**32 as bytes, their lowest bytes first and the mostly empty highest last."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw: bytes):
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def read_terms(texts, terms: TermMap) -> list:
+    """Packed terms (as differences) and counts of each of ``texts``, each distinct text read once."""
+    got, new = {}, list(dict.fromkeys(texts))
+    for at in range(0, len(new), BATCH):
+        some = new[at:at + BATCH]
+        got.update(zip(some, [(packed(np.diff(t, prepend=0)), packed(n)) for t, n in terms.counts(some)]))
+    return [got[t] for t in texts]
 
 
 class Postings:
@@ -89,7 +143,7 @@ class Postings:
 
     def __init__(self, terms, places, weights, n_terms: int, n_places: int):
         order = np.argsort(terms, kind="stable")  # places ascend
-        self.places, self.weights = places[order], weights[order]
+        self.places, self.weights = places[order].astype(np.intp), weights[order].astype(np.float32)
         self.starts = np.append(0, np.cumsum(np.bincount(terms, minlength=n_terms)))
         self.n_places = n_places
 
@@ -102,18 +156,17 @@ class Postings:
         """Sum over ``terms`` of their rows times ``weights``."""
         starts = self.starts[terms]
         sizes = self.starts[terms + 1] - starts
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0)
-        at += np.repeat(starts - ends + sizes, sizes)
+        at = ranges(starts, sizes)
         got = self.weights.take(at)
-        got *= np.repeat(weights, sizes)
+        got *= np.repeat(weights.astype(np.float32), sizes)
         return np.bincount(self.places.take(at), got, minlength=self.n_places)
 
 
 class Index:
     """Inverted index of the examples' unit TF-IDF vectors, in the order of their ids.
 
-    ``vectors`` are ``(terms, weights)`` arrays, one pair an example.
+    ``vectors`` are ``(terms, weights)`` arrays, one pair an example. They are what
+    the index holds; postings and matrix are made where it is used.
     """
 
     def __init__(self, ids, labels, vectors, idf, k: int):
@@ -121,43 +174,56 @@ class Index:
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.int8)
         self.idf, self.k = idf, k
-        terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0] for i in order)])
-        weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])
-        places = np.repeat(np.arange(len(order), dtype=np.int32),
-                           np.array([len(vectors[i][0]) for i in order], np.int64))
-        self.lists = Postings(terms, places, weights, len(idf), len(order))
-        self.columns = np.argsort(-np.diff(self.lists.starts), kind="stable")[:COMMON]
-        self.common = np.full(len(idf), -1, np.int64)  # column among the common terms
+        self.terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
+        self.weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])
+        self.starts = np.append(0, np.cumsum([len(vectors[i][0]) for i in order], dtype=np.int64))
+        self.columns = np.argsort(-np.bincount(self.terms, minlength=len(idf)), kind="stable")[:COMMON]
+        self.common = np.full(len(idf), -1, np.int32)  # column among the common terms
         self.common[self.columns] = np.arange(len(self.columns))
         self.class_weight = np.ones(2)
         self.curve, self.blank, self.prior = (1.0, 0.0), 0.0, 0.0
 
     def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k not in self.MADE}  # made anew where used
-
-    MADE = ("common_rows", "rows32", "term_map")
+        return {k: v for k, v in vars(self).items() if k not in ("lists", "rows32", "term_map", "scratch", "held")}
 
     @functools.cached_property
-    def common_rows(self):
-        """Weights of the common terms, an example a row."""
-        rows = np.zeros((self.lists.n_places, len(self.columns)))
-        for c, t in enumerate(self.columns):
-            rows[:, c] = self.lists[t]
-        return rows
+    def lists(self):
+        places = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        return Postings(self.terms, places, self.weights, len(self.idf), len(self.ids))
 
     @functools.cached_property
     def rows32(self):
-        return self.common_rows.astype(np.float32)
+        """Weights of the common terms, an example a row."""
+        places = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        rows = np.zeros((len(self.ids), len(self.columns)), np.float32)
+        column = self.common[self.terms]
+        rows[places[column >= 0], column[column >= 0]] = self.weights[column >= 0]
+        return rows
 
     @functools.cached_property
     def term_map(self):
         return TermMap(self.known)
 
+    @functools.cached_property
+    def scratch(self):
+        return np.zeros(len(self.idf))
+
+    def cosines(self, places, terms, weights):
+        """Cosines of the vector with the examples at ``places`` (none is empty)."""
+        sizes = self.starts[places + 1] - self.starts[places]
+        at = ranges(self.starts[places], sizes)
+        self.scratch[terms] = weights
+        got = self.scratch[self.terms[at]] * self.weights[at]
+        self.scratch[terms] = 0.0
+        return np.add.reduceat(got, np.cumsum(sizes) - sizes) if len(places) else got
+
+    def vector(self, place: int):
+        part = slice(self.starts[place], self.starts[place + 1])
+        return self.terms[part], self.weights[part]
+
     def weigh(self, terms, counts):
-        """``terms`` ascending and the weights of the unit vector."""
-        order = np.argsort(terms)
-        terms = terms[order]
-        v = (1 + np.log(counts[order])) * self.idf[terms]
+        """``terms`` and the weights of the unit vector."""
+        v = (1 + np.log(counts)) * self.idf[terms]
         length = np.sqrt((v * v).sum())
         return (terms, v / length) if length > 0 else (terms[:0], v[:0])
 
@@ -177,20 +243,21 @@ class Index:
         """
         for at in range(0, len(vectors), BATCH):
             some = vectors[at:at + BATCH]
-            common = np.zeros((len(some), len(self.columns)))
+            common = np.zeros((len(some), len(self.columns)), np.float32)
+            rare = []
             for row, (terms, weights) in zip(common, some):
                 c = self.common[terms]
-                row[c[c >= 0]] = weights[c >= 0]
-            screen = common.astype(np.float32) @ self.rows32.T
+                held = c >= 0
+                row[c[held]] = weights[held]
+                rare.append((terms[~held], weights[~held]))
+            screen = common @ self.rows32.T
             for i, (terms, weights) in enumerate(some):
-                rare = self.common[terms] < 0
-                rest = self.lists.sums(terms[rare], weights[rare])
-                row = rest + screen[i]
+                row = self.lists.sums(*rare[i]) + screen[i]
                 if skip is not None and skip[at + i] >= 0:
                     row[skip[at + i]] = 0.0
                 floor = np.partition(row, -self.k)[-self.k] - 2e-4 if len(row) > self.k else 0.0
                 places = np.flatnonzero(row > max(floor, 0.0))
-                exact = self.common_rows[places] @ common[i] + rest[places]
+                exact = self.cosines(places, terms, weights)
                 # Equal to 12 places is equal: by place then.
                 best = np.argsort(-np.round(exact, 12), kind="stable")[:self.k]
                 yield places[best], exact[best]
@@ -201,31 +268,25 @@ class Index:
         w = self.class_weight[y] / (1.05 - np.minimum(cosines, 1.0))
         return float((w[y == 1].sum() + self.prior) / (w.sum() + 1.0))
 
-    def calibrate(self, vectors_by_place) -> None:
-        votes, ys, blanks = [], [], []
-        for place, near in enumerate(self.nearest_each(vectors_by_place, range(len(vectors_by_place)))):
-            if len(near[0]):
-                votes.append(self.vote(*near))
-                ys.append(self.labels[place])
-            else:
-                blanks.append(self.labels[place])
-        cw = self.class_weight
-        share = np.array([cw[y] * y for y in blanks]).sum(), np.array([cw[y] for y in blanks]).sum()
-        self.blank = float((share[0] + self.prior) / (share[1] + 1.0))
-        self.curve = _logistic(_logit(np.array(votes)), np.array(ys, float), cw[np.array(ys, int)]) \
-            if len(set(ys)) == 2 else (1.0, 0.0)
-        for made in self.MADE:
-            vars(self).pop(made, None)
-
-    def scores(self, counts: list, skip=None):
-        """``(score, places, cosines)`` of each, without the place in ``skip``."""
-        for near in self.nearest_each([self.weigh(np.fromiter(c, np.int64, len(c)),
-                                                  np.fromiter(c.values(), float, len(c))) for c in counts], skip):
-            if not len(near[0]):
-                yield self.blank, *near
-                continue
-            a, b = self.curve
-            yield float(1 / (1 + np.exp(-(a * _logit(self.vote(*near)) + b)))), *near
+    def own_votes(self, places) -> list:
+        """Vote of all other examples on those at ``places``; None where no other is near."""
+        return [self.vote(*near) if len(near[0]) else None
+                for near in self.nearest_each([self.vector(p) for p in places], places)]
+
+    def calibrate(self, own: list) -> None:
+        """Fits curve and blank score to ``own``, the votes on all examples by place."""
+        met = np.array([v is not None for v in own], bool)
+        y, w = self.labels[~met], self.class_weight[self.labels]
+        self.blank = float(((w[~met] * y).sum() + self.prior) / (w[~met].sum() + 1.0))
+        votes, ys = np.array([v for v in own if v is not None], float), self.labels[met]
+        self.curve = _logistic(_logit(votes), ys.astype(float), w[met]) if len(set(ys.tolist())) == 2 else (1.0, 0.0)
+
+    def scores(self, counts: list, skip, curve, blank):
+        """``(score, places, cosines)`` of each of ``(terms, counts)``, without the place in ``skip``."""
+        a, b = curve
+        for near in self.nearest_each([self.weigh(*c) for c in counts], skip):
+            score = 1 / (1 + np.exp(-(a * _logit(self.vote(*near)) + b))) if len(near[0]) else blank
+            yield float(score), *near
 
 
 def _logit(p):
@@ -253,9 +314,15 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 15,
-        max_examples: int = 3000, seed: int = 3) -> Index | None:
-    """The index of labelled examples; None where no labelled text can be used.
+def fit(docs: DataFrame, labels: DataFrame, **parameters) -> Index | None:
+    """The index of ``fit_and_read``."""
+    return fit_and_read(docs, labels, **parameters)[0]
+
+
+def fit_and_read(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 15,
+                 max_examples: int = 3000, seed: int = 3, text_kept: bool = False) -> tuple[Index | None, DataFrame]:
+    """The index of labelled examples (None where no labelled text can be used), and ``docs``
+    (without the text, unless it is to be kept) with the terms of each text, for ``score_read``.
 
     Repeated labels of an id count as toxic if one does; null labels don't count.
     Of an example id with several texts, the first in order is taken.
@@ -280,56 +347,65 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", k: int = 1
             yield pd.DataFrame({"term": list({t for w in words for t in word_terms(w)})}, dtype="int64")
 
     n = {r["y"]: r["n"] for r in ex.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain = docs if text_kept else docs.drop("text")
     if len(n) < 2:
-        return None
+        return None, plain
     # Every term of at most 2 * max_examples texts.
     known = np.sort(ex.mapInPandas(example_terms, "term long").distinct().toPandas()["term"].to_numpy())
     if not len(known):
-        return None
-    held = docs.sparkSession.sparkContext.broadcast(known)
+        return None, plain
+    sc = docs.sparkSession.sparkContext
+    held = sc.broadcast(TermMap(known))
+
+    @F.pandas_udf(READ_TYPE)
+    def read_texts(texts):
+        import pandas as pd
+        return pd.DataFrame(read_terms(texts.tolist(), held.value), columns=["terms", "counts"])
+
+    read = docs.withColumn(READ, read_texts(whole_text()))
+    read = stage(read if text_kept else read.drop("text"), "toxic-terms")
+    n_terms = len(known)
 
     def frequencies(frames):
         import pandas as pd
-        terms, rows = TermMap(held.value), 0
-        df = np.zeros(len(held.value), np.int64)
+        rows, df = 0, np.zeros(n_terms, np.int64)
         for frame in frames:
-            for text in frame["text"]:
-                rows += 1
-                got = terms.present(text)
-                df[np.fromiter(got, np.int64, len(got))] += 1
+            rows += len(frame)
+            for raw in frame["terms"]:
+                df[np.cumsum(unpacked(raw))] += 1
         some = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(df[some], rows)})
 
-    got = docs.select(whole_text().alias("text")).mapInPandas(frequencies, "term int, n long") \
+    got = read.select(f"{READ}.terms").mapInPandas(frequencies, "term int, n long") \
         .groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(known) + 1, np.int64)
     df[got["term"]] = got["n"]  # -1, the last one: rows
     idf = (1 + np.log(max(1, df[-1]) / (1 + df[:-1]))).clip(0.1)
 
-    def term_vectors(frames):
-        import pandas as pd
-        terms = TermMap(held.value)
-        for frame in frames:
-            counts = [terms.counts(t) for t in frame["text"]]
-            yield pd.DataFrame({"ex_id": frame["ex_id"], "y": frame["y"],
-                                "t": [np.fromiter(c, np.int32, len(c)).tobytes() for c in counts],
-                                "n": [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in counts]})
-
-    examples = ex.mapInPandas(term_vectors, "ex_id long, y int, t binary, n binary") \
+    examples = ex.select("ex_id", "y", read_texts("text").alias("r")).select("ex_id", "y", "r.*") \
         .toPandas().sort_values("ex_id")  # at most 2 * max_examples rows
-    held.destroy()
-    ids, ys = examples["ex_id"].tolist(), examples["y"].tolist()  # ascending ids: an example's place
     shell = Index([], [], [], idf, k)
-    vectors = [shell.weigh(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32))
-               for t, c in zip(examples["t"], examples["n"])]
+    index = Index(examples["ex_id"].tolist(), examples["y"].tolist(),
+                  [shell.weigh(np.cumsum(unpacked(t)), unpacked(c))
+                   for t, c in zip(examples["terms"], examples["counts"])], idf, k)
+    held.destroy()
     del examples, got
-    index = Index(ids, ys, vectors, idf, k)
     index.known = known
     index.class_weight = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)])
     index.class_weight /= index.class_weight.max()
     index.prior = totals.get(1, 0) / sum(totals.values())
-    index.calibrate(vectors)
-    return index
+    index.held = shared = sc.broadcast(index)
+
+    def own_votes(frames):
+        import pandas as pd
+        for frame in frames:
+            places = frame["id"].to_numpy()
+            yield pd.DataFrame({"place": places, "vote": pd.array(shared.value.own_votes(places), "Float64")})
+
+    parts = max(1, min(sc.defaultParallelism, len(index.ids) // 100))
+    own = docs.sparkSession.range(0, len(index.ids), 1, parts).mapInPandas(own_votes, "place long, vote double").collect()
+    index.calibrate([r["vote"] for r in sorted(own)])
+    return index, read
 
 
 def score_documents(docs: DataFrame, index: Index | None, evidence: bool = True,
@@ -341,30 +417,45 @@ def score_documents(docs: DataFrame, index: Index | None, evidence: bool = True,
     Null or empty texts, and texts without a term of an example, score the share of
     toxic labels among examples without one. Without an index every score is 0.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(index)
+    if index is None:
+        return score_read(docs, None, evidence, id_col)
+    held = index.held
+
+    @F.pandas_udf(READ_TYPE)
+    def read_texts(texts):
+        import pandas as pd
+        return pd.DataFrame(read_terms(texts.tolist(), held.value.term_map), columns=["terms", "counts"])
+
+    return score_read(docs.withColumn(READ, read_texts(whole_text())), index, evidence, id_col)
+
+
+def score_read(read: DataFrame, index: Index | None, evidence: bool = True, id_col: str = "doc_id") -> DataFrame:
+    """``score_documents`` of rows whose texts ``fit_and_read`` has read."""
+    kind = "array<struct<doc_id:long,label:int,cosine:double>>"
+    if index is None:
+        new = {"score": F.lit(0.0), "predicted": F.lit(0)}
+        return read.withColumns(new | ({"evidence": F.array().cast(kind)} if evidence else {}))
+    held, curve, blank = index.held, index.curve, index.blank
 
-    @F.pandas_udf("score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
-    def score(ids, texts):
+    @F.pandas_udf(f"score double, evidence {kind}")
+    def score(ids, read):
         import pandas as pd
-        ix = held.value
-        if ix is None:
-            return pd.DataFrame({"score": [0.0] * len(texts), "evidence": [[] for _ in texts]})
-        terms, got = ix.term_map, {}
+        ix, got = held.value, {}
         at = np.searchsorted(ix.ids, ids.fillna(-1).astype("int64"))
         own = np.where((ix.ids[np.minimum(at, len(ix.ids) - 1)] == ids.fillna(-1)) & ids.notna(), at, -1).tolist()
-        rows = list(zip(texts, own))
+        rows = list(zip(read["terms"], read["counts"], own))
         new = list(dict.fromkeys(rows))
         for at in range(0, len(new), BATCH):
             some = new[at:at + BATCH]
-            scored = ix.scores([terms.counts(t) for t, _ in some], [place for _, place in some])
+            scored = ix.scores([(np.cumsum(unpacked(t)), unpacked(c)) for t, c, _ in some],
+                               [place for *_, place in some], curve, blank)
             for row, (s, places, cosines) in zip(some, scored):
-                got[row] = (s, [{"doc_id": int(ix.ids[p]), "label": int(ix.labels[p]), "cosine": float(c)}
-                                for p, c in zip(places, cosines)])
+                got[row] = (s, [{"doc_id": i, "label": y, "cosine": c} for i, y, c in zip(
+                    ix.ids[places].tolist(), ix.labels[places].tolist(), cosines.tolist())] if evidence else [])
         return pd.DataFrame({"score": [got[r][0] for r in rows], "evidence": [got[r][1] for r in rows]})
 
-    out = docs.withColumn("__s", score(F.col(id_col).cast("long"), whole_text()))
+    out = read.withColumn("__s", score(F.col(id_col).cast("long"), F.col(READ)))
     new = {"score": F.col("__s.score"), "predicted": (F.col("__s.score") >= 0.5).cast("int")}
     if evidence:
         new["evidence"] = F.col("__s.evidence")
-    return out.withColumns(new).drop("__s")
+    return out.withColumns(new).drop("__s", READ)
