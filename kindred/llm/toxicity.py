@@ -209,13 +209,11 @@ class Index:
         return np.zeros(len(self.idf))
 
     def cosines(self, places, terms, weights):
-        """Cosines of the vector with the examples at ``places`` (none is empty)."""
-        sizes = self.starts[places + 1] - self.starts[places]
-        at = ranges(self.starts[places], sizes)
+        """Cosines of the vector with the examples at ``places``."""
         self.scratch[terms] = weights
-        got = self.scratch[self.terms[at]] * self.weights[at]
+        got = [self.scratch.take(t) @ w for t, w in map(self.vector, places)]
         self.scratch[terms] = 0.0
-        return np.add.reduceat(got, np.cumsum(sizes) - sizes) if len(places) else got
+        return np.array(got, float)
 
     def vector(self, place: int):
         part = slice(self.starts[place], self.starts[place + 1])
