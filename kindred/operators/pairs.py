@@ -209,6 +209,68 @@ def jaccard_cells_within(cells: DataFrame, t: float, key: str = "idx", value: st
     return both.select("i", "j", ((either - equal) / either).alias("dist")).where(F.col("dist") < t)
 
 
+MERSENNE = 2 ** 31 - 1  # prime modulus of the minimum hashes
+
+
+def hash_parameters(n: int) -> list[tuple[int, int]]:
+    """Factor and offset of ``n`` linear hashes: powers of two primitive roots modulo ``MERSENNE``."""
+    return [(pow(48271, h + 1, MERSENNE), pow(69621, h + 1, MERSENNE)) for h in range(n)]
+
+
+def banding(theta: float, recall: float, max_hashes: int) -> tuple[int, int]:
+    """``(rows, bands)``: most rows a band for which two sets of similarity ``theta`` agree
+    in some band with probability ``recall``, within ``max_hashes`` hashes."""
+    best = None
+    for rows in range(1, max_hashes + 1):
+        agree = theta ** rows
+        bands = 1 if agree >= recall else math.ceil(math.log(1 - recall) / math.log1p(-agree))
+        if rows * bands > max_hashes:
+            break
+        best = rows, bands
+    if best is None:
+        raise ValueError("more hashes are needed for this threshold and recall")
+    return best
+
+
+def jaccard_within_approx(sets: DataFrame, t: float, key: str = "idx", recall: float = 0.97,
+                          max_hashes: int = 96, chunk_rows: int = 512) -> DataFrame:
+    """N3(c): pairs ``i < j, dist`` with set Jaccard distance below ``t`` that share a bucket.
+
+    Buckets are bands of minimum hashes (Broder 1997): a pair at distance ``t`` is
+    missed with probability ``1 - recall`` at most under ideal hashes, a closer one
+    less often, and no pair is reported that is not within ``t`` exactly. A bucket of
+    more than ``chunk_rows`` units is split: its members are dealt to chunks and
+    each two chunks are a task's group, so no pair of a large bucket is lost and no
+    group holds more than about two chunks. ``key`` is an integer column; units
+    without terms (or with null ones only) are in no pair. ``0 < t < 1``.
+    """
+    if not 0 < t < 1:
+        raise ValueError("t must lie between 0 and 1: buckets find pairs that share a term")
+    rows, bands = banding(1 - t, recall, max_hashes)
+    term = F.pmod(F.col(key).cast("long"), F.lit(MERSENNE))
+    low = [F.min((F.lit(a) * term + F.lit(b)) % MERSENNE).alias(f"h{n}")
+           for n, (a, b) in enumerate(hash_parameters(rows * bands))]
+    units = cut_lineage(sets.where(F.col(key).isNotNull()).groupBy("unit_id").agg(F.collect_set(key).alias("a"), *low))
+    member = units.select("unit_id", F.posexplode(F.array(*[
+        F.array(*[f"h{n}" for n in range(b * rows, b * rows + rows)]) for b in range(bands)])).alias("band", "sig"))
+    large = member.groupBy("band", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows) \
+        .select("band", "sig", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+    chunks = F.coalesce("chunks", F.lit(1))
+    dealt = member.join(large, ["band", "sig"], "left") \
+        .select("unit_id", "band", "sig", F.pmod(F.xxhash64("unit_id"), chunks).cast("int").alias("own"),
+                F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")) \
+        .select("unit_id", "band", "sig", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    a, b = (dealt.withColumnsRenamed({"unit_id": u, "own": f"own_{u}"}) for u in "ij")
+    near = a.join(b, ["band", "sig", "lo", "hi"]) \
+        .where((F.col("i") < F.col("j")) & ((F.col("lo") == F.col("hi")) | (F.col("own_i") != F.col("own_j")))) \
+        .select("i", "j").distinct()
+    for u in "ij":
+        near = near.join(units.select(F.col("unit_id").alias(u), F.col("a").alias(f"a{u}")), u)
+    inter = F.size(F.array_intersect("ai", "aj"))
+    return near.select("i", "j", (F.lit(1.0) - inter / (F.size("ai") + F.size("aj") - inter)).alias("dist")) \
+        .where(F.col("dist") < t)
+
+
 def binary_cells(sets: DataFrame, pairs: DataFrame, n_terms: int, key: str = "idx") -> DataFrame:
     """2x2 cell counts of two 0-1 vectors for each given pair.
 

@@ -489,3 +489,19 @@ FROM comp JOIN sz USING (component) JOIN units_ USING (unit_id)""",
     "pairs_on_sample": _on_sample("IN"),
     "sample_rest": _on_sample("NOT IN"),
 }
+
+
+def _approx_pairs(t: float) -> str:
+    """Exact pairs that agree in a band of minimum hashes (factors and offsets as the operator's rule gives them)."""
+    from kindred.operators.pairs import MERSENNE, banding, hash_parameters
+    rows, bands = banding(1 - t, 0.97, 96)
+    given = ", ".join(f"({n}, {a}::BIGINT, {b}::BIGINT)" for n, (a, b) in enumerate(hash_parameters(rows * bands)))
+    return f"""hashes(h, a, b) AS (VALUES {given}),
+lows AS (SELECT unit_id, h, min((a * (idx % {MERSENNE}) + b) % {MERSENNE}) AS low FROM counts, hashes GROUP BY ALL),
+member AS (SELECT unit_id, h // {rows} AS band, list(low ORDER BY h) AS sig FROM lows GROUP BY ALL),
+near AS (SELECT DISTINCT x.unit_id AS i, y.unit_id AS j FROM member x JOIN member y
+         ON x.band = y.band AND x.sig = y.sig AND x.unit_id < y.unit_id)"""
+
+
+ORACLES["pair_distance_jaccard_approx"] = w(*DOC, JAC_PAIRS, _approx_pairs(0.5)) \
+    + "SELECT i, j, round(dist, 6) AS dist FROM jpairs SEMI JOIN near USING (i, j)"

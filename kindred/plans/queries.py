@@ -160,6 +160,13 @@ def pair_distance_jaccard_binary(spark, sf):
     return p.select("i", "j", r6(F.col("dist")).alias("dist"))
 
 
+@query("pair_distance_jaccard_approx")
+def pair_distance_jaccard_approx(spark, sf):
+    """N3(c): set Jaccard pairs that share a bucket of minimum hashes."""
+    p = N.jaccard_within_approx(D.counts(spark, sf), D.DEFAULT.t_jaccard)
+    return p.select("i", "j", r6(F.col("dist")).alias("dist"))
+
+
 @query("binary_cells")
 def binary_cells(spark, sf):
     n_terms = D.vocabulary(spark, sf).count()
