@@ -33,12 +33,23 @@ def features(df: DataFrame, vec_col: str = "embedding", out: str = "features") -
 
 
 def dense_from_sparse(weights: DataFrame, dim: int, key: str = "idx", value: str = "w") -> DataFrame:
-    """``unit_id, idx, w`` over a bounded vocabulary -> ``unit_id, features``."""
-    m = weights.groupBy("unit_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("int"), F.col(value)))).alias("m"))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("double"))
-    return m.select("unit_id", array_to_vector(arr).alias("features"))
+    """``unit_id, idx, w`` over a bounded vocabulary -> ``unit_id, features``.
+
+    The cells of a unit are sorted and the gaps between them filled with zeros, so a
+    row costs its dimension, not dimension times cells.
+    """
+    cell = F.struct(F.col(key).cast("int").alias("i"), F.col(value).cast("double").alias("x"))
+    cells = weights.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(cell)).alias("m")).select(
+        "unit_id", F.sort_array(F.transform(
+            F.filter(F.map_entries("m"), lambda e: (e["key"] >= 0) & (e["key"] < dim)),
+            lambda e: F.struct(e["key"].alias("i"), F.coalesce(e["value"], F.lit(0.0)).alias("x")))).alias("c"))
+
+    def gap(i, k):  # zeros between a cell and the one before it
+        return F.array_repeat(F.lit(0.0), i - F.coalesce(F.get("c", k - 1)["i"], F.lit(-1)) - 1)
+
+    filled = F.transform("c", lambda e, k: F.concat(gap(e["i"], k), F.array(e["x"])))
+    end = F.array_repeat(F.lit(0.0), F.lit(dim - 1) - F.coalesce(F.get("c", F.size("c") - 1)["i"], F.lit(-1)))
+    return cells.select("unit_id", array_to_vector(F.concat(F.flatten(filled), end)).alias("features"))
 
 
 def estimator(name: str, n_features: int | None = None, n_classes: int | None = None, seed: int = 0):

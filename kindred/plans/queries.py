@@ -544,8 +544,8 @@ def _doc_label_split(spark, sf):
     """Labelled documents as count vectors with ``toxic`` as the label."""
     c = D.counts(spark, sf)
     dim = D.vocabulary(spark, sf).count()
-    f = CL.dense_from_sparse(c, dim, value="cnt").join(
-        D.labels(spark, sf).select("unit_id", F.col("toxic").alias("label")), "unit_id")
+    lab = D.labels(spark, sf).select("unit_id", F.col("toxic").alias("label"))
+    f = CL.dense_from_sparse(c.join(lab, "unit_id", "left_semi"), dim, value="cnt").join(lab, "unit_id")
     return SA.split(f, "unit_id", 0.25, VE.SEED)
 
 
