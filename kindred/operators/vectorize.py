@@ -2,9 +2,9 @@
 
 Long sparse form everywhere: ``unit_id, idx, cnt`` / ``unit_id, idx, w``.
 
-Partitioning: a unit is one row, so the words of its text are counted in the
-task that reads it and only (unit, word, count) rows are shuffled, never texts.
-The vocabulary join is a broadcast, bounded by the cut; the per-unit norm
+Partitioning: a unit is one row, so the words of its text are counted inside that
+row, without a hash table or a shuffle; only ids that come several times (looked up
+first) have their rows' counts added. The vocabulary join is a broadcast, bounded by the cut; the per-unit norm
 windows and vector builds shuffle the cut counts by ``unit_id`` once. Document
 frequency is a partial aggregate shuffled by ``idx`` (at most vocabulary-size
 rows per task after the map-side combine).
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text as T
+from kindred.session import store
 
 
 def unit_words(units: DataFrame, text_col: str = "text", id_col: str = "unit_id") -> DataFrame:
@@ -32,20 +33,37 @@ def term_counts(units: DataFrame, vocab: DataFrame | None = None, text_col: str
     Without ``vocab`` every word counts and the term key is ``token``.
     ``binary`` gives 0-1 cells (P12).
     """
-    words = units.select(F.col(id_col).alias("unit_id"),
-                         F.explode(T.words(text_col)).alias("token"))
+    out = _counted(units.select(F.col(id_col).alias("unit_id"), T.words(text_col).alias("__w")), "__w", "token")
     if vocab is not None:
         v = F.broadcast(vocab.select(F.col("name").alias("token"), "idx"))
-        words = words.join(v, "token").select("unit_id", "idx")
-        key = "idx"
-    else:
-        key = "token"
-    out = words.groupBy("unit_id", key).agg(F.count(F.lit(1)).alias("cnt"))
+        out = out.join(v, "token").select("unit_id", "idx", "cnt")
     if binary:
         out = out.withColumn("cnt", F.lit(1).cast("long"))
     return out
 
 
+def _counted(rows: DataFrame, items: str, name: str) -> DataFrame:
+    """``unit_id, name, cnt`` of the strings in the array ``items``, per unit.
+
+    The array is sorted and its runs are counted in the row. Counts of an id with
+    several rows are added up; which ids these are is asked first, of the ids alone.
+    """
+    again = rows.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit_id")
+    places = F.when(F.size("__s") > 0, F.sequence(F.lit(0), F.size("__s") - 1))
+    # outer, so that no filter on the runs is pushed below the sorted array, which would be sorted for each word
+    runs = rows.select("unit_id", F.sort_array(items).alias("__s")) \
+        .withColumn("__at", F.filter(places, lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))) \
+        .select("unit_id", F.inline_outer(F.transform("__at", lambda at, k: F.struct(
+            F.get("__s", at).alias(name),
+            (F.coalesce(F.get("__at", k + 1), F.size("__s")) - at).cast("long").alias("cnt"))))).where("cnt IS NOT NULL")
+    if again.isEmpty():
+        return runs
+    again = store(again.select(F.col("unit_id").alias("__u")))
+    same = F.col("unit_id").eqNullSafe(F.col("__u"))
+    return runs.join(again, same, "left_anti").unionByName(
+        runs.join(again, same, "left_semi").groupBy("unit_id", name).agg(F.sum("cnt").alias("cnt")))
+
+
 def ngram_counts(units: DataFrame, n: int = 2, text_col: str = "text",
                  id_col: str = "unit_id") -> DataFrame:
     """V4: counts of 1..n-grams (tokens joined by one space) per unit."""
@@ -58,8 +76,7 @@ def ngram_counts(units: DataFrame, n: int = 2, text_col: str = "text",
             f"i -> array_join(slice(__w, i, {k}), ' ')) ELSE array() END"))
     base = units.select(F.col(id_col).alias("unit_id"), w.alias("__w"))
     cols = [F.col("__w")] + [g for g in grams[1:]]
-    allg = base.select("unit_id", F.explode(F.flatten(F.array(*cols))).alias("gram"))
-    return allg.groupBy("unit_id", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    return _counted(base.select("unit_id", F.flatten(F.array(*cols)).alias("__g")), "__g", "gram")
 
 
 def term_totals(counts: DataFrame, key: str = "idx") -> DataFrame:

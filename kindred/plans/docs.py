@@ -17,7 +17,7 @@ from kindred.operators import components as C
 from kindred.operators import pairs as N
 from kindred.operators import vectorize as V
 from kindred.operators import vocab as VO
-from kindred.session import cut_lineage
+from kindred.session import cut_lineage, store
 from kindred.sources.tables import load, units_from_documents
 
 
@@ -36,7 +36,7 @@ DEFAULT = Settings()
 
 # Stage tables already written in this Spark application, by (stage, folder,
 # settings): a query that needs the counts or the components twice builds
-# them once (the S11 reuse). Checkpointed frames live on the shared folder.
+# them once (the S11 reuse). They live in the shared folder.
 _STAGES: dict = {}
 
 
@@ -60,55 +60,33 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VO.token_stream(units(spark, sf_dir))
 
 
-def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage table ``unit_id, token, cnt`` over every word: the texts are
-    split once, and both the vocabulary and the vocabulary counts read it
-    (checkpointed to the shared folder). A unit is one row, so its words are
-    counted map-side and only counts are shuffled, never texts."""
-    return _stage(spark, ("word_counts", sf_dir), lambda: cut_lineage(
-        V.term_counts(units(spark, sf_dir))))
+def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VO.token_frequency(tokens(spark, sf_dir))
 
 
-def frequency(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
-    if wc is None:
-        return VO.token_frequency(tokens(spark, sf_dir))
-    return VO.frequency_from_counts(wc)
-
-
-def vocabulary(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
-               wc: DataFrame | None = None) -> DataFrame:
-    """The cut vocabulary (at most ``vocab_take`` rows). Read from the
-    word-count stage when that is already written (or asked for), else from
-    one pass over the words; both give the same rows."""
-    have = (spark.sparkContext.applicationId, "word_counts", sf_dir) in _STAGES
-    if wc is None and have:
-        wc = word_counts(spark, sf_dir)
-
+def vocabulary(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
+    """The cut vocabulary (at most ``vocab_take`` rows), from one pass over the words."""
     def build():
-        clean = VO.clean_vocabulary(frequency(spark, sf_dir, wc))
+        clean = VO.clean_vocabulary(frequency(spark, sf_dir))
         return cut_lineage(VO.cut_vocabulary(clean, s.vocab_take, s.vocab_skip, s.vocab_min))
     return _stage(spark, ("vocabulary", sf_dir, s), build)
 
 
 def counts(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT, binary: bool = False,
            stage: bool = True) -> DataFrame:
-    """Term counts over the cut vocabulary, derived from the word-count stage
-    (broadcast join with the cut, at most ``vocab_take`` rows). As a stage
-    table it is computed once and read by the unit count, the document
-    frequency and the weights."""
-    def build():
-        wc = word_counts(spark, sf_dir)
-        voc = F.broadcast(vocabulary(spark, sf_dir, s, wc).select(F.col("name").alias("token"), "idx"))
-        c = wc.join(voc, "token").select("unit_id", "idx", "cnt")
-        return cut_lineage(c)
-    c = _stage(spark, ("counts", sf_dir, s), build)
+    """Term counts over the cut vocabulary (broadcast join, at most ``vocab_take``
+    rows). The words are counted where the text is read, and only words of the
+    vocabulary are stored; the stage table is computed once and read by the unit
+    count, the document frequency and the weights."""
+    c = _stage(spark, ("counts", sf_dir, s), lambda: store(
+        V.term_counts(units(spark, sf_dir), vocabulary(spark, sf_dir, s))))
     if binary:
         c = c.withColumn("cnt", F.lit(1).cast("long"))
     return c
 
 
 def weights(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT) -> DataFrame:
-    return _stage(spark, ("weights", sf_dir, s), lambda: cut_lineage(V.tfidf(counts(spark, sf_dir, s))))
+    return _stage(spark, ("weights", sf_dir, s), lambda: store(V.tfidf(counts(spark, sf_dir, s))))
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str, s: Settings = DEFAULT,
