@@ -76,6 +76,7 @@ def test_rounding_near_the_threshold_is_decided_in_float64():
     D = N._dist_matrix(X, X, "cosine")
     for t in np.sort(D[np.triu_indices(40, 1)])[::97]:  # the threshold is a distance itself
         lab = np.arange(40)
-        cells = {(int(a), int(b)) for r, c in N._forest_cells(X, X, lab, lab, "cosine", float(t) + 1e-12, True)
+        x = N._Rows(X, "cosine")
+        cells = {(int(a), int(b)) for r, c in N._forest_cells(x, x, lab, lab, lab, lab, "cosine", float(t) + 1e-12, True)
                  for a, b in zip(r, c)}
         assert cells == {(i, j) for i in range(40) for j in range(40) if i != j and D[i, j] < t + 1e-12}
