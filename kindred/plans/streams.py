@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,7 @@ def PAGE_END():
     return F.col("token") == "</p>"
 
 
+SOURCE_BYTES = 1 << 26  # of a source file of ``unit_slices``
 TAG_PATTERN = r"<[^>]*>|[^<]+"
 
 # Fixed mapping of event types to the reference's marker names
@@ -112,22 +114,28 @@ def turn_files(spark: SparkSession, sf_dir: str):
 
 def unit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files on disk, their lines stored with a directory, and
-    the middle half of each document's lines read back as its unit."""
+    the middle half of each document's lines read back as its unit.
+
+    Documents go to four folders (``file``), in files of about ``SOURCE_BYTES``: a task writes few."""
     d = load(spark, sf_dir, "documents", "doc_id", "text")
     at = scratch_path(spark, f"sources-{uuid.uuid4().hex}")
     # a document per line, its own breaks kept: the file's lines are all documents' lines
     named = d.select((F.col("doc_id") % 4).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    named.repartition(4, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value") \
-        .write.partitionBy("bucket").text(f"{at}/text")
-    R.store_lines(FS.read_source_lines(spark, f"{at}/text/bucket=*"), f"{at}/lines")
-    stored = spark.read.parquet(f"{at}/lines").withColumn(
-        "file", F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long"))
+    size = named.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    parts = max(1, math.ceil(size / 4 / SOURCE_BYTES))
+    named = named.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    named.repartition(4 * parts, "bucket", "part").sortWithinPartitions("bucket", "part", "doc_id") \
+        .select("bucket", "part", "value").write.partitionBy("bucket", "part").text(f"{at}/text")
+    R.store_lines(FS.read_source_lines(spark, f"{at}/text/bucket=*/part=*"), f"{at}/lines")
+    bucket, part = (F.regexp_extract("file", rf"{name}=(\d+)", 1).cast("long") for name in ("bucket", "part"))
+    stored = spark.read.parquet(f"{at}/lines").withColumn("file", bucket * parts + part)
     n = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))) + 1
-    sizes = named.select(F.col("bucket").alias("file"), "doc_id", n.cast("long").alias("n"))
+    sizes = named.select((F.col("bucket") * parts + F.col("part")).alias("file"), "bucket", "doc_id", n.cast("long").alias("n"))
     units = running_sums(sizes, "file", "doc_id", {"cum": F.col("n")}).withColumn("first", F.col("cum") - F.col("n"))
-    units = units.select("file", "doc_id", (F.col("first") + F.expr("n div 4")).alias("start_line"),
+    units = units.select("file", "bucket", "doc_id", (F.col("first") + F.expr("n div 4")).alias("start_line"),
                          (F.col("first") + F.expr("n - n div 4")).alias("end_line"))
-    return R.slice_stored(stored, units, key=("file", "doc_id"))
+    return R.slice_stored(stored, units, key=("file", "bucket", "doc_id")) \
+        .select(F.col("bucket").alias("file"), "doc_id", "raw")
 
 
 def code_corpus(spark: SparkSession, sf_dir: str):
