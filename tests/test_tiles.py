@@ -80,3 +80,30 @@ def test_rounding_near_the_threshold_is_decided_in_float64():
         cells = {(int(a), int(b)) for r, c in N._forest_cells(x, x, lab, lab, lab, lab, "cosine", float(t) + 1e-12, True)
                  for a, b in zip(r, c)}
         assert cells == {(i, j) for i in range(40) for j in range(40) if i != j and D[i, j] < t + 1e-12}
+
+
+def test_sparse_groups_grow_with_their_cells_only():
+    """1 GB of documents: 512,820 rows of 77 cells went to 32 groups each."""
+    assert N._n_groups(512_820, 1024, 12, 512_820 * 77) == 7
+    assert N._n_groups(3_000_000, 1024, 12, 3_000_000 * 77) < 20
+    assert N._n_groups(100_000, 1024, 12, 100_000 * 2000) == 12  # long rows: by cells
+
+
+@pytest.mark.parametrize("held", [1, 11 * 60 * 3])
+@pytest.mark.parametrize("metric,t", [("cosine", 0.4), ("jaccard_set", 0.5)])
+def test_few_tiles_are_held_at_a_time(metric, t, held, monkeypatch):
+    monkeypatch.setattr(N, "MAX_HELD_CELLS", held)
+    rng = np.random.default_rng(7)
+    X = (rng.random((90, 60)) < 0.2) * 1.0
+    X[:, 3] = 0
+    X[11] = 0  # an empty row
+    import pandas as pd
+    part = pd.DataFrame({"id": np.arange(90), "k": [np.nonzero(r)[0] for r in X], "v": [r[r != 0] for r in X]})
+    side = N._Side([N._packed(part[:40]), N._packed(part[40:])], 11, 60, metric)
+    seen = []
+    for block in side.blocks():
+        for n in block:
+            seen.append(n)
+            assert (side.rows(n, held=True).X == X[side.ids[side.tiles[n]]]).all()
+            assert len(side.held) <= side.hold == max(1, held // 660)
+    assert seen == list(range(9))
