@@ -60,3 +60,9 @@ def test_empty_and_bad_threshold(spark):
     assert N.jaccard_within_approx(none, 0.5).count() == 0
     with pytest.raises(ValueError):
         N.jaccard_within_approx(none, 1.0)
+
+
+def test_candidates_are_scored_in_their_bucket(table):
+    """No pair is joined with its sets afterwards: one join besides that of the chunk numbers."""
+    plan = N.jaccard_within_approx(table, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
