@@ -411,6 +411,23 @@ def test_toxicity(spark):
         assert np.allclose(cosines, best) and np.allclose(dense[places], cosines)
 
 
+def test_toxicity_holds_little_in_a_worker(spark):
+    """Terms and counts take the bytes they need, common terms have no posting lists beside their matrix,
+    and terms are looked up in the sorted list itself."""
+    for a in ([], [0], [255], [256, 1], [65536, 3], [2 ** 32 - 1, 0, 7]):
+        raw = toxicity.packed(np.array(a, np.int64))
+        assert toxicity.unpacked(raw).tolist() == a and len(raw) <= 1 + len(a) * max(1, -(-max(a, default=0).bit_length() // 8))
+    docs, labels, rows, truth = toxic_table(spark)
+    index = toxicity.fit(docs, labels, k=5)
+    assert len(index.rare.weights) == int((index.common[index.terms] < 0).sum())
+    assert index.terms.dtype == np.int32 and index.ids.tolist() == sorted(index.ids.tolist())
+    terms = toxicity.TermMap(index.known)
+    (got, times), (none, _) = terms.counts([rows[0][1], None])
+    want = Counter(t for w in toxicity.text_words(rows[0][1]) for t in toxicity.word_terms(w))
+    assert dict(zip(index.known[got].tolist(), times.tolist())) == {t: n for t, n in want.items() if t in set(index.known.tolist())}
+    assert not len(none) and not any(isinstance(v, dict) for v in vars(terms).values())
+
+
 def test_toxicity_looks_at_all_terms(spark):
     """Neighbours are those of the whole TF-IDF vectors: clean, rare and equally frequent terms, too."""
     docs, labels, rows, truth = toxic_table(spark, 120)
