@@ -35,3 +35,17 @@ def test_subsampling_keeps_rare_words_and_repeats_its_draw(spark):
     assert out == [r.words for r in EM.subsample_words(lists.repartition(3), 0.05, seed=1).orderBy("unit_id").collect()]
     assert all(f"rare{u}" in w for u, w in enumerate(out))
     assert 0.1 < sum(w.count("often") for w in out) / 2000 < 0.4
+
+
+def test_features_of_the_forest_are_made_once(spark, tmp_dir, monkeypatch):
+    """E5: the forest's fit reads its rows several times; unit embeddings aren't in their plan."""
+    from kindred.plans import queries as Q
+    texts = [(u, " ".join(f"word{(u + k) % 7}" for k in range(200))) for u in range(40)]  # frequent words are subsampled
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(u, 1, u % 2) for u in range(30)], "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{tmp_dir}/labels.parquet")
+    monkeypatch.setattr(Q.CL, "fit_predict", lambda name, train, test, **how: train.unionByName(test))
+    rows = Q.QUERIES["embedding_classifier"](spark, tmp_dir)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert sorted(r.unit_id for r in rows.collect()) == list(range(30))
